@@ -1,0 +1 @@
+"""No streaming operators: every source here is a batch table (see README)."""
