@@ -36,7 +36,7 @@ class Star:
                 F.col("o_orderkey").alias("customer_id"),
                 F.col("c_custkey").alias("customer_unique_id"),
                 zip_prefix.alias("customer_zip_code_prefix"),
-                F.concat_ws("/", "n_name", "c_mktsegment").alias("customer_city"),
+                F.concat("n_name", F.lit("/"), "c_mktsegment").alias("customer_city"),
                 F.col("n_name").alias("customer_state"),
             )
         )
@@ -49,7 +49,7 @@ class Star:
             .join(self.base("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 F.col("s_suppkey").alias("seller_id"),
-                F.concat_ws("/", "n_name", "r_name").alias("seller_city"),
+                F.concat("n_name", F.lit("/"), "r_name").alias("seller_city"),
                 F.col("n_name").alias("seller_state"),
             )
         )
