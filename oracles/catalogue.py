@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from oracles import commerce
+from oracles import commerce, ingest
 from oracles.views import VIEWS, statement
 
-SOURCES = [commerce]
+SOURCES = [commerce, ingest]
 
 
 def all_statements() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.plans import counting, sales, service
+from tallyhouse.plans import counting, ingest, sales, service
 from tallyhouse.plans.star import Star
 from tallyhouse.session import tune
 
@@ -40,6 +40,11 @@ THEMES = {
         ex08_review_by_basket_type ex12_latest_review_per_customer exl05_delivery_days_by_state
         exl15_top_categories_by_reviews
     """,
+    ingest: """
+        ingest_csv_scan ingest_lenient_cast ingest_timestamp_formats ingest_first_wins_dedupe
+        ingest_full_refresh geolocation_by_zip table_row_counts geo_zip_join_safe fk_orphan_audit
+        inner_join_drop_audit row_cap_with_flag
+    """,
 }
 
 # Queries whose name is also the name of a building block.
