@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from oracles import commerce, ingest
+from oracles import commerce, comparing, ingest
 from oracles.views import VIEWS, statement
 
-SOURCES = [commerce, ingest]
+SOURCES = [commerce, ingest, comparing]
 
 
 def all_statements() -> dict[str, str]:
     bodies: dict[str, str] = {}
+    views = dict(VIEWS)
     for source in SOURCES:
         bodies |= source.BODIES
-    return {name: statement(body, VIEWS) for name, body in sorted(bodies.items())}
+        views |= getattr(source, "VIEWS", {})
+    return {name: statement(body, views) for name, body in sorted(bodies.items())}

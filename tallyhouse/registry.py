@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.plans import counting, ingest, sales, service
+from tallyhouse.plans import comparing, counting, ingest, sales, service
 from tallyhouse.plans.star import Star
 from tallyhouse.session import tune
 
@@ -45,6 +45,9 @@ THEMES = {
         ingest_full_refresh geolocation_by_zip table_row_counts geo_zip_join_safe fk_orphan_audit
         inner_join_drop_audit row_cap_with_flag
     """,
+    comparing: """
+        resultset_compare resultset_compare_trimmed resultset_exact_diff eval_reason_rollup
+    """,
 }
 
 # Queries whose name is also the name of a building block.
