@@ -67,7 +67,7 @@ def _distinct_rows(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     both = gold.select("case_id", "cells", F.lit("gold").alias("side")).unionByName(
         predicted.select("case_id", "cells", F.lit("predicted").alias("side"))
     )
-    return both.groupBy("case_id", "side", sort_key(F.col("cells")).alias("_key")).agg(F.count("*").alias("_n"))
+    return both.groupBy("case_id", "side", "cells").agg(F.count("*").alias("_n"))
 
 
 def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
@@ -76,7 +76,8 @@ def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
     Equal rows form one run of positions. Runs are cut at multiples of ``rows_per_block``, so
     the runs of both sides meet in stretches of bounded length.
     """
-    runs = ordered_runs(distinct, ["case_id", "side"], "_key", "_n", rows_per_block)
+    keyed = distinct.withColumn("_key", sort_key(F.col("cells")))
+    runs = ordered_runs(keyed, ["case_id", "side"], "_key", "_n", rows_per_block).drop("_key")
     width = F.lit(rows_per_block)
     first = F.floor(F.col("start") / width)
     last = F.floor((F.col("start") + F.col("_n") - 1) / width)
@@ -90,7 +91,7 @@ def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
     )
 
     def running(side: str) -> Column:
-        cells = F.when(F.col("side") == side, F.col("_key.cells"))
+        cells = F.when(F.col("side") == side, F.col("cells"))
         return F.last(cells, ignorenulls=True).over(so_far).alias(side)
 
     aligned = pieces.select("case_id", "at", running("gold"), running("predicted"))
@@ -124,8 +125,8 @@ def compare_results(
     shape = distinct.groupBy("case_id").agg(
         F.sum(on("gold", F.col("_n"))).alias("gold_rows"),
         F.sum(on("predicted", F.col("_n"))).alias("predicted_rows"),
-        F.max(on("gold", F.size("_key.cells"))).alias("gold_cols"),
-        F.max(on("predicted", F.size("_key.cells"))).alias("predicted_cols"),
+        F.max(on("gold", F.size("cells"))).alias("gold_cols"),
+        F.max(on("predicted", F.size("cells"))).alias("predicted_cols"),
     )
     shaped = (
         cases.select("case_id")

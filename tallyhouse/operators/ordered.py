@@ -28,41 +28,33 @@ def ordered_runs(
 
     ``distinct`` holds each (group, key) once. Keys chosen by hash cut the group into blocks in
     key order; the choice depends on the data alone, so a task that runs again agrees with
-    its first run. Blocks are summed first, then sorted inside.
+    its first run. Blocks are summed first, then sorted inside. Group columns hold no NULL.
     """
     group = list(group)
+    block = [*group, "_block"]
     chosen = F.pmod(F.xxhash64(*group, key), F.lit(rows_per_block)) == 0
     splitters = (
-        distinct.where(chosen)
-        .groupBy(*[F.col(c).alias(f"_s_{c}") for c in group])
-        .agg(F.sort_array(F.collect_list(key)).alias("_splits"))
+        distinct.where(chosen).groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("_splits"))
     )
-    here = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group]
     passed = F.size(F.filter("_splits", lambda split: split <= F.col(key)))
     blocked = (
-        distinct.join(splitters, here, "left")
+        distinct.join(splitters, group, "left")
         .withColumn("_block", F.when(F.col("_splits").isNull(), 0).otherwise(passed))
-        .drop("_splits", *[f"_s_{c}" for c in group])
-    )
-    earlier_blocks = (
-        Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        .drop("_splits")
     )
+    earlier_blocks = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_keys = Window.partitionBy(*block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*group, "_block")
+        blocked.groupBy(*block)
         .agg(F.sum(weight).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier_blocks), F.lit(0)))
-        .select(*[F.col(c).alias(f"_o_{c}") for c in group], F.col("_block").alias("_o_block"), "_offset")
-    )
-    earlier_keys = (
-        Window.partitionBy(*group, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        .select(*block, F.coalesce(F.sum("_size").over(earlier_blocks), F.lit(0)).alias("_offset"))
     )
-    there = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in group] + [F.col("_block") == F.col("_o_block")]
     inside = F.coalesce(F.sum(weight).over(earlier_keys), F.lit(0))
     return (
         blocked.withColumn("_inside", inside)
-        .join(offsets, there)
+        .join(offsets, block)
         .withColumn("start", F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset", "_o_block", *[f"_o_{c}" for c in group])
+        .drop("_block", "_inside", "_offset")
     )
 
 
@@ -89,9 +81,8 @@ def percentiles(
     group = list(group)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     runs = ordered_runs(counted, group, value, "_n", rows_per_block)
-    totals = counted.groupBy(*[F.col(c).alias(f"_t_{c}") for c in group]).agg(F.sum("_n").alias("_total"))
-    here = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group]
-    placed = runs.join(totals, here)
+    totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    placed = runs.join(totals, group)
 
     def value_at(place: Column) -> Column:
         covers = (F.col("start") <= place) & (place < F.col("start") + F.col("_n"))
