@@ -88,7 +88,8 @@ def needed(body: str, views: dict[str, str]) -> list[str]:
 
 def statement(body: str, views: dict[str, str] = VIEWS) -> str:
     names = needed(body, views)
+    body = body.strip()
     if not names:
-        return body.strip()
+        return f"with {body[1:]}" if body.startswith(",") else body
     ctes = ",\n".join(f"{name} as ({views[name]})" for name in names)
-    return f"with {ctes}\n{body.strip()}"
+    return f"with {ctes}\n{body}"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.plans import comparing, counting, ingest, sales, service
+from tallyhouse.plans import comparing, counting, ingest, querylog, sales, scoring, service
 from tallyhouse.plans.star import Star
 from tallyhouse.session import tune
 
@@ -48,10 +48,28 @@ THEMES = {
     comparing: """
         resultset_compare resultset_compare_trimmed resultset_exact_diff eval_reason_rollup
     """,
+    scoring: """
+        eval_token_cost eval_combine_dims eval_outcome eval_case_filter eval_latency_percentiles
+        eval_run_summary eval_by_difficulty eval_by_dimension eval_dimension_health
+        eval_cost_latency_by_difficulty eval_false_positives eval_failure_list eval_pending_cases
+        eval_rerun_failures eval_results_sorted eval_run_delta eval_latest_run run_id_slug case_slug
+        case_id_assignment rubric_items_split ground_truth_shape case_tags case_quality_check
+        case_quality_totals
+    """,
+    querylog: """
+        em_normalize_sql em_exact_match log_statement_kind log_forbidden_keyword log_system_catalog
+        log_allow_list log_trap_table log_select_star log_limit_rule log_table_usage
+        log_soft_fk_warning log_unknown_columns log_policy_verdict log_rule_rollup log_api_gate
+        log_extract_fenced_sql rubric_table rubric_filters rubric_aggregation rubric_join
+        rubric_date_operator rubric_time_frame rubric_verdict
+    """,
 }
 
 # Queries whose name is also the name of a building block.
-RENAMED = {"order_totals": sales.order_totals_report}
+RENAMED = {
+    "order_totals": sales.order_totals_report,
+    "ground_truth_shape": scoring.ground_truth_report,
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
