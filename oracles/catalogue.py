@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from oracles import commerce, comparing, ingest, querylog, scoring
+from oracles import commerce, comparing, delivery, ingest, querylog, scoring
 from oracles.views import VIEWS, statement
 
-SOURCES = [commerce, ingest, comparing, querylog, scoring]
+SOURCES = [commerce, delivery, ingest, comparing, querylog, scoring]
 
 
 def all_statements() -> dict[str, str]:

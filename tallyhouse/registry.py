@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.plans import comparing, counting, ingest, querylog, sales, scoring, service
+from tallyhouse.plans import comparing, counting, delivery, ingest, querylog, sales, scoring, service
 from tallyhouse.plans.star import Star
 from tallyhouse.session import tune
 
@@ -56,6 +56,9 @@ THEMES = {
         case_id_assignment rubric_items_split ground_truth_shape case_tags case_quality_check
         case_quality_totals
     """,
+    delivery: """
+        ledger_tolerant_read ledger_append results_csv_sink results_case_split results_run_document
+    """,
     querylog: """
         em_normalize_sql em_exact_match log_statement_kind log_forbidden_keyword log_system_catalog
         log_allow_list log_trap_table log_select_star log_limit_rule log_table_usage
