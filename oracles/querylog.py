@@ -125,15 +125,13 @@ BODIES = {
         from (select query_id, case tpl when 3 then 'DROP' when 12 then 'WITH' when 14 then '' else 'SELECT' end k
               from x_query_log)""",
     "log_forbidden_keyword": r"""
-        select query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(sql_text),
-          '\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|GRANT|REVOKE|COPY|VACUUM|REINDEX)\b'))), ',') as words
-        from x_query_log
-        where regexp_matches(upper(sql_text),
-          '\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|GRANT|REVOKE|COPY|VACUUM|REINDEX)\b')""",
+        select query_id, unnest(list_distinct(regexp_extract_all(upper(sql_text),
+          '\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|GRANT|REVOKE|COPY|VACUUM|REINDEX)\b'))) as word
+        from x_query_log""",
     "log_system_catalog": "select query_id from x_query_log where tpl in (4, 9)",
     "log_allow_list": """
         select query_id, case tpl when 4 then 'pg_tables' when 8 then 'unknown_table' when 9 then 'tables'
-               else 'recent' end as tables
+               else 'recent' end as table_name
         from x_query_log where tpl in (4, 8, 9, 12)""",
     "log_trap_table": "select query_id from x_query_log where tpl = 5",
     "log_select_star": "select query_id from x_query_log where tpl in (1, 13)",
@@ -150,7 +148,7 @@ BODIES = {
     "log_soft_fk_warning": "select query_id from x_query_log where tpl = 7",
     "log_unknown_columns": """
         select query_id, case tpl when 5 then 'geolocation.zip' when 6 then 'products.product_name'
-               else 'geolocation_by_zip.*' end as columns
+               else 'geolocation_by_zip.*' end as column_name
         from x_query_log where tpl in (5, 6, 13)""",
     "log_policy_verdict": """
         select l.query_id, cast(b.failures = '' as int) as valid, b.failures as rule_failures, b.warnings

@@ -59,23 +59,20 @@ def normalized(sql: Column) -> Column:
     return stripped(text)
 
 
-def without_comments(sql: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")
+def code(sql: Column) -> Column:
+    """The text without comments."""
+    return stripped(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "))
 
 
-def bare(sql: Column) -> Column:
-    """Lower-case text without comments and literals; ``extract(x from y)`` keeps only y."""
-    text = F.regexp_replace(F.lower(without_comments(sql)), "'[^']*'", "''")
+def bare(code: Column) -> Column:
+    """Lower-case code without literals; ``extract(x from y)`` keeps only y."""
+    text = F.regexp_replace(F.lower(code), "'[^']*'", "''")
     return F.regexp_replace(text, rf"\bextract\s*\(\s*{NAME}\s+from\b", "extract(")
 
 
-def statement_kind(sql: Column) -> Column:
-    """First word of the text in capitals, empty when there is none."""
-    return F.upper(F.regexp_extract(without_comments(sql), r"^\s*([A-Za-z]+)", 1))
-
-
-def is_blank(sql: Column) -> Column:
-    return stripped(without_comments(sql)) == ""
+def statement_kind(code: Column) -> Column:
+    """First word in capitals, empty when there is none."""
+    return F.upper(F.regexp_extract(code, "^([A-Za-z]+)", 1))
 
 
 def forbidden_words(sql: Column) -> Column:
@@ -95,17 +92,16 @@ def table_names(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
 
-def reads_catalog(sql: Column, text: Column) -> Column:
-    system = F.exists(table_names(text), lambda t: t.rlike("^(pg_|information_schema)"))
+def reads_catalog(sql: Column, tables: Column) -> Column:
+    system = F.exists(tables, lambda t: t.rlike("^(pg_|information_schema)"))
     return system | sql.rlike(r"(?i)\binformation_schema\b")
 
 
-def tables_not_allowed(text: Column) -> Column:
-    return F.array_except(table_names(text), F.array(*[F.lit(t) for t in ALLOWED_TABLES]))
+def tables_not_allowed(tables: Column) -> Column:
+    return F.array_except(tables, F.array(*[F.lit(t) for t in ALLOWED_TABLES]))
 
 
-def uses_trap_table(text: Column) -> Column:
-    tables = table_names(text)
+def uses_trap_table(tables: Column) -> Column:
     return F.array_contains(tables, TRAP_TABLE) & ~F.array_contains(tables, SAFE_TABLE)
 
 
@@ -133,17 +129,17 @@ def with_default_limit(sql: Column, text: Column) -> Column:
 
 def join_clauses(text: Column) -> Column:
     """``struct(side, right)`` per join; side is LEFT, RIGHT, FULL, CROSS or INNER."""
-    pattern = rf"(?:\b(?:left|right|full|inner|cross)\s+)?(?:\bouter\s+)?\bjoin\s+(?:{NAME}\.)*{NAME}"
-    clauses = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(
+        rf"(?:\b(left|right|full|inner|cross)\s+)?(?:\bouter\s+)?\bjoin\s+(?:{NAME}\.)*({NAME})"
+    )
 
-    def parts(clause: Column) -> Column:
-        side = F.regexp_extract(clause, r"^(left|right|full|cross)\b", 1)
-        return F.struct(
-            F.when(side == "", "INNER").otherwise(F.upper(side)).alias("side"),
-            F.regexp_extract(clause, rf"({NAME})$", 1).alias("right"),
-        )
+    def clause(word: Column, right: Column) -> Column:
+        side = F.when(word == "", "INNER").otherwise(F.upper(word))
+        return F.struct(side.alias("side"), right.alias("right"))
 
-    return F.transform(clauses, parts)
+    return F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), clause
+    )
 
 
 def inner_joins_lookup(text: Column) -> Column:
@@ -155,24 +151,22 @@ def inner_joins_lookup(text: Column) -> Column:
 # -- columns ----------------------------------------------------------------------------
 
 
+TABLE_REFERENCE = rf"\b(?:from|join)\s+(?:{NAME}\.)*({NAME})(?:\s+(?:as\s+)?({NAME}))?"
+
+
 def _is_word(name: Column) -> Column:
     return name.isin(WORDS)
 
 
-def table_aliases(text: Column) -> Column:
-    """``struct(alias, name)`` per table reference, and each table under its own name."""
-    pattern = rf"\b(?:from|join)\s+(?:{NAME}\.)*{NAME}(?:\s+(?:as\s+)?{NAME})?"
-    clauses = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def referenced(text: Column) -> Column:
+    """Table name of every FROM and JOIN, in order."""
+    return F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), F.lit(1))
 
-    def pair(clause: Column) -> Column:
-        name = F.regexp_extract(clause, rf"\b(?:from|join)\s+(?:{NAME}\.)*({NAME})", 1)
-        alias = F.regexp_extract(clause, rf"{NAME}\s+(?:as\s+)?({NAME})$", 1)
-        plain = (alias == "") | (alias == name) | _is_word(alias)
-        return F.struct(F.when(plain, name).otherwise(alias).alias("alias"), name.alias("name"))
 
-    named = F.transform(clauses, pair)
-    own = F.transform(named, lambda p: F.struct(p["name"].alias("alias"), p["name"].alias("name")))
-    return F.array_distinct(F.concat(named, own))
+def reference_aliases(text: Column) -> Column:
+    """Alias of every FROM and JOIN, in the same order; the table name where there is none."""
+    aliases = F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), F.lit(2))
+    return F.zip_with(aliases, referenced(text), lambda a, n: F.when((a == "") | _is_word(a), n).otherwise(a))
 
 
 def select_aliases(text: Column) -> Column:
@@ -186,72 +180,67 @@ def prefixed_columns(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({NAME}\.(?:{NAME}|\*))"), F.lit(1)))
 
 
+NOT_A_PLAIN_COLUMN = (
+    rf"\b(?:from|join|into|update|table)\s+(?:{NAME}\.)*{NAME}(?:\s+as\s+{NAME})?"
+    rf"|\bas\s+{NAME}|::\s*{NAME}|\b{NAME}\.(?:{NAME}|\*)|\b{NAME}\s*\("
+)
+
+
 def plain_columns(text: Column) -> Column:
     """Identifiers that are neither qualified, nor a table, an alias declaration, a call or a SQL word."""
-    for pattern in (
-        rf"\b(?:from|join|into|update|table)\s+(?:{NAME}\.)*{NAME}(?:\s+as\s+{NAME})?",
-        rf"\bas\s+{NAME}",
-        rf"::\s*{NAME}",
-        rf"\b{NAME}\.(?:{NAME}|\*)",
-        rf"\b{NAME}\s*\(",
-    ):
-        text = F.regexp_replace(text, pattern, " ")
-    names = F.regexp_extract_all(text, F.lit(rf"\b({NAME})\b"), F.lit(1))
-    return F.array_distinct(F.filter(names, lambda n: ~_is_word(n)))
+    rest = F.regexp_replace(text, NOT_A_PLAIN_COLUMN, " ")
+    names = F.array_distinct(F.regexp_extract_all(rest, F.lit(rf"\b({NAME})\b"), F.lit(1)))
+    return F.array_except(names, F.array(*[F.lit(w) for w in WORDS]))
 
 
-def unknown_columns(tables: Column, pairs: Column, ignored: Column, qualified: Column, plain: Column) -> Column:
+def unknown_columns(
+    tables: Column, owners: Column, aliases: Column, ignored: Column, qualified: Column, plain: Column
+) -> Column:
     """``table.column`` for references the declared columns do not have.
 
-    A qualified name goes through the alias map; a plain one is checked only when a single
-    table is in scope. Names that cannot be resolved are left alone. The arguments are the
-    token lists above, computed once per text.
+    A qualified name goes through the alias list (``aliases`` runs parallel to ``owners``); a
+    plain one is checked only when a single table is in scope. Names that cannot be resolved
+    are left alone. The arguments are the token lists above, computed once per text.
     """
     catalog = F.array(*[F.lit(f"{t}.{c}") for t, columns in TABLE_COLUMNS.items() for c in columns])
-    allowed = F.array(*[F.lit(t) for t in TABLE_COLUMNS])
 
     def resolved(reference: Column) -> Column:
         prefix, column = F.substring_index(reference, ".", 1), F.substring_index(reference, ".", -1)
-        owners = F.filter(pairs, lambda p: p["alias"] == prefix)
-        owner = F.get(owners, F.lit(0))["name"]
+        place = F.coalesce(F.nullif(F.array_position(aliases, prefix), F.lit(0)), F.array_position(owners, prefix))
+        owner = F.get(owners, (place - 1).cast("int"))
         return F.when(~F.array_contains(ignored, column), F.concat(owner, F.lit("."), column))
 
     single = F.when(F.size(tables) == 1, F.get(tables, F.lit(0)))
-    free = F.filter(
-        plain,
-        lambda n: ~F.array_contains(ignored, n) & ~F.exists(pairs, lambda p: p["alias"] == n),
-    )
+    free = F.array_except(plain, F.concat(ignored, aliases, owners))
     references = F.concat(
         F.transform(qualified, resolved), F.transform(free, lambda n: F.concat(single, F.lit("."), n))
     )
-    checkable = F.filter(
-        F.array_compact(references), lambda r: F.array_contains(allowed, F.substring_index(r, ".", 1))
-    )
-    return F.sort_array(F.array_distinct(F.filter(checkable, lambda r: ~F.array_contains(catalog, r))))
+    absent = F.array_except(F.array_compact(references), catalog)
+    return F.sort_array(F.filter(absent, lambda r: F.substring_index(r, ".", 1).isin(ALLOWED_TABLES)))
 
 
 # -- verdicts ---------------------------------------------------------------------------
 
 
-def rule_failures(sql: Column, text: Column, unknown: Column) -> Column:
+def rule_failures(sql: Column, code: Column, text: Column, tables: Column, unknown: Column) -> Column:
     """Names of the blocking rules a text breaks, in rule order. Nothing else is judged on blank text."""
     broken = [
-        ("R2", ~statement_kind(sql).isin("SELECT", "WITH")),
+        ("R2", ~statement_kind(code).isin("SELECT", "WITH")),
         ("R3", F.size(forbidden_words(sql)) > 0),
-        ("R4", reads_catalog(sql, text)),
-        ("R5", F.size(tables_not_allowed(text)) > 0),
-        ("R6", uses_trap_table(text)),
+        ("R4", reads_catalog(sql, tables)),
+        ("R5", F.size(tables_not_allowed(tables)) > 0),
+        ("R6", uses_trap_table(tables)),
         ("R7", selects_star(text)),
         ("R10", F.size(unknown) > 0),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken]))
-    return F.when(is_blank(sql), F.array(F.lit("R1"))).otherwise(found)
+    return F.when(code == "", F.array(F.lit("R1"))).otherwise(found)
 
 
-def rule_warnings(sql: Column, text: Column) -> Column:
-    judged = ~is_blank(sql)
-    warned = [("R8", judged & needs_limit(sql, text)), ("R9", judged & inner_joins_lookup(text))]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in warned]))
+def rule_warnings(sql: Column, code: Column, text: Column) -> Column:
+    warned = [("R8", needs_limit(sql, text)), ("R9", inner_joins_lookup(text))]
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in warned]))
+    return F.when(code == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def gate_verdict(sql: Column) -> Column:

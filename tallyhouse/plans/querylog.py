@@ -76,16 +76,17 @@ def query_log(star: Star) -> DataFrame:
     )
 
 
-def tokens(star: Star) -> DataFrame:
-    """The log with its bare text and token lists, each computed once per row."""
-    sql, text = F.col("sql_text"), F.col("text")
+def read_tokens(log: DataFrame) -> DataFrame:
+    """A log with its bare text and token lists, each computed once per row."""
+    text = F.col("text")
     return (
-        query_log(star)
-        .withColumn("text", sqltext.bare(sql))
+        log.withColumn("code", sqltext.code(F.col("sql_text")))
+        .withColumn("text", sqltext.bare(F.col("code")))
         .withColumns(
             {
                 "tables": sqltext.table_names(text),
-                "pairs": sqltext.table_aliases(text),
+                "owners": sqltext.referenced(text),
+                "aliases": sqltext.reference_aliases(text),
                 "ignored": sqltext.select_aliases(text),
                 "qualified": sqltext.prefixed_columns(text),
                 "plain": sqltext.plain_columns(text),
@@ -94,8 +95,17 @@ def tokens(star: Star) -> DataFrame:
     )
 
 
+def tokens(star: Star) -> DataFrame:
+    return read_tokens(query_log(star))
+
+
+def distinct_texts(star: Star) -> DataFrame:
+    """Each text once with the number of its queries; counts per rule or table need no more."""
+    return query_log(star).groupBy("sql_text").agg(F.count("*").alias("n_queries"))
+
+
 def unknown() -> Column:
-    names = ("tables", "pairs", "ignored", "qualified", "plain")
+    names = ("tables", "owners", "aliases", "ignored", "qualified", "plain")
     return sqltext.unknown_columns(*[F.col(n) for n in names])
 
 
@@ -103,32 +113,35 @@ def listed(items: Column) -> Column:
     return F.array_join(items, ",")
 
 
+def each(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """One row per item; unlike a plain explode it evaluates ``items`` once, not in a filter as well."""
+    return rows.select("query_id", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 # -- single rules -----------------------------------------------------------------------
 
 
 def log_statement_kind(star: Star) -> DataFrame:
-    kind = sqltext.statement_kind(F.col("sql_text"))
+    kind = sqltext.statement_kind(sqltext.code(F.col("sql_text")))
     return query_log(star).select(
         "query_id", kind.alias("kind"), kind.isin("SELECT", "WITH").cast("int").alias("allowed")
     )
 
 
 def log_forbidden_keyword(star: Star) -> DataFrame:
-    words = sqltext.forbidden_words(F.col("sql_text"))
-    return query_log(star).select("query_id", listed(words).alias("words")).where(F.col("words") != "")
+    return each(query_log(star), sqltext.forbidden_words(F.col("sql_text")), "word")
 
 
 def log_system_catalog(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.reads_catalog(F.col("sql_text"), F.col("text"))).select("query_id")
+    return tokens(star).where(sqltext.reads_catalog(F.col("sql_text"), F.col("tables"))).select("query_id")
 
 
 def log_allow_list(star: Star) -> DataFrame:
-    outside = listed(sqltext.tables_not_allowed(F.col("text")))
-    return tokens(star).select("query_id", outside.alias("tables")).where(F.col("tables") != "")
+    return each(tokens(star), sqltext.tables_not_allowed(F.col("tables")), "table_name")
 
 
 def log_trap_table(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.uses_trap_table(F.col("text"))).select("query_id")
+    return tokens(star).where(sqltext.uses_trap_table(F.col("tables"))).select("query_id")
 
 
 def log_select_star(star: Star) -> DataFrame:
@@ -147,8 +160,11 @@ def log_limit_rule(star: Star) -> DataFrame:
 
 def log_table_usage(star: Star) -> DataFrame:
     """Queries per referenced table."""
-    used = query_log(star).select(F.explode(sqltext.mentioned_tables(F.col("sql_text"))).alias("table_name"))
-    return used.groupBy("table_name").agg(F.count("*").alias("n_queries"))
+    names = sqltext.mentioned_tables(F.col("sql_text"))
+    used = distinct_texts(star).select("n_queries", F.explode_outer(names).alias("table_name"))
+    return (
+        used.where(F.col("table_name").isNotNull()).groupBy("table_name").agg(F.sum("n_queries").alias("n_queries"))
+    )
 
 
 def log_soft_fk_warning(star: Star) -> DataFrame:
@@ -156,24 +172,20 @@ def log_soft_fk_warning(star: Star) -> DataFrame:
 
 
 def log_unknown_columns(star: Star) -> DataFrame:
-    return tokens(star).select("query_id", listed(unknown()).alias("columns")).where(F.col("columns") != "")
+    return each(tokens(star), unknown(), "column_name")
 
 
-def verdicts(star: Star) -> DataFrame:
-    sql, text = F.col("sql_text"), F.col("text")
-    return (
-        tokens(star)
-        .withColumn("unknown", unknown())
-        .select(
-            "query_id",
-            sqltext.rule_failures(sql, text, F.col("unknown")).alias("failures"),
-            sqltext.rule_warnings(sql, text).alias("warnings"),
-        )
+def verdicts(log: DataFrame) -> DataFrame:
+    sql, code, text, tables = F.col("sql_text"), F.col("code"), F.col("text"), F.col("tables")
+    return read_tokens(log).select(
+        *log.columns,
+        sqltext.rule_failures(sql, code, text, tables, unknown()).alias("failures"),
+        sqltext.rule_warnings(sql, code, text).alias("warnings"),
     )
 
 
 def log_policy_verdict(star: Star) -> DataFrame:
-    return verdicts(star).select(
+    return verdicts(query_log(star)).select(
         "query_id",
         (F.size("failures") == 0).cast("int").alias("valid"),
         listed(F.col("failures")).alias("rule_failures"),
@@ -183,7 +195,8 @@ def log_policy_verdict(star: Star) -> DataFrame:
 
 def log_rule_rollup(star: Star) -> DataFrame:
     """Queries that break each rule."""
-    return verdicts(star).select(F.explode("failures").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    broken = verdicts(distinct_texts(star)).select("n_queries", F.explode_outer("failures").alias("rule"))
+    return broken.where(F.col("rule").isNotNull()).groupBy("rule").agg(F.sum("n_queries").alias("n"))
 
 
 def log_api_gate(star: Star) -> DataFrame:
