@@ -76,8 +76,10 @@ def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
     Equal rows form one run of positions. Runs are cut at multiples of ``rows_per_block``, so
     the runs of both sides meet in stretches of bounded length.
     """
-    keyed = distinct.withColumn("_key", sort_key(F.col("cells")))
-    runs = ordered_runs(keyed, ["case_id", "side"], "_key", "_n", rows_per_block).drop("_key")
+    # Numbers sort before NULL and text, so the first number decides most comparisons.
+    leading = [F.asc_nulls_last(F.round(F.get("cells", F.lit(0))["num"], SORT_DIGITS))]
+    key = sort_key(F.col("cells"))
+    runs = ordered_runs(distinct, ["case_id", "side"], key, "_n", rows_per_block, leading)
     width = F.lit(rows_per_block)
     first = F.floor(F.col("start") / width)
     last = F.floor((F.col("start") + F.col("_n") - 1) / width)

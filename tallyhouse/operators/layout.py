@@ -1,0 +1,15 @@
+"""Partition layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before costly per-row work.
+
+    A file of one row group reads as one split however many cores are free. A scan with at
+    least one split per core, hence any large table, is returned as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -20,30 +20,33 @@ ROWS_PER_BLOCK = 1_000_000
 def ordered_runs(
     distinct: DataFrame,
     group: Sequence[str],
-    key: str,
+    key: Column,
     weight: str,
     rows_per_block: int = ROWS_PER_BLOCK,
+    leading: Sequence[Column] = (),
 ) -> DataFrame:
     """Add ``start``: the summed ``weight`` of smaller keys in the same group.
 
     ``distinct`` holds each (group, key) once. Keys chosen by hash cut the group into blocks in
     key order; the choice depends on the data alone, so a task that runs again agrees with
     its first run. Blocks are summed first, then sorted inside. Group columns hold no NULL.
+    ``key`` is computed where it is compared and never shuffled. ``leading`` may name sort
+    columns that order rows as a nested key does, but cheaper.
     """
     group = list(group)
     block = [*group, "_block"]
     chosen = F.pmod(F.xxhash64(*group, key), F.lit(rows_per_block)) == 0
-    splitters = (
-        distinct.where(chosen).groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("_splits"))
-    )
-    passed = F.size(F.filter("_splits", lambda split: split <= F.col(key)))
+    splitters = distinct.where(chosen).groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("_splits"))
+    passed = F.size(F.filter("_splits", lambda split: split <= key))
     blocked = (
         distinct.join(splitters, group, "left")
         .withColumn("_block", F.when(F.col("_splits").isNull(), 0).otherwise(passed))
         .drop("_splits")
+        # By block, not only by group: the blocks of a large group belong on different tasks.
+        .repartition(*block)
     )
     earlier_blocks = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_keys = Window.partitionBy(*block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_keys = Window.partitionBy(*block).orderBy(*leading, key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*block)
         .agg(F.sum(weight).alias("_size"))
@@ -66,7 +69,7 @@ def numbered(
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, ... by a key unique in its group."""
-    runs = ordered_runs(rows.withColumn("_one", F.lit(1)), group, key, "_one", rows_per_block)
+    runs = ordered_runs(rows.withColumn("_one", F.lit(1)), group, F.col(key), "_one", rows_per_block)
     return runs.withColumn(name, F.col("start") + 1).drop("_one", "start")
 
 
@@ -80,7 +83,7 @@ def percentiles(
     """Exact percentiles per group, linear between neighbours; one column per fraction."""
     group = list(group)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    runs = ordered_runs(counted, group, value, "_n", rows_per_block)
+    runs = ordered_runs(counted, group, F.col(value), "_n", rows_per_block)
     totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
     placed = runs.join(totals, group)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import rubric, sqltext
 from tallyhouse.functions.grading import any_grade
 from tallyhouse.functions.text import rubric_block, stripped
+from tallyhouse.operators.layout import spread
 from tallyhouse.plans.star import Star
 
 # Logged texts, by remainder of the query number; the last gets a varying limit.
@@ -96,7 +97,7 @@ def read_tokens(log: DataFrame) -> DataFrame:
 
 
 def tokens(star: Star) -> DataFrame:
-    return read_tokens(query_log(star))
+    return read_tokens(spread(query_log(star)))
 
 
 def distinct_texts(star: Star) -> DataFrame:
@@ -185,7 +186,7 @@ def verdicts(log: DataFrame) -> DataFrame:
 
 
 def log_policy_verdict(star: Star) -> DataFrame:
-    return verdicts(query_log(star)).select(
+    return verdicts(spread(query_log(star))).select(
         "query_id",
         (F.size("failures") == 0).cast("int").alias("valid"),
         listed(F.col("failures")).alias("rule_failures"),
