@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -42,14 +43,16 @@ def local_session(cores: int | str = "*", app: str = "tallyhouse") -> SparkSessi
     return tune(spark)
 
 
+@cache
+def _temporary_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach.
 
     It lies under ``spark.checkpoint.dir``. Only a session without that setting (a test on
     one machine) gets a local temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _temporary_dir(spark.sparkContext.applicationId)
     return f"{shared.rstrip('/')}/tallyhouse/{purpose}-{uuid.uuid4().hex}"
