@@ -199,8 +199,8 @@ BODIES = {
         from (select unnest(case when n_chars > 1000 then [lang, source, 'long'] else [lang, source] end) tag from documents)
         group by 1""",
     "case_quality_check": """
-        select k as case_no, cast(len(errs) as int) as n_errors, array_to_string(errs, '; ') as errors
-        from x_errors where len(errs) > 0""",
+        select k as case_no, cast(generate_subscripts(errs, 1) - 1 as int) as error_no, unnest(errs) as error
+        from x_errors""",
     "case_quality_totals": """
         select count(*) filter (where len(errs) = 0) as n_valid, count(*) as n_cases from x_errors""",
 }

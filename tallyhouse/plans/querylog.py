@@ -225,7 +225,7 @@ def log_extract_fenced_sql(star: Star) -> DataFrame:
 
 
 def em_normalize_sql(star: Star) -> DataFrame:
-    return query_log(star).select("query_id", sqltext.normalized(F.col("sql_text")).alias("normalized"))
+    return spread(query_log(star)).select("query_id", sqltext.normalized(F.col("sql_text")).alias("normalized"))
 
 
 def em_exact_match(star: Star) -> DataFrame:
@@ -238,7 +238,7 @@ def em_exact_match(star: Star) -> DataFrame:
         .when(key % 5 == 3, F.concat(F.lit(" "), gold, F.lit("  ")))
         .otherwise(F.concat(gold, F.lit(" x")))
     )
-    pairs = query_log(star).withColumn("predicted", predicted)
+    pairs = spread(query_log(star)).withColumn("predicted", predicted)
     same_raw = stripped(gold) == stripped(F.col("predicted"))
     same = sqltext.normalized(gold) == sqltext.normalized(F.col("predicted"))
     return pairs.select("query_id", same.cast("int").alias("em"), same_raw.cast("int").alias("em_raw"))

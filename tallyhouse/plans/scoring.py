@@ -16,6 +16,7 @@ from tallyhouse.functions.text import (
     run_id,
     run_slug,
 )
+from tallyhouse.operators.layout import spread
 from tallyhouse.operators.ordered import numbered, percentiles
 from tallyhouse.plans.querylog import query_log
 from tallyhouse.plans.results import by_remainder, questions, results, runs
@@ -275,9 +276,10 @@ def case_slug(star: Star) -> DataFrame:
 def case_id_assignment(star: Star) -> DataFrame:
     """Case ids: difficulty letter, running number per difficulty in source order, slug."""
     letters = F.create_map(*[F.lit(x) for pair in DIFFICULTY_LETTERS.items() for x in pair])
-    slugs = questions(star).select("source_id", "difficulty", question_slug(F.col("question")).alias("slug"))
-    counted = numbered(slugs, ["difficulty"], "source_id", "case_no")
-    return counted.select(
+    asked = questions(star)
+    counted = numbered(asked.select("source_id", "difficulty"), ["difficulty"], "source_id", "case_no")
+    slugs = asked.select("source_id", question_slug(F.col("question")).alias("slug"))
+    return counted.join(slugs, "source_id").select(
         "source_id",
         "difficulty",
         "case_no",
@@ -318,7 +320,7 @@ def ground_truth_report(star: Star) -> DataFrame:
         .when(kind == 6, F.lit("  "))
         .otherwise(F.lit("[]"))
     )
-    shaped = star.base("orders").select("o_orderkey", ground_truth_shape(cell).alias("shape"))
+    shaped = spread(star.base("orders").select("o_orderkey", "o_orderstatus")).select("o_orderkey", ground_truth_shape(cell).alias("shape"))
     return shaped.select(
         F.col("o_orderkey").alias("case_no"),
         F.col("shape.form").alias("form"),
@@ -357,7 +359,7 @@ def drafted_cases(star: Star) -> DataFrame:
         )
         return F.when((key + salt) % 37 != 0, kept).alias(dimension)
 
-    return star.base("events").select(
+    return spread(star.base("events")).select(
         unless(101, key).alias("id"),
         key.alias("case_no"),
         unless(23, by_remainder(key, 29, {0: "extreme", 1: "easy", 2: "hard"}, "medium")).alias("difficulty"),
@@ -394,11 +396,9 @@ def case_errors() -> Column:
 
 
 def case_quality_check(star: Star) -> DataFrame:
-    """Errors of every case record that has any."""
-    checked = drafted_cases(star).select("case_no", case_errors().alias("found"))
-    return checked.where(F.size("found") > 0).select(
-        "case_no", F.size("found").alias("n_errors"), F.array_join("found", "; ").alias("errors")
-    )
+    """Every error of every case record, one row each."""
+    checked = drafted_cases(star).select("case_no", F.posexplode_outer(case_errors()).alias("error_no", "error"))
+    return checked.where(F.col("error").isNotNull())
 
 
 def case_quality_totals(star: Star) -> DataFrame:
