@@ -54,12 +54,15 @@ def same_value(a: Column, b: Column) -> Column:
     )
 
 
+def rough(number: Column) -> Column:
+    """The number in whole millionths: near-equal numbers become one, and order is kept."""
+    return F.rint(number * F.lit(10.0**SORT_DIGITS))
+
+
 def sort_key(cells: Column) -> Column:
-    """Rounded cells first, exact cells to order what rounding makes equal."""
-    rough = F.transform(
-        cells, lambda c: F.struct(c["kind"], F.round(c["num"], SORT_DIGITS).alias("num"), c["txt"])
-    )
-    return F.struct(rough.alias("rough"), cells.alias("cells"))
+    """Rough cells first, exact cells to order what roughness makes equal."""
+    roughened = F.transform(cells, lambda c: F.struct(c["kind"], rough(c["num"]).alias("num"), c["txt"]))
+    return F.struct(roughened.alias("rough"), cells.alias("cells"))
 
 
 def _distinct_rows(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -76,10 +79,10 @@ def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
     Equal rows form one run of positions. Runs are cut at multiples of ``rows_per_block``, so
     the runs of both sides meet in stretches of bounded length.
     """
+    cells = F.col("cells")
     # Numbers sort before NULL and text, so the first number decides most comparisons.
-    leading = [F.asc_nulls_last(F.round(F.get("cells", F.lit(0))["num"], SORT_DIGITS))]
-    key = sort_key(F.col("cells"))
-    runs = ordered_runs(distinct, ["case_id", "side"], key, "_n", rows_per_block, leading)
+    leading = [F.asc_nulls_last(rough(F.get(cells, F.lit(0))["num"]))]
+    runs = ordered_runs(distinct, ["case_id", "side"], sort_key(cells), "_n", rows_per_block, leading, cells)
     width = F.lit(rows_per_block)
     first = F.floor(F.col("start") / width)
     last = F.floor((F.col("start") + F.col("_n") - 1) / width)

@@ -24,6 +24,7 @@ def ordered_runs(
     weight: str,
     rows_per_block: int = ROWS_PER_BLOCK,
     leading: Sequence[Column] = (),
+    picked_by: Column | None = None,
 ) -> DataFrame:
     """Add ``start``: the summed ``weight`` of smaller keys in the same group.
 
@@ -31,11 +32,12 @@ def ordered_runs(
     key order; the choice depends on the data alone, so a task that runs again agrees with
     its first run. Blocks are summed first, then sorted inside. Group columns hold no NULL.
     ``key`` is computed where it is compared and never shuffled. ``leading`` may name sort
-    columns that order rows as a nested key does, but cheaper.
+    columns that order rows as a nested key does, but cheaper; ``picked_by`` a cheaper value,
+    just as distinct, to hash.
     """
     group = list(group)
     block = [*group, "_block"]
-    chosen = F.pmod(F.xxhash64(*group, key), F.lit(rows_per_block)) == 0
+    chosen = F.pmod(F.xxhash64(*group, key if picked_by is None else picked_by), F.lit(rows_per_block)) == 0
     splitters = distinct.where(chosen).groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("_splits"))
     passed = F.size(F.filter("_splits", lambda split: split <= key))
     blocked = (
