@@ -163,10 +163,20 @@ def compare_results(
 
 
 def exact_difference(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Bag difference both ways: rows found on one side only, counted per case."""
-    def count(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("case_id").agg(F.count("*").alias(name))
+    """Bag difference both ways: rows found on one side only, counted per case.
 
-    lost = count(gold.exceptAll(predicted), "gold_only")
-    extra = count(predicted.exceptAll(gold), "predicted_only")
-    return lost.join(extra, "case_id", "full").fillna(0, ["gold_only", "predicted_only"])
+    One aggregation nets the copies of each distinct row, so none is written out again.
+    """
+    def on(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0))
+
+    netted = (
+        _distinct_rows(gold, predicted)
+        .groupBy("case_id", "cells")
+        .agg((on("gold") - on("predicted")).alias("_extra"))
+        .where(F.col("_extra") != 0)
+    )
+    return netted.groupBy("case_id").agg(
+        F.sum(F.greatest(F.col("_extra"), F.lit(0))).alias("gold_only"),
+        F.sum(F.greatest(-F.col("_extra"), F.lit(0))).alias("predicted_only"),
+    )
