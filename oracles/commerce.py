@@ -1,5 +1,12 @@
 """Oracle bodies for counting, sales and service queries (views are added by ``statement``)."""
 
+
+def _mean(amount: str) -> str:
+    """Mean of a two-digit decimal rounded to two digits in whole cents, so exact halves go up."""
+    cents = f"cast(sum({amount}) * 100 as hugeint)"
+    return f"cast((2 * {cents} + count(*)) // (2 * count(*)) as double) / 100"
+
+
 _DAYS = "cast(trunc(date_diff('second', {a}, {b}) / 86400.0) as bigint)"
 
 BODIES = {
@@ -61,8 +68,8 @@ BODIES = {
     "m04_top_categories_revenue": """
         select english_name as category, cast(sum(amount) as double) as revenue from x_lines
         group by 1 order by revenue desc nulls first, category nulls last limit 5""",
-    "ex02_item_value_by_category": """
-        select best_name as category, round(avg(amount), 2) as avg_order_value from x_lines
+    "ex02_item_value_by_category": f"""
+        select best_name as category, {_mean('amount')} as avg_order_value from x_lines
         group by 1 order by avg_order_value desc, category nulls last limit 20""",
     "ex15_top_categories_by_items": """
         select best_name as category, count(*) as item_count from x_lines
@@ -79,16 +86,16 @@ BODIES = {
         from x_lines l join x_buyers b on b.order_id = l.order_id
         group by 1, 2 order by revenue desc, customer_state, category nulls last limit 5""",
     # -- customers and places ---------------------------------------------------------
-    "h01_average_lifetime_value": """
-        select round(avg(spent), 2) as avg_ltv
+    "h01_average_lifetime_value": f"""
+        select {_mean('spent')} as avg_ltv
         from (select b.person, sum(i.price + i.freight_value) spent from x_buyers b
               join x_items i on i.order_id = b.order_id group by b.person)""",
-    "m03_average_order_value_by_state": """
-        select b.state as customer_state, round(avg(v.total), 2) as avg_gmv
+    "m03_average_order_value_by_state": f"""
+        select b.state as customer_state, {_mean('v.total')} as avg_gmv
         from x_order_value v join x_buyers b on b.order_id = v.order_id
         group by 1 order by avg_gmv desc, 1 limit 5""",
-    "exl08_order_value_by_state_with_n": """
-        select b.state as customer_state, round(avg(v.total), 2) as avg_gmv, count(*) as n_orders
+    "exl08_order_value_by_state_with_n": f"""
+        select b.state as customer_state, {_mean('v.total')} as avg_gmv, count(*) as n_orders
         from x_order_value v join x_buyers b on b.order_id = v.order_id
         group by 1 order by avg_gmv desc, 1 limit 5""",
     "ex01_revenue_by_state": """
@@ -99,12 +106,12 @@ BODIES = {
         from x_order_value v join x_buyers b on b.order_id = v.order_id
         where b.order_status = 'delivered' group by 1 order by avg_items desc, 1 limit 5""",
     # -- months -----------------------------------------------------------------------
-    "h09_monthly_average_order_value": """
-        select strftime(o.order_purchase_timestamp, '%Y-%m') as ym, round(avg(v.total), 2) as avg_order_value,
+    "h09_monthly_average_order_value": f"""
+        select strftime(o.order_purchase_timestamp, '%Y-%m') as ym, {_mean('v.total')} as avg_order_value,
                count(*) as n_orders
         from x_order_value v join x_orders o on o.order_id = v.order_id group by 1 order by 1""",
-    "exl16_monthly_aov_category": """
-        select strftime(d.placed, '%Y-%m') as ym, round(avg(v.total), 2) as avg_order_value, count(*) as n_orders
+    "exl16_monthly_aov_category": f"""
+        select strftime(d.placed, '%Y-%m') as ym, {_mean('v.total')} as avg_order_value, count(*) as n_orders
         from (select order_id, sum(amount) total from x_lines where english_name = 'brand_9' group by 1) v
         join x_delivered d on d.order_id = v.order_id group by 1 order by 1""",
     # -- sellers ----------------------------------------------------------------------
@@ -147,8 +154,8 @@ BODIES = {
         select category, payment_type, cast(v as double) as payment_value,
                round(v * 100.0 / sum(v) over (partition by category), 2) as payment_share_pct
         from paid""",
-    "m09_average_payment_by_type": """
-        select payment_type, round(avg(payment_value), 2) as avg_value, count(*) as n from x_payments group by 1""",
+    "m09_average_payment_by_type": f"""
+        select payment_type, {_mean('payment_value')} as avg_value, count(*) as n from x_payments group by 1""",
     "ex10_total_payment_by_type": """
         select payment_type, cast(sum(payment_value) as double) as total_value, count(*) as n
         from x_payments group by 1""",
