@@ -1,6 +1,7 @@
 """CSV cells, dedupe and the zip table on hand-made rows."""
 
 import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def test_columns_are_matched_by_name(spark, tmp_path):
     path.write_text("freight_value,order_id,unknown,order_item_id,price\n1.239,o1,zz,-2.9,10\nbad,o2,zz,,\n")
     rows = load_table(spark, str(path), "order_items").orderBy("order_id").collect()
     assert rows[0].asDict() == {
-        "freight_value": __import__("decimal").Decimal("1.24"), "order_id": "o1", "order_item_id": -2,
-        "price": __import__("decimal").Decimal("10.00"),
+        "freight_value": Decimal("1.24"), "order_id": "o1", "order_item_id": -2,
+        "price": Decimal("10.00"),
     }
     assert rows[1].freight_value is None and rows[1].order_item_id is None and rows[1].price is None
     assert "unknown" in scan_csv(spark, str(path)).columns
