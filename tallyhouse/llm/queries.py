@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import mixing, packing, sharding, token_counts
+from tallyhouse.llm import language, minhash, mixing, packing, quality, sharding, token_counts
 from tallyhouse.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,14 +46,37 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(words, F.col("n_words"))
 
 
+def op5_compression_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    taught = docs.filter(F.coalesce(~held_out, F.lit(True)))
+    dictionaries = language.learn(taught, F.col("lang"), F.col("text"), F.col("doc_id"))
+    judged = language.identify(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), dictionaries)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op6_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words the mix takes of every document."""
     sized = table(spark, folder, "documents").select("doc_id", "source", word_count("text").alias("size"))
     return mixing.mix(sized, "doc_id", "source", "size").drop("source")
 
 
+def op8_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by both views and together."""
+    docs = table(spark, folder, "documents")
+    model = quality.train_model(docs, table(spark, folder, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", "text_quality", "meta_quality", "quality_score", "accepted")
+
+
+def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by three-word shingle sets of similarity 0.85 or more."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", shingle=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_hypergeometric_shards, op3_best_fit_packing, op6_fair_queue_mixing)
+    for f in (op1_token_counts, op2_hypergeometric_shards, op3_best_fit_packing, op5_compression_language_id, op6_fair_queue_mixing,
+        op8_cotraining_quality, op10_bbit_minhash)
 }
 ORACLES: dict[str, str] = {}

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import stored
 from tallyhouse.llm.spans import SpanHasher
 
-BLOCK_CHARS = 24_000_000
-CHUNK_CHARS = 2_000_000
+BLOCK_CHARS = 16_000_000
+CHUNK_CHARS = 1_000_000
 SLICE_BYTES = 48_000_000
 
 # The code points Unicode calls white space, and the contraction endings that the
