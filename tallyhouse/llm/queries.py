@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import language, minhash, mixing, packing, quality, sharding, token_counts
+from tallyhouse.llm import (
+    ann, html_text, language, minhash, mixing, packing, quality, sharding, token_counts, vector_dedup,
+)
 from tallyhouse.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKEN_LIMIT = 1024
 SHARDS = 24
+NEIGHBOURS = 20
 
 
 def _tokenizer_path() -> str:
@@ -46,6 +49,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(words, F.col("n_words"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return ann.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, NEIGHBOURS)
+
+
 def op5_compression_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every whole text, learned from the documents that are not held out."""
     docs = table(spark, folder, "documents")
@@ -62,6 +70,11 @@ def op6_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized, "doc_id", "source", "size").drop("source")
 
 
+def op7_int8_tile_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors of one label linked by a cosine of 0.98 or more."""
+    return vector_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.98)
+
+
 def op8_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by both views and together."""
     docs = table(spark, folder, "documents")
@@ -69,6 +82,11 @@ def op8_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", "text_quality", "meta_quality", "quality_score", "accepted")
 
 
+def op9_suffix_array_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked by three-word shingle sets of similarity 0.85 or more."""
     return minhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", shingle=3, percent=85)
@@ -76,7 +94,10 @@ def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_hypergeometric_shards, op3_best_fit_packing, op5_compression_language_id, op6_fair_queue_mixing,
-        op8_cotraining_quality, op10_bbit_minhash)
+    for f in (
+        op1_token_counts, op2_hypergeometric_shards, op3_best_fit_packing, op4_multi_index_hashing,
+        op5_compression_language_id, op6_fair_queue_mixing, op7_int8_tile_dedup, op8_cotraining_quality,
+        op9_suffix_array_html, op10_bbit_minhash,
+    )
 }
 ORACLES: dict[str, str] = {}
