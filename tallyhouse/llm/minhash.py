@@ -6,14 +6,15 @@
    give the buckets in which candidates meet.
 3. In a bucket a class is compared with a hub rather than with all others: the share of equal
    four-bit fields, corrected for chance collisions, estimates the similarity; each class's best
-   hub is confirmed on the full shingle sets. Two rounds of hubs unite the large groups.
-4. Classes of a bucket that are still apart are compared in tiles, by signature; what the
-   estimate can't rule out is confirmed on the full sets. So no link is lost, and a large group
-   is never expanded into its pairs.
+   hub is confirmed on the full shingle sets. A round of hubs unites most of a large group.
+4. Classes of a bucket that are still apart are compared in tiles: by signature, and by their sets
+   where the estimate can't rule a link out. A tile hands on a spanning forest of its links, which
+   is confirmed like the hubs'. So no link is lost, and a large group is never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,11 @@ FIELDS = 64 // BITS
 CHANCE = 2.0**-BITS
 # Six deviations of the estimate: what lies further below the threshold is no link.
 SLACK = 0.2
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 TILE = 1_024
-ROWS_AT_ONCE = 4_096
+ROWS_AT_ONCE = COLUMNS_AT_ONCE = 4_096
+# So few pairs of a tile are compared one by one; more as a product of membership grids.
+FEW_PAIRS = 64
 _LOW_BITS = 0x1111111111111111
 
 _random = np.random.default_rng(20_250_101)
@@ -105,7 +108,8 @@ def _sets(size: int):
         hasher = SpanHasher()
         for batch in batches:
             sets = [shingle_hashes(t, size, hasher) for t in batch["text"]]
-            yield pd.DataFrame({"set_key": [_set_key(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+            small = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
+            yield pd.DataFrame({"set_key": [_set_key(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "small": small})
 
     return run
 
@@ -134,56 +138,100 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - apart / MINIMA) - CHANCE) / (1 - CHANCE)
 
 
-def _tile_pairs(percent: int):
-    """Pairs of a tile task's classes that are apart and may be similar enough."""
-
-    def of_group(rows: pd.DataFrame) -> pd.DataFrame | None:
-        left, right = rows[rows["side"] <= 1], rows[rows["side"] >= 1]
-        out = []
-        for at in range(0, len(left), TILE // 4):
-            some = left.iloc[at : at + TILE // 4]
-            for to in range(0, len(right), TILE):
-                other = right.iloc[to : to + TILE]
-                close = estimates(_words(some), _words(other)) >= percent / 100 - SLACK
-                n, m = some["n"].to_numpy()[:, None], other["n"].to_numpy()[None, :]
-                close &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                close &= some["component"].to_numpy()[:, None] != other["component"].to_numpy()[None, :]
-                i, j = np.nonzero(close)
-                out.append(pd.DataFrame({"a": some["cid"].to_numpy()[i], "b": other["cid"].to_numpy()[j]}))
-        return pd.concat(out) if out else None
-
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the left sets shares with each of the right ones."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for some in (left, right):
+        rows = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        sides.append((rows, np.concatenate(some)))
+    values, often = np.unique(np.concatenate([v for _, v in sides]), return_counts=True)
+    values = values[often > 1]
+    for at in range(0, len(values), COLUMNS_AT_ONCE):
+        block = values[at : at + COLUMNS_AT_ONCE]
+        grids = []
+        for (rows, own), some in zip(sides, (left, right), strict=True):
+            column = np.minimum(np.searchsorted(block, own), len(block) - 1)
+            hit = block[column] == own
+            grid = np.zeros((len(some), len(block)), dtype=np.float32)
+            grid[rows[hit], column[hit]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _links_between(percent: int, side, cid, component, n, marks, sets) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the links between the two sides of a tile task."""
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), TILE // 4):
+        rows = left[at : at + TILE // 4]
+        close = estimates(marks[rows], marks[right]) >= percent / 100 - SLACK
+        x, y = n[rows][:, None], n[right][None, :]
+        close &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        close &= component[rows][:, None] != component[right][None, :]
+        if len(left) == len(right):
+            # Both sides are the same tile: each pair once.
+            close &= cid[rows][:, None] < cid[right][None, :]
+        i, j = np.nonzero(close)
+        if not len(i):
+            continue
+        if len(i) <= FEW_PAIRS:
+            both = np.array([len(np.intersect1d(sets[rows[p]], sets[right[q]], assume_unique=True)) for p, q in zip(i, j, strict=True)])
+        else:
+            used, used_right = np.unique(i), np.unique(j)
+            grid = common_counts([sets[rows[p]] for p in used], [sets[right[q]] for q in used_right])
+            both = grid[np.searchsorted(used, i), np.searchsorted(used_right, j)].astype(np.int64)
+        linked = 100 * both >= percent * (n[rows[i]] + n[right[j]] - both)
+        found.append((rows[i[linked]], right[j[linked]]))
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            c = above
+        return c
+
+    out = []
+    for i, j in found:
+        pairs = np.stack([component[i], component[j]], axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        for k in first:
+            one, two = top(int(pairs[k, 0])), top(int(pairs[k, 1]))
+            if one != two:
+                up[max(one, two)] = min(one, two)
+                out.append((int(cid[i[k]]), int(cid[j[k]])))
+    return out
+
+
+def _tile_links(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition holds whole tasks, sorted; the last task of a batch may go on in the next.
-        rest: list[pd.DataFrame] = []
-        keys = ["key", "i", "j"]
-        for batch in batches:
-            if not len(batch):
+        rest: pd.DataFrame | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                whole, rest = rest, None
+            else:
+                whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if whole is None or not len(whole):
                 continue
-            if rest and tuple(rest[-1].iloc[-1][keys]) != tuple(batch.iloc[0][keys]):
-                yield from _done(rest, of_group, keys)
-                rest = []
-            rest.append(batch)
-            if tuple(batch.iloc[0][keys]) != tuple(batch.iloc[-1][keys]):
-                whole = pd.concat(rest)
-                tail = (whole[keys] == whole.iloc[-1][keys]).all(axis=1)
-                yield from _done([whole[~tail]], of_group, keys)
-                rest = [whole[tail]]
-        if rest:
-            yield from _done(rest, of_group, keys)
+            key, i, j = (whole[c].to_numpy() for c in ("key", "i", "j"))
+            new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(whole)]])
+            if batch is not None:
+                rest = whole.iloc[bounds[-2] :].reset_index(drop=True)
+                bounds = bounds[:-1]
+            side, cid, component, n = (whole[c].to_numpy() for c in ("side", "cid", "component", "n"))
+            marks, sets = whole["signature"].to_numpy(), whole["small"].to_numpy()
+            out = []
+            for a, b in itertools.pairwise(bounds.tolist()):
+                some = np.stack(marks[a:b]).astype(np.int64).view(np.uint64)
+                own = [np.frombuffer(x, dtype="<u4") for x in sets[a:b]]
+                out += _links_between(percent, side[a:b], cid[a:b], component[a:b], n[a:b], some, own)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _words(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack(rows["signature"].to_numpy()).astype(np.int64).view(np.uint64)
-
-
-def _done(parts: list[pd.DataFrame], of_group, keys: list[str]) -> Iterator[pd.DataFrame]:
-    found = [f for _, g in pd.concat(parts).groupby(keys, sort=False) if (f := of_group(g)) is not None and len(f)]
-    if found:
-        yield pd.concat(found)
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``b`` may be a hub with many partners."""
     mine = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("_x"))
@@ -228,8 +276,8 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     )
     ids = suspects.select(F.col("least").alias("id")).distinct()
     sets = stored(
-        texts.join(ids, "id", "left_semi").select("text").mapInPandas(_sets(shingle), "set_key binary, hashes array<bigint>")
-        .join(suspects.select("cid", "set_key"), "set_key").dropDuplicates(["cid"]).select("cid", "hashes"),
+        texts.join(ids, "id", "left_semi").select("text").mapInPandas(_sets(shingle), "set_key binary, hashes array<bigint>, small binary")
+        .join(suspects.select("cid", "set_key"), "set_key").dropDuplicates(["cid"]).select("cid", "hashes", "small"),
         "minhash-sets",
     )
     known = stored(members.join(marks, "cid"), "minhash-buckets")
@@ -238,7 +286,7 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     links = stored(classes.join(same, "least").select(F.col("cid").alias("a"), "b").filter("a <> b"), "minhash-links")
     for turn in range(HUB_ROUNDS):
         links = stored(links.union(_hub_links(_labelled(known, links), sets, percent, turn)), "minhash-links")
-    rest = _apart(_labelled(known, links), percent)
+    rest = _apart(_labelled(known, links), sets, percent)
     links = stored(links.union(_confirm(rest, sets, percent)), "minhash-links")
     groups = components(links)
     named = classes.select("cid", "set_key", "least").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
@@ -274,8 +322,11 @@ def _hub_links(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> Dat
     return _confirm(best.select(F.col("cid").alias("a"), F.col("best.b").alias("b")), sets, percent)
 
 
-def _apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose estimate is high enough.
+def _apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket, enough of them to join what is linked.
+
+    Inside a task the estimate rules pairs out, and the full sets, as 32-bit hashes, decide on the
+    rest; only a spanning forest leaves it.
 
     Per bucket the largest component is the main one. Tasks hold a tile of it (side 0) against a
     tile of the others (side 2), or two tiles of the others (side 1 is both at once).
@@ -312,12 +363,12 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
             F.when(j == F.col("own"), 1).when(F.col("own") < j, 0).otherwise(2),
         ),
     )
-    dealt = r.select(
-        "key", "cid", "component", "n", "signature",
+    dealt = r.join(sets.select("cid", "small"), "cid").select(
+        "key", "cid", "component", "n", "signature", "small",
         F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(against_main, among))).alias("t"),
-    ).select("key", "t.i", "t.j", "t.side", "cid", "component", "n", "signature")
+    ).select("key", "t.i", "t.j", "t.side", "cid", "component", "n", "signature", "small")
     found = (
         dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInPandas(_tile_pairs(percent), "a bigint, b bigint")
+        .mapInPandas(_tile_links(percent), "a bigint, b bigint")
     )
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
