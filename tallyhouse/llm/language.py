@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import place
+from tallyhouse.llm.common import PLACE_BITS, place, stored
 
 UNKNOWN = "und"
 # Bounds of the dictionaries: bytes each, documents per language, characters taken of one.
@@ -45,13 +45,19 @@ def learn(frame: DataFrame, lang: Column, text: Column, key: Column) -> dict[str
     """
     first = Window.partitionBy("lang").orderBy("at", "key")
     rows = frame.filter(lang.isNotNull()).select(lang.alias("lang"), text.alias("text"), key.alias("key"))
-    # Keys alone are ranked, so texts are sorted and moved for the picked documents only.
-    keys = (
-        rows.select("lang", "key", place(21, F.col("key")).alias("at")).distinct()
-        .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= DICTIONARY_DOCS)
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    # A hash below this share of its range leaves some three times as many as are wanted, whatever
+    # a language's size. Keys alone are ranked, so texts move for the picked documents only.
+    share = F.least(F.lit(1.0), 3.0 * DICTIONARY_DOCS / F.col("n"))
+    keys = stored(
+        rows.select("lang", "key", place(21, F.col("key")).alias("at"))
+        .join(counts, "lang").filter(F.col("at") <= share * float(1 << PLACE_BITS)).select("lang", "key", "at").distinct()
+        .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= DICTIONARY_DOCS),
+        "language-keys",
     )
     picked = (
-        rows.filter(F.col("text").isNotNull()).join(keys, ["lang", "key"])
+        # At most DICTIONARY_DOCS rows a language.
+        rows.filter(F.col("text").isNotNull()).join(F.broadcast(keys), ["lang", "key"])
         .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("n", "text")))
         .filter(F.col("r") <= DICTIONARY_DOCS)
         .select("lang", "r", F.substring("text", 1, DICTIONARY_CHARS).alias("text"))
@@ -59,7 +65,7 @@ def learn(frame: DataFrame, lang: Column, text: Column, key: Column) -> dict[str
     texts: dict[str, list] = {}
     for row in picked.toLocalIterator():
         texts.setdefault(row["lang"], []).append((row["r"], plain(row["text"])))
-    often = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    often = {r["lang"]: r["n"] for r in counts.toLocalIterator()}
     found = {}
     for name in sorted(texts, key=lambda t: (-often[t], t)):
         content = "".join(t for _, t in sorted(texts[name])).encode()[:DICTIONARY_BYTES]

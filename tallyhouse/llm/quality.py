@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import place
+from tallyhouse.llm.common import place, stored
 
 # Bounds of what is fitted on the driver.
 LABELLED_ROWS = 8_000
@@ -201,9 +201,9 @@ def train_model(
         .orderBy(place(12, F.col("doc_id")), "doc_id").limit(unlabelled_rows)
         .join(truth, "doc_id", "left_anti").withColumn("y", F.lit(-1))
     )
-    chosen = truth.unionByName(others.select("doc_id", F.col("y").cast("int")), allowMissingColumns=False)
-    # A repeated id counts once, so the sample stays bounded.
-    sample = frame.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    chosen = stored(truth.select("doc_id", F.col("y").cast("int")).union(others.select("doc_id", F.col("y").cast("int"))), "quality-sample")
+    # The chosen ids are bounded by the parameters. A repeated id counts once, so the sample is, too.
+    sample = frame.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
