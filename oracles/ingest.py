@@ -5,13 +5,14 @@ BODIES = {
         select cast(doc_id as varchar) as review_id, 'o' || doc_id as order_id,
                cast(doc_id % 5 + 1 as int) as review_score,
                case when doc_id % 3 <> 0 then 'say "' || lang || '", twice' end as review_comment_title,
-               md5(text) as message_md5, cast(length(text) as int) as message_chars
-        from documents""",
+               md5(message) as message_md5, cast(length(message) as int) as message_chars
+        from (select *, case when doc_id % 4 = 1 then chr(10) || '  ' || text || '  ' || chr(10) else text end message
+              from documents)""",
     "ingest_lenient_cast": """
         select cast(p_partkey as varchar) as product_id,
                case when p_partkey % 40 <> 0 then p_brand end as product_category_name,
-               cast(case p_partkey % 7 when 1 then null when 2 then null when 4 then -p_size
-                    when 5 then p_size * 10 else p_size end as int) as product_weight_g
+               cast(case when p_partkey % 21 in (6, 13) then null else case p_partkey % 7 when 1 then null when 2 then null when 4 then -p_size
+                    when 5 then p_size * 10 else p_size end end as int) as product_weight_g
         from part""",
     "ingest_timestamp_formats": """
         select cast(o_orderkey as varchar) as order_id,
@@ -24,11 +25,21 @@ BODIES = {
         from lineitem
         order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity,
                  l_discount, l_tax""",
+    "ingest_table_load": """
+        select cast(o_orderkey as varchar) as order_id, cast(o_orderkey % 3 + 1 as int) as payment_sequential,
+               ' ' || chr(10) || o_orderpriority as payment_type,
+               cast(case when o_orderkey % 4 = 0 then 3 end as int) as payment_installments,
+               cast(o_totalprice as decimal(10,2)) as payment_value
+        from orders""",
     "geolocation_by_zip": """
         , cities as (select zip, city, row_number() over (partition by zip order by count(*) desc, city) place
-                     from x_geo group by zip, city)
-        select g.zip, round(avg(g.lat), 6) as lat, any_value(c.city) as city
-        from x_geo g join cities c on c.zip = g.zip and c.place = 1 group by g.zip""",
+                     from x_geo where city is not null group by zip, city),
+        states as (select zip, state, row_number() over (partition by zip order by count(*) desc, state) place
+                   from x_geo where state is not null group by zip, state)
+        select g.zip, round(avg(g.lat), 6) as lat, round(avg(g.lng), 6) as lng, any_value(c.city) as city,
+               any_value(s.state) as state
+        from x_geo g left join cities c on c.zip = g.zip and c.place = 1
+        left join states s on s.zip = g.zip and s.place = 1 group by g.zip""",
     "table_row_counts": """
         , counted as (
           select 'customers' table_name, (select count(*) from x_customers) n, 99000 minimum

@@ -1,6 +1,6 @@
 """Oracle bodies for the query-log audit.
 
-What a parser would find in the sixteen logged texts is stated by hand per text number
+What a parser would find in the logged texts is stated by hand per text number
 (``tpl``); rules on plain text are SQL patterns.
 """
 
@@ -43,7 +43,7 @@ VIEWS = {
     "x_query_log": f"""
         select e.event_id query_id, cast(t.i as int) tpl,
                case when t.i = 15 then t.txt || (e.event_id % 90) || ';' else t.txt end sql_text
-        from events e join (values {_values(LOGGED)}) t(i, txt) on t.i = e.event_id % 16""",
+        from events e join (values {_values(LOGGED)}) t(i, txt) on t.i = e.event_id % {len(LOGGED)}""",
     # tables and columns each text refers to
     "x_names": """
         select * from (values
@@ -58,12 +58,17 @@ VIEWS = {
           (12, ['orders', 'recent'], ['order_id', 'created_at']),
           (13, ['sellers', 'geolocation_by_zip', 'geolocation'], ['seller_id', 'seller_zip_code_prefix',
                 'geolocation_zip_code_prefix', 'geolocation_city']),
-          (14, [], []), (15, ['orders', 'customers'], ['order_status', 'customer_id'])) v(tpl, tabs, cols)""",
+          (14, [], []), (15, ['orders', 'customers'], ['order_status', 'customer_id']),
+          (16, ['pg_shadow'], ['usename']), (17, ['customers', 'secret_table'], ['customer_id', 'customer_city', 'id']),
+          (18, ['orders', 'secret_table'], ['order_id']), (19, ['orders'], ['order_id', 'oid']),
+          (20, ['orders'], ['order_id', 'order_status', 'customer_id']), (21, ['orders', 'order_items'], ['order_id']),
+          (22, ['orders'], ['order_id', 'order_status'])) v(tpl, tabs, cols)""",
     "x_broken": """
         select * from (values
           (0, '', 'R8'), (1, 'R7', 'R8'), (2, '', ''), (3, 'R2,R3', 'R8'), (4, 'R4,R5', 'R8'), (5, 'R6,R10', 'R8'),
           (6, 'R10', ''), (7, '', 'R8,R9'), (8, 'R3,R5', 'R8'), (9, 'R4,R5', 'R8'), (10, '', 'R8'), (11, '', ''),
-          (12, 'R5', 'R8'), (13, 'R7,R10', 'R8'), (14, 'R1', ''), (15, '', '')) v(tpl, failures, warnings)""",
+          (12, 'R5', 'R8'), (13, 'R7,R10', 'R8'), (14, 'R1', ''), (15, '', ''), (16, 'R4,R5', 'R8'), (17, 'R5', ''),
+          (18, 'R5', 'R8'), (19, '', ''), (20, '', ''), (21, 'R2', ''), (22, '', '')) v(tpl, failures, warnings)""",
     "x_cell_table": _cell("table"),
     "x_cell_filters": _cell("filters"),
     "x_cell_aggregation": _cell("aggregation"),
@@ -81,6 +86,8 @@ VIEWS = {
         , scoped as (
           select *, lower(case tpl when 10 then 'shipping_limit_date IS NOT NULL'
                     when 11 then 'o.order_status = ''delivered'' AND o.order_delivered_customer_date >= ''2018-01-01'' AND o.customer_id <> ''x'''
+                    when 17 then 'customer_city = ''--'' AND customer_id IN (SELECT id FROM secret_table)'
+                    when 20 then 'order_status IS DISTINCT FROM customer_id' when 22 then 'order_id <> ''y'''
                     else regexp_replace(sql_text, '\\s+', ' ', 'g') end) body
           from x_cell_filters),
         checked as (
@@ -94,9 +101,9 @@ VIEWS = {
         , checked as (
           select query_id, len(items) total, len([x for x in items if not case
               when x = 'COUNT' then tpl in (2, 15) when x = 'AVG' then tpl = 11
-              when x = 'GROUP BY order_status' then tpl in (11, 15) when x = 'ORDER BY days' then tpl = 11
+              when x = 'GROUP BY order_status' then tpl in (11, 15) when x = 'ORDER BY days' then tpl in (11, 19)
               when x = 'LIMIT 5' then tpl in (6, 11) or (tpl = 15 and contains(cast(query_id % 90 as varchar), '5'))
-              when x = 'LIMIT 100' then false
+              when x = 'LIMIT 100' then tpl = 22
               when x = 'SUM(CASE x)' then false when x = 'DISTINCT id' then false else true end]) missing
           from x_cell_aggregation)
         select query_id, {_grade('missing', 'total')} grade from checked""",
@@ -122,22 +129,22 @@ for _name in ("table", "filters", "aggregation"):
 BODIES = {
     "log_statement_kind": """
         select query_id, k as kind, case when k in ('SELECT', 'WITH') then 1 else 0 end as allowed
-        from (select query_id, case tpl when 3 then 'DROP' when 12 then 'WITH' when 14 then '' else 'SELECT' end k
+        from (select query_id, case tpl when 3 then 'DROP' when 12 then 'WITH' when 14 then '' when 21 then 'UNION' else 'SELECT' end k
               from x_query_log)""",
     "log_forbidden_keyword": r"""
         select query_id, unnest(list_distinct(regexp_extract_all(upper(sql_text),
           '\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|GRANT|REVOKE|COPY|VACUUM|REINDEX)\b'))) as word
         from x_query_log""",
-    "log_system_catalog": "select query_id from x_query_log where tpl in (4, 9)",
+    "log_system_catalog": "select query_id from x_query_log where tpl in (4, 9, 16)",
     "log_allow_list": """
         select query_id, case tpl when 4 then 'pg_tables' when 8 then 'unknown_table' when 9 then 'tables'
-               else 'recent' end as table_name
-        from x_query_log where tpl in (4, 8, 9, 12)""",
+               when 12 then 'recent' when 16 then 'pg_shadow' else 'secret_table' end as table_name
+        from x_query_log where tpl in (4, 8, 9, 12, 16, 17, 18)""",
     "log_trap_table": "select query_id from x_query_log where tpl = 5",
     "log_select_star": "select query_id from x_query_log where tpl in (1, 13)",
     "log_limit_rule": """
-        select query_id, cast(tpl in (2, 11, 15) as int) as has_aggregation, cast(tpl in (6, 11, 15) as int) as has_limit,
-               case when tpl in (2, 6, 11, 15) then sql_text when tpl = 14 then ' LIMIT 1000'
+        select query_id, cast(tpl in (2, 11, 15) as int) as has_aggregation, cast(tpl in (6, 11, 15, 17, 19, 20, 21, 22) as int) as has_limit,
+               case when tpl in (2, 6, 11, 15, 17, 19, 20, 21, 22) then sql_text when tpl = 14 then ' LIMIT 1000'
                     else sql_text || ' LIMIT 1000' end as sql_text
         from x_query_log""",
     "log_table_usage": r"""

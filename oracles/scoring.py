@@ -25,7 +25,8 @@ VIEWS = {
                {_rest('event_id', 11, {0: 'wrong', 1: 'flag'}, 'correct')} d_join,
                {_rest('event_id', 5, {0: 'NA', 1: 'NA', 2: 'flag'}, 'correct')} t_grade,
                {_rest('event_id', 6, {0: 'NA', 1: 'NA', 2: 'NA', 3: 'wrong'}, 'correct')} o_grade,
-               event_id % 31 = 0 refused, event_id % 83 = 0 late
+               event_id % 31 = 0 refused, event_id % 83 = 0 late, event_id % 61 = 0 crashed,
+               case event_id % 14 when 3 then 'zip fan-out' when 8 then 'untranslated category' end trap
         from events""",
     "x_folded": """
         select *, case when 'wrong' in (t_grade, o_grade) then 'wrong' when 'flag' in (t_grade, o_grade) then 'flag'
@@ -36,12 +37,14 @@ VIEWS = {
         from x_raw""",
     "x_result": f"""
         select *, {_ANY.format('wrong')} wrong, {_ANY.format('flag')} flagged,
-               case when late then 'timeout' when refused then 'error'
+               case when late then 'timeout' when refused or crashed then 'error'
                     when ex = 1 and not {_ANY.format('wrong')} then 'pass' else 'fail' end status,
-               case when late then 'fail' when refused then 'error'
+               case when late or crashed then 'fail' when refused then 'error'
                     when ex = 1 and not {_ANY.format('wrong')} then
                       case when {_ANY.format('flag')} then 'review' else 'pass' end
-                    else 'fail' end outcome
+                    else 'fail' end outcome,
+               case when late then 'statement timeout' when crashed then 'ValueError: no answer'
+                    when refused then 'refused by rule R7' else '' end error
         from x_folded""",
     "x_grades": " union all ".join(f"select run_no, '{d}' dimension, d_{d} grade from x_result" for d in _DIMS),
     "x_grade_counts": """
@@ -147,12 +150,12 @@ BODIES = {
     "eval_false_positives": """
         select run_no, count(*) as n_false_positives from x_result where ex = 1 and wrong group by 1""",
     "eval_failure_list": """
-        select r.query_id, r.run_no, r.difficulty, r.em, r.ex,
+        select r.query_id, r.run_no, r.difficulty, r.trap, r.em, r.ex,
                array_to_string([x for x in [case when d_table = 'wrong' then 'table' end,
                  case when d_filters = 'wrong' then 'filters' end, case when d_aggregation = 'wrong' then 'aggregation' end,
                  case when d_join = 'wrong' then 'join' end, case when d_time_frame = 'wrong' then 'time_frame' end]
                  if x is not null], ',') as wrong_dims,
-               case when refused then 'refused by rule R7' when late then 'statement timeout' end as error,
+               nullif(r.error, '') as error,
                left(l.sql_text, 200) as predicted_sql_excerpt
         from x_result r join x_query_log l on l.query_id = r.query_id where r.status <> 'pass'""",
     "eval_pending_cases": "select query_id, difficulty from x_raw where run_no >= 3",

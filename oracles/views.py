@@ -52,7 +52,9 @@ VIEWS = {
                o.o_orderdate + interval '1' hour * cast((e.event_id * 11) % 900 as int) review_creation_date
         from events e join orders o on o.o_orderkey = e.event_id - e.event_id % 2""",
     "x_geo": """
-        select lpad(cast(c_custkey % 97 as varchar), 5, '0') zip, c_acctbal lat, n_name city
+        select lpad(cast(c_custkey % 97 as varchar), 5, '0') zip, c_acctbal lat,
+               case when c_custkey % 10 <> 0 then -c_acctbal / 2 end lng, n_name city,
+               case when c_custkey % 3 <> 0 then c_mktsegment end state
         from customer join nation on c_nationkey = n_nationkey""",
     "x_categories": """
         select p.product_id, p.product_category_name raw_name, t.product_category_name_english english_name,

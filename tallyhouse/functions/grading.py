@@ -36,20 +36,22 @@ def token_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return F.coalesce(cost, F.lit(0.0))
 
 
-def outcome(ex: Column, wrong: Column, flagged: Column, refused: Column, timed_out: Column) -> Column:
-    """pass, review (a pass with a flag), fail, or error (refused, no rows)."""
+def outcome(
+    ex: Column, wrong: Column, flagged: Column, refused: Column, timed_out: Column, crashed: Column
+) -> Column:
+    """pass, review (a pass with a flag), fail (also after an unexpected exception), or error (refused, no rows)."""
     return (
-        F.when(timed_out, "fail")
+        F.when(timed_out | crashed, "fail")
         .when(refused, "error")
         .when((ex == 1) & ~wrong, F.when(flagged, "review").otherwise("pass"))
         .otherwise("fail")
     )
 
 
-def status(ex: Column, wrong: Column, refused: Column, timed_out: Column) -> Column:
+def status(ex: Column, wrong: Column, refused: Column, timed_out: Column, crashed: Column) -> Column:
     return (
         F.when(timed_out, "timeout")
-        .when(refused, "error")
+        .when(crashed | refused, "error")
         .when((ex == 1) & ~wrong, "pass")
         .otherwise("fail")
     )

@@ -39,13 +39,9 @@ def grade_table(items: Column, tables: Column, qualified: Column, plain: Column)
     return _by_missing(items, is_missing)
 
 
-WHERE = r"(?is)\bwhere\b(.*?)(?:\bgroup\s+by\b|\bhaving\b|\border\s+by\b|\blimit\b|;|$)"
-
-
-def grade_filters(items: Column, sql: Column) -> Column:
-    """Every item occurs in the WHERE text (or in the whole text when there is none)."""
-    where = F.regexp_extract(sql, WHERE, 1)
-    searched = F.lower(F.regexp_replace(F.when(where == "", sql).otherwise(where), r"\s+", " "))
+def grade_filters(items: Column, where: Column, code: Column) -> Column:
+    """Every item occurs in the outermost WHERE's text (or in the whole text when there is none)."""
+    searched = F.lower(F.regexp_replace(F.coalesce(where, code), r"\s+", " "))
 
     def is_missing(item: Column) -> Column:
         wanted = F.lower(F.regexp_replace(item, r"\s+", " "))
@@ -55,10 +51,10 @@ def grade_filters(items: Column, sql: Column) -> Column:
     return _by_missing(items, is_missing)
 
 
-def grade_aggregation(items: Column, text: Column) -> Column:
-    """Aggregate names, DISTINCT, GROUP BY, ORDER BY and LIMIT n; other free text passes."""
+def grade_aggregation(items: Column, text: Column, limit: Column) -> Column:
+    """Aggregate names, DISTINCT, GROUP BY, ORDER BY and the outermost LIMIT n; other free text passes."""
     calls = F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(AGGREGATES)})\s*\("), F.lit(1))
-    limit = F.regexp_extract(text, r"\blimit\s+(\d+)", 1)
+    limit = F.regexp_extract(F.coalesce(limit, F.lit("")), r"^\s*(\d+)", 1)
 
     def is_missing(raw: Column) -> Column:
         item = F.lower(F.trim(raw))

@@ -1,9 +1,8 @@
 """Rules over SQL text as column expressions.
 
-There is no parser here: names and clauses are found by token patterns, row by row, so an
-audit of a query log is one scan. Comments and string literals are blanked before names are
-looked for, except where a rule is about the whole text. Known limits: tables listed after a
-comma are not seen, and a set operation counts as the SELECT it starts with.
+There is no parser here: names and clauses are found by token patterns and folds over a text's
+tokens, row by row. Comments and string literals are told apart in one pass from left to right
+and blanked before names are looked for, except where a rule is about the whole text.
 """
 
 from __future__ import annotations
@@ -59,20 +58,74 @@ def normalized(sql: Column) -> Column:
     return stripped(text)
 
 
+# Quoted names, literals and comments as whole pieces, so that none is looked for inside another.
+PIECE = r"""(?s)"[^"]*"|'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|[^"'/-]+|."""
+
+
+def _is_comment(piece: Column) -> Column:
+    return F.startswith(piece, F.lit("--")) | (F.startswith(piece, F.lit("/*")) & (F.length(piece) > 1))
+
+
+def _rewritten(sql: Column, piece_as) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0)), piece_as), "")
+
+
 def code(sql: Column) -> Column:
     """The text without comments."""
-    return stripped(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "))
+    return stripped(_rewritten(sql, lambda p: F.when(_is_comment(p), " ").otherwise(p)))
+
+
+# FROM where it introduces no table: inside these calls, and in a comparison.
+NOT_A_TABLE_LIST = [
+    (rf"\bextract\s*\(\s*{NAME}\s+from\b", "extract("),
+    (rf"\btrim\s*\(\s*(?:(?:both|leading|trailing)\b\s*)?(?:''|{NAME}(?:\.{NAME})?)?\s*\bfrom\b", "trim("),
+    (r"\b(substring|overlay)(\s*\((?:[^()]|\([^()]*\))*?)\bfrom\b((?:[^()]|\([^()]*\))*?)\bfor\b", "$1$2,$3,"),
+    (r"\b(substring|overlay)(\s*\((?:[^()]|\([^()]*\))*?)\bfrom\b", "$1$2,"),
+    (r"\bis\s+(?:not\s+)?distinct\s+from\b", "="),
+]
 
 
 def bare(code: Column) -> Column:
-    """Lower-case code without literals; ``extract(x from y)`` keeps only y."""
-    text = F.regexp_replace(F.lower(code), "'[^']*'", "''")
-    return F.regexp_replace(text, rf"\bextract\s*\(\s*{NAME}\s+from\b", "extract(")
+    """Lower-case code without literals and without quotes around names; ``extract(x from y)`` keeps only y."""
+
+    def plain(piece: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(piece, '"', ""), r"[^a-z0-9_]", "_")
+        return (
+            F.when(F.startswith(piece, F.lit("'")) & (F.length(piece) > 1), "''")
+            .when(F.startswith(piece, F.lit('"')) & (F.length(piece) > 2), name)
+            .otherwise(piece)
+        )
+
+    text = _rewritten(F.lower(code), plain)
+    for pattern, replacement in NOT_A_TABLE_LIST:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
-def statement_kind(code: Column) -> Column:
-    """First word in capitals, empty when there is none."""
-    return F.upper(F.regexp_extract(code, "^([A-Za-z]+)", 1))
+SET_OPERATIONS = ["union", "intersect", "except"]
+
+
+def set_operation(text: Column) -> Column:
+    """The first set operation outside all parentheses of the first statement, or NULL."""
+    parts = F.regexp_extract_all(text, F.lit(rf"[();]|\b(?:{'|'.join(SET_OPERATIONS)})\b"), F.lit(0))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"] + F.when(part == "(", 1).when(part == ")", -1).otherwise(0)
+        hit = ~state["over"] & (state["depth"] == 0) & part.isin(SET_OPERATIONS) & state["found"].isNull()
+        return F.struct(
+            depth.alias("depth"),
+            (state["over"] | ((part == ";") & (state["depth"] == 0))).alias("over"),
+            F.when(hit, part).otherwise(state["found"]).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("over"), F.lit(None).cast("string").alias("found"))
+    return F.aggregate(parts, start, step, lambda s: s["found"])
+
+
+def statement_kind(code: Column, text: Column) -> Column:
+    """First word in capitals, empty when there is none; the operation's name for a set operation."""
+    word = F.upper(F.regexp_extract(code, "^([A-Za-z]+)", 1))
+    return F.when(word.isin("SELECT", "WITH"), F.coalesce(F.upper(set_operation(text)), word)).otherwise(word)
 
 
 def forbidden_words(sql: Column) -> Column:
@@ -80,16 +133,69 @@ def forbidden_words(sql: Column) -> Column:
     return F.sort_array(F.array_distinct(found))
 
 
+# Fixed value: the pattern of the usage count.
+MENTIONED_TABLE = r"(?i)\b(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+
+
 def mentioned_tables(sql: Column) -> Column:
     """Names after FROM and JOIN anywhere in the text, as a usage count wants them."""
-    found = F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)"), F.lit(1))
+    found = F.regexp_extract_all(sql, F.lit(MENTIONED_TABLE), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, F.lower)))
 
 
-def table_names(text: Column) -> Column:
-    """Unqualified names of referenced tables."""
-    pattern = rf"\b(?:from|join|into|update|table)\s+(?:{NAME}\.)*({NAME})"
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
+# Words that end a list of tables, and words that a table's name follows.
+LIST_ENDS = (
+    "select where group having order limit offset fetch union intersect except set values returning window when then"
+).split()
+TABLE_FOLLOWS = ["join", "into", "update", "table"]
+
+
+def table_references(text: Column) -> Column:
+    """``struct(name, alias)`` of every referenced table, once under its name and once under its alias.
+
+    One fold over the words and parentheses: a name is a table where a FROM list or a JOIN wants
+    one, at any depth; a comma wants another one only inside a FROM list of its own depth.
+    """
+    words = "|".join([*WORDS, *LIST_ENDS, "lateral", "only", "window", "returning", "offset", "fetch"])
+    token = rf"\b(?:{words})\b(?!\s*\.)|{NAME}(?:\s*\.\s*{NAME})*\s*\(|{NAME}(?:\s*\.\s*{NAME})*|[(),;]"
+    parts = F.regexp_extract_all(text, F.lit(token), F.lit(0))
+    no_refs = F.array().cast("array<struct<name:string,alias:string>>")
+
+    def step(s: Column, part: Column) -> Column:
+        is_name = part.rlike(rf"^{NAME}(\s*\.\s*{NAME})*$") & ~part.isin([*WORDS, *LIST_ENDS, "lateral", "only"])
+        opens, closes = F.endswith(part, F.lit("(")), part == ")"
+        here = F.element_at(s["lists"], -1)
+        table = s["wanted"] & is_name
+        alias = (s["last"] != "") & is_name & ~table
+        name = F.regexp_extract(part, rf"({NAME})$", 1)
+        lists = (
+            F.when(opens, F.concat(s["lists"], F.array(s["wanted"] & (part == "("))))
+            .when(closes & (F.size(s["lists"]) > 1), F.slice(s["lists"], 1, F.size(s["lists"]) - 1))
+            .when(part == "from", F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(F.lit(True))))
+            .when(part.isin(LIST_ENDS) | (part == ";"), F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(F.lit(False))))
+            .otherwise(s["lists"])
+        )
+        wanted = (
+            F.when(part.isin("from", *TABLE_FOLLOWS), True).when(part == "(", s["wanted"]).when(part == ",", here)
+            .when(part.isin("lateral", "only"), s["wanted"]).otherwise(False)
+        )
+        refs = (
+            F.when(table, F.concat(s["refs"], F.array(F.struct(name.alias("name"), name.alias("alias")))))
+            .when(alias, F.concat(s["refs"], F.array(F.struct(s["last"].alias("name"), part.alias("alias")))))
+            .otherwise(s["refs"])
+        )
+        last = F.when(table, name).when(part == "as", s["last"]).otherwise("")
+        return F.struct(lists.alias("lists"), wanted.alias("wanted"), refs.alias("refs"), last.alias("last"))
+
+    start = F.struct(
+        F.array(F.lit(False)).alias("lists"), F.lit(False).alias("wanted"), no_refs.alias("refs"), F.lit("").alias("last")
+    )
+    return F.aggregate(parts, start, step, lambda s: s["refs"])
+
+
+def table_names(references: Column) -> Column:
+    """Unqualified names of the referenced tables."""
+    return F.sort_array(F.array_distinct(F.transform(references, lambda r: r["name"])))
 
 
 def reads_catalog(sql: Column, tables: Column) -> Column:
@@ -127,6 +233,33 @@ def with_default_limit(sql: Column, text: Column) -> Column:
     return F.when(needs_limit(sql, text), F.concat(ended, F.lit(f" LIMIT {DEFAULT_LIMIT}"))).otherwise(sql)
 
 
+CLAUSE_PART = r"""(?s)"[^"]*"|'(?:[^']|'')*'|[A-Za-z_][A-Za-z0-9_]*|[();]|\s+|[^A-Za-z_"'();\s]+|."""
+# What ends a WHERE at its own depth.
+CLAUSE_ENDS = ["group", "having", "order", "limit", "union", "intersect", "except", "window", "offset", "fetch"]
+
+
+def shallowest_clause(code: Column, word: str, ends: list[str]) -> Column:
+    """Text after the first ``word`` at the least depth of parentheses, up to what ends it; NULL if absent."""
+    parts = F.regexp_extract_all(code, F.lit(CLAUSE_PART), F.lit(0))
+    far = F.lit(1 << 20)
+
+    def step(s: Column, part: Column) -> Column:
+        lower = F.lower(part)
+        depth = s["depth"] + F.when(part == "(", 1).when(part == ")", -1).otherwise(0)
+        starts = (lower == word) & (s["depth"] < s["best"])
+        stops = s["open"] & ((depth < s["best"]) | ((s["depth"] == s["best"]) & ((part == ";") | lower.isin(ends))))
+        text = F.when(starts, "").when(s["open"] & ~stops, F.concat(s["text"], part)).otherwise(s["text"])
+        return F.struct(
+            depth.alias("depth"), F.when(starts, s["depth"]).otherwise(s["best"]).alias("best"),
+            (starts | (s["open"] & ~stops)).alias("open"), text.alias("text"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"), far.alias("best"), F.lit(False).alias("open"), F.lit(None).cast("string").alias("text")
+    )
+    return F.aggregate(parts, start, step, lambda s: s["text"])
+
+
 def join_clauses(text: Column) -> Column:
     """``struct(side, right)`` per join; side is LEFT, RIGHT, FULL, CROSS or INNER."""
     pattern = F.lit(
@@ -151,28 +284,24 @@ def inner_joins_lookup(text: Column) -> Column:
 # -- columns ----------------------------------------------------------------------------
 
 
-TABLE_REFERENCE = rf"\b(?:from|join)\s+(?:{NAME}\.)*({NAME})(?:\s+(?:as\s+)?({NAME}))?"
-
-
 def _is_word(name: Column) -> Column:
     return name.isin(WORDS)
 
 
-def referenced(text: Column) -> Column:
-    """Table name of every FROM and JOIN, in order."""
-    return F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), F.lit(1))
-
-
-def reference_aliases(text: Column) -> Column:
-    """Alias of every FROM and JOIN, in the same order; the table name where there is none."""
-    aliases = F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), F.lit(2))
-    return F.zip_with(aliases, referenced(text), lambda a, n: F.when((a == "") | _is_word(a), n).otherwise(a))
+# Words an aliased expression may end with.
+VALUE_WORDS = ["end", "null", "true", "false"]
 
 
 def select_aliases(text: Column) -> Column:
+    """Names given to expressions: after AS, after a call, or as ``expression name`` before a comma or FROM."""
     after_as = F.regexp_extract_all(text, F.lit(rf"\bas\s+({NAME})"), F.lit(1))
     after_call = F.regexp_extract_all(text, F.lit(rf"\)\s+({NAME})"), F.lit(1))
-    return F.concat(after_as, F.filter(after_call, lambda n: ~_is_word(n)))
+    listed = F.lit(rf"(?:\b({NAME})|[')0-9])\s+({NAME})(?=\s*,|\s+from\b)")
+    before, names = F.regexp_extract_all(text, listed, F.lit(1)), F.regexp_extract_all(text, listed, F.lit(2))
+    after_value = F.array_compact(
+        F.zip_with(before, names, lambda b, n: F.when(~_is_word(b) | b.isin(VALUE_WORDS), n))
+    )
+    return F.concat(after_as, F.filter(F.concat(after_call, after_value), lambda n: ~_is_word(n)))
 
 
 def prefixed_columns(text: Column) -> Column:
@@ -225,7 +354,7 @@ def unknown_columns(
 def rule_failures(sql: Column, code: Column, text: Column, tables: Column, unknown: Column) -> Column:
     """Names of the blocking rules a text breaks, in rule order. Nothing else is judged on blank text."""
     broken = [
-        ("R2", ~statement_kind(code).isin("SELECT", "WITH")),
+        ("R2", ~statement_kind(code, text).isin("SELECT", "WITH")),
         ("R3", F.size(forbidden_words(sql)) > 0),
         ("R4", reads_catalog(sql, tables)),
         ("R5", F.size(tables_not_allowed(tables)) > 0),
@@ -260,6 +389,7 @@ def gate_text(sql: Column, row_limit: int = GATE_LIMIT) -> Column:
     return F.when(F.contains(F.upper(text), F.lit("LIMIT")), text).otherwise(limited)
 
 
+# Fixed value: what counts as a fenced block.
 FENCED = r"(?is)```(?:sql)?\s*\n(.*?)\n```"
 
 

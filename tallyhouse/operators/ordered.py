@@ -7,6 +7,7 @@ Numbering, percentiles and the alignment of two result sets are built on it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,64 @@ from pyspark.sql import functions as F
 # Distinct keys one task sorts comfortably. A group with more is cut into blocks of about
 # this size; a smaller group is mostly one block.
 ROWS_PER_BLOCK = 1_000_000
+# Blocks are found in two steps: among about this many coarse ones, then among about as many
+# fine ones inside. That carries a group of rows_per_block * FANOUT ** 2 keys, 10 ** 12 as set;
+# a larger group takes one more step of the same kind.
+FANOUT = 1_000
+BLOCK = ["_coarse", "_fine"]
 
 
+def _splits(chosen: DataFrame, group: Sequence[str], key: Column, name: str) -> DataFrame:
+    return chosen.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias(name))
+
+
+def _passed(splits: str, key: Column) -> Column:
+    return F.when(F.col(splits).isNull(), 0).otherwise(F.size(F.filter(splits, lambda split: split <= key)))
+
+
+def _blocked(
+    distinct: DataFrame, group: list[str], key: Column, rows_per_block: int, picked_by: Column | None, fanout: int
+) -> DataFrame:
+    """Adds the block's numbers, in key order, and puts each block on a task.
+
+    Keys chosen by hash cut the group; the choice depends on the data alone, so a task that runs
+    again agrees with its first run. A row meets the coarse keys of its group, then the fine keys of
+    its coarse block: neither array grows with the group.
+    """
+    drawn = F.xxhash64(*group, key if picked_by is None else picked_by)
+    coarse = _splits(distinct.where(F.pmod(drawn, F.lit(rows_per_block * fanout)) == 0), group, key, "_splits")
+    placed = distinct.join(coarse, group, "left").withColumn("_coarse", _passed("_splits", key)).drop("_splits")
+    inside = [*group, "_coarse"]
+    fine = _splits(placed.where(F.pmod(drawn, F.lit(rows_per_block)) == 0), inside, key, "_splits")
+    return (
+        placed.join(fine, inside, "left").withColumn("_fine", _passed("_splits", key)).drop("_splits")
+        # By block, not only by group: the blocks of a large group belong on different tasks.
+        .repartition(*group, *BLOCK)
+    )
+
+
+def _offsets(blocked: DataFrame, group: list[str], weight: str) -> DataFrame:
+    """Summed weight of each block and of all blocks before it."""
+    earlier = Window.partitionBy(*group).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.groupBy(*group, *BLOCK)
+        .agg(F.sum(weight).alias("_size"))
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    )
+
+
+def _placed_inside(
+    blocked: DataFrame, offsets: DataFrame, group: list[str], key: Column, weight: str, leading: Sequence[Column]
+) -> DataFrame:
+    block = [*group, *BLOCK]
+    earlier = Window.partitionBy(*block).orderBy(*leading, key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.join(offsets, block)
+        .withColumn("_inside", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+        .withColumn("start", F.col("_offset") + F.col("_inside"))
+        .drop(*BLOCK, "_inside", "_offset", "_size")
+    )
+
 
 def ordered_runs(
     distinct: DataFrame,
@@ -25,42 +82,18 @@ def ordered_runs(
     rows_per_block: int = ROWS_PER_BLOCK,
     leading: Sequence[Column] = (),
     picked_by: Column | None = None,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """Add ``start``: the summed ``weight`` of smaller keys in the same group.
 
-    ``distinct`` holds each (group, key) once. Keys chosen by hash cut the group into blocks in
-    key order; the choice depends on the data alone, so a task that runs again agrees with
-    its first run. Blocks are summed first, then sorted inside. Group columns hold no NULL.
-    ``key`` is computed where it is compared and never shuffled. ``leading`` may name sort
-    columns that order rows as a nested key does, but cheaper; ``picked_by`` a cheaper value,
-    just as distinct, to hash.
+    ``distinct`` holds each (group, key) once. Blocks are summed first, then sorted inside. Group
+    columns hold no NULL. ``key`` is computed where it is compared and never shuffled. ``leading``
+    may name sort columns that order rows as a nested key does, but cheaper; ``picked_by`` a
+    cheaper value, just as distinct, to hash.
     """
     group = list(group)
-    block = [*group, "_block"]
-    chosen = F.pmod(F.xxhash64(*group, key if picked_by is None else picked_by), F.lit(rows_per_block)) == 0
-    splitters = distinct.where(chosen).groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("_splits"))
-    passed = F.size(F.filter("_splits", lambda split: split <= key))
-    blocked = (
-        distinct.join(splitters, group, "left")
-        .withColumn("_block", F.when(F.col("_splits").isNull(), 0).otherwise(passed))
-        .drop("_splits")
-        # By block, not only by group: the blocks of a large group belong on different tasks.
-        .repartition(*block)
-    )
-    earlier_blocks = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_keys = Window.partitionBy(*block).orderBy(*leading, key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*block)
-        .agg(F.sum(weight).alias("_size"))
-        .select(*block, F.coalesce(F.sum("_size").over(earlier_blocks), F.lit(0)).alias("_offset"))
-    )
-    inside = F.coalesce(F.sum(weight).over(earlier_keys), F.lit(0))
-    return (
-        blocked.withColumn("_inside", inside)
-        .join(offsets, block)
-        .withColumn("start", F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
-    )
+    blocked = _blocked(distinct, group, key, rows_per_block, picked_by, fanout)
+    return _placed_inside(blocked, _offsets(blocked, group, weight), group, key, weight, leading)
 
 
 def numbered(
@@ -75,6 +108,14 @@ def numbered(
     return runs.withColumn(name, F.col("start") + 1).drop("_one", "start")
 
 
+def _place(fraction: float) -> Column:
+    return (F.col("_total") - 1) * F.lit(fraction)
+
+
+def _low(fraction: float) -> Column:
+    return F.floor(_place(fraction))
+
+
 def percentiles(
     rows: DataFrame,
     group: Sequence[str],
@@ -85,9 +126,14 @@ def percentiles(
     """Exact percentiles per group, linear between neighbours; one column per fraction."""
     group = list(group)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    runs = ordered_runs(counted, group, F.col(value), "_n", rows_per_block)
-    totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    placed = runs.join(totals, group)
+    blocked = _blocked(counted, group, F.col(value), rows_per_block, None, FANOUT)
+    offsets = _offsets(blocked, group, "_n")
+    totals = offsets.groupBy(*group).agg(F.sum("_size").alias("_total"))
+    # Only the blocks that hold a wanted place are sorted.
+    wanted = [place + step for fraction in fractions.values() for step in (0, 1) for place in [_low(fraction)]]
+    held = [(F.col("_offset") <= p) & (p < F.col("_offset") + F.col("_size")) for p in wanted]
+    needed = offsets.join(totals, group).where(reduce(lambda a, b: a | b, held))
+    placed = _placed_inside(blocked, needed, group, F.col(value), "_n", ())
 
     def value_at(place: Column) -> Column:
         covers = (F.col("start") <= place) & (place < F.col("start") + F.col("_n"))
@@ -95,8 +141,8 @@ def percentiles(
 
     measures, results = [F.max("_total").alias("_total")], []
     for name, fraction in fractions.items():
-        place = (F.col("_total") - 1) * F.lit(fraction)
-        low = F.floor(place)
+        place = _place(fraction)
+        low = _low(fraction)
         high = F.least(low + 1, F.col("_total") - 1)
         measures += [value_at(low).alias(f"_low_{name}"), value_at(high).alias(f"_high_{name}")]
         part = place - low

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.numeric import count_when
+from tallyhouse.functions.text import run_slug
 from tallyhouse.plans.querylog import query_log
 from tallyhouse.plans.results import results
 from tallyhouse.plans.scoring import eval_run_summary
 from tallyhouse.plans.star import Star
+from tallyhouse.schema import RESULT_COLUMNS
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import ledger, sinks
+from tallyhouse.sources.csv_files import scan_csv
 
 LEDGER_FIELDS = [
     "query_id", "run_no", "difficulty", "em", "ex", "latency_sec",
@@ -57,11 +60,9 @@ def with_predictions(star: Star) -> DataFrame:
 def results_csv_sink(star: Star) -> DataFrame:
     """The fixed-column file as it reads back: every cell is text, absent ones are NULL."""
     path = sinks.write_results_csv(with_predictions(star), scratch_dir(star.spark, "results-csv"))
-    stored = star.spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    return stored.select(
-        "query_id", "question", "em", "ex", "status", "table", "time_frame", "join", "difficulty", "gold_sql",
-        F.nullif(F.btrim("predicted_sql", F.lit(" ")), F.lit("")).alias("predicted_sql"), "error",
-    )
+    cells = scan_csv(star.spark, path).select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in RESULT_COLUMNS])
+    # Decimals have more than one spelling.
+    return cells.withColumns({c: F.col(c).cast("double") for c in ("latency_sec", "cost_usd")})
 
 
 def results_case_split(star: Star) -> DataFrame:
@@ -80,23 +81,29 @@ def results_case_split(star: Star) -> DataFrame:
     )
 
 
+def named_runs(star: Star) -> DataFrame:
+    """Summaries of all runs with their names and ids."""
+    name = F.concat(F.lit("Run No. "), F.col("run_no"))
+    return eval_run_summary(star).select(
+        "run_no", run_slug(name).alias("run_id"), name.alias("name"), F.lit("full").alias("mode"),
+        "total", "passed", "review", "failed", "errors", "timeouts", "pass_rate", "ex_rate", "em_rate", "total_cost_usd",
+    )
+
+
 def results_run_document(star: Star) -> DataFrame:
-    """Run documents stored as JSON, opened again: totals beside what the arrays hold."""
-    totals = eval_run_summary(star).select("run_no", "total", "passed", "review", "failed", "errors", "timeouts")
-    documents = sinks.run_documents(with_predictions(star), totals)
-    path = scratch_dir(star.spark, "run-documents")
-    documents.select(F.to_json("document").alias("value")).write.text(path)
-    case = "array<struct<query_id: bigint, status: string>>"
-    schema = (
-        "run_no bigint, part_no bigint, totals struct<total: bigint, passed: bigint, failed: bigint>, "
-        f"passes {case}, failures {case}"
+    """Runs stored as JSON, opened again: headers beside what the case records hold."""
+    path = sinks.write_runs(with_predictions(star), named_runs(star), scratch_dir(star.spark, "runs"))
+    totals = (
+        "struct<total: bigint, passed: bigint, review: bigint, failed: bigint, errors: bigint, timeouts: bigint, "
+        "pass_rate: double, ex_rate: double, em_rate: double, total_cost_usd: double>"
     )
-    opened = star.spark.read.text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
-    return opened.groupBy("run_no").agg(
-        F.count("*").alias("n_documents"),
-        F.max("totals.total").alias("total"),
-        F.max("totals.passed").alias("passed"),
-        F.sum(F.size("passes")).alias("n_passes"),
-        F.sum(F.size("failures")).alias("n_failures"),
-        F.sum(F.aggregate("passes", F.lit(0).cast("bigint"), lambda sum, c: sum + c["query_id"])).alias("passes_sum"),
+    headers = star.spark.read.schema(
+        f"run_no bigint, run_id string, name string, mode string, totals {totals}, n_passes bigint, n_failures bigint"
+    ).json(f"{path}/runs")
+    cases = star.spark.read.schema("query_id bigint, status string, run_no bigint, part string").json(f"{path}/cases")
+    passed = F.col("part") == "passes"
+    found = cases.groupBy("run_no").agg(
+        F.count_if(passed).alias("found_passes"), F.count_if(~passed).alias("found_failures"),
+        F.sum(F.when(passed, F.col("query_id"))).alias("passes_sum"),
     )
+    return headers.join(found, "run_no").select("*", "totals.*").drop("totals")

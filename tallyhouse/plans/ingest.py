@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.numeric import rounded
 from tallyhouse.operators.audits import join_rows, orphans
-from tallyhouse.operators.picking import capped, first_per_key, most_frequent
+from tallyhouse.operators.picking import capped, first_per_key
 from tallyhouse.plans.grain import product_sales
 from tallyhouse.plans.star import Star
 from tallyhouse.schema import MINIMUM_ROWS, SOFT_FOREIGN_KEYS
 from tallyhouse.session import scratch_dir
-from tallyhouse.sources.csv_files import lenient_timestamp, load_table, scan_csv, write_csv
+from tallyhouse.sources.csv_files import lenient_timestamp, load_table, read_table, scan_csv, write_csv
 from tallyhouse.sources.tables import full_refresh
 
 # -- CSV --------------------------------------------------------------------------------
@@ -29,10 +29,13 @@ def ingest_csv_scan(star: Star) -> DataFrame:
         F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit('say "'), F.col("lang"), F.lit('", twice'))).alias(
             "review_comment_title"
         ),
-        F.col("text").alias("review_comment_message"),
+        # Blanks and a line break at the ends belong to the cell.
+        F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\n  "), "text", F.lit("  \n"))).otherwise(F.col("text")).alias(
+            "review_comment_message"
+        ),
     )
     path = write_csv(reviews, scratch_dir(star.spark, "csv-reviews"))
-    return load_table(star.spark, path, "order_reviews").select(
+    return read_table(star.spark, path, "order_reviews").select(
         "review_id",
         "order_id",
         "review_score",
@@ -51,6 +54,8 @@ def ingest_lenient_cast(star: Star) -> DataFrame:
         .when(F.col("p_partkey") % 7 == 3, F.concat(size, F.lit(".9")))
         .when(F.col("p_partkey") % 7 == 4, F.concat(F.lit("-"), size, F.lit(".7")))
         .when(F.col("p_partkey") % 7 == 5, F.concat(size, F.lit("e1")))
+        .when(F.col("p_partkey") % 21 == 6, F.concat(size, F.lit("d")))
+        .when(F.col("p_partkey") % 21 == 13, F.concat(size, F.lit("f")))
         .otherwise(size.cast("string"))
     )
     products = star.base("part").select(
@@ -59,7 +64,7 @@ def ingest_lenient_cast(star: Star) -> DataFrame:
         cell.alias("product_weight_g"),
     )
     path = write_csv(products, scratch_dir(star.spark, "csv-products"))
-    return load_table(star.spark, path, "products")
+    return read_table(star.spark, path, "products")
 
 
 def ingest_timestamp_formats(star: Star) -> DataFrame:
@@ -82,6 +87,25 @@ def ingest_timestamp_formats(star: Star) -> DataFrame:
     )
 
 
+def ingest_table_load(star: Star) -> DataFrame:
+    """Payments with every key repeated, in the file and in a later file: the first row of each key is stored."""
+    key = F.col("o_orderkey")
+    first = star.base("orders").select(
+        key.cast("string").alias("order_id"),
+        F.concat((key % 3 + 1).cast("string"), F.lit(".0")).alias("payment_sequential"),
+        F.concat(F.lit(" \n"), "o_orderpriority").alias("payment_type"),
+        F.when(key % 4 != 0, F.lit("12d")).otherwise("3").alias("payment_installments"),
+        F.col("o_totalprice").cast("decimal(10,2)").cast("string").alias("payment_value"),
+    )
+    late = {"payment_type": F.lit("late"), "payment_value": F.lit("0.01")}
+    second = [late.get(c, F.col(c)).alias(c) for c in first.columns]
+    folder = scratch_dir(star.spark, "csv-payments")
+    # Both rows of a key stand in one file, the right one first; then come files of late rows only.
+    write_csv(first.select(F.inline(F.array(F.struct(*first.columns), F.struct(*second)))), f"{folder}/1")
+    write_csv(first.select(*second), f"{folder}/2")
+    return load_table(star.spark, [f"{folder}/1", f"{folder}/2"], "order_payments", f"{folder}/stored")
+
+
 # -- keys, refresh, geography -----------------------------------------------------------
 
 
@@ -94,16 +118,43 @@ def ingest_first_wins_dedupe(star: Star) -> DataFrame:
 
 
 def geolocation_by_zip(star: Star) -> DataFrame:
-    """One row per zip: mean position and most frequent city."""
-    geo = star.geolocation
-    centre = geo.groupBy("zip").agg(rounded(F.avg("lat"), 6).alias("lat"))
-    return centre.join(most_frequent(geo, ["zip"], "city"), "zip", "left")
+    """One row per zip: mean position, most frequent city and state, the smallest on a tie.
+
+    Raw rows are summed per place once; all the rest works on those sums, laid out by zip.
+    """
+    places = (
+        star.geolocation.groupBy("zip", "city", "state")
+        .agg(
+            F.sum("lat").alias("lat_sum"), F.count("lat").alias("lat_n"),
+            F.sum("lng").alias("lng_sum"), F.count("lng").alias("lng_n"), F.count("*").alias("n"),
+        )
+        .repartition("zip")
+    )
+
+    def often(name: str) -> Column:
+        return F.sum("n").over(Window.partitionBy("zip", name))
+
+    def commonest(name: str) -> Column:
+        known = F.col(name).isNotNull()
+        return F.min_by(F.when(known, F.col(name)), F.when(known, F.struct(-F.col(f"{name}_n"), name))).alias(name)
+
+    return (
+        places.withColumns({"city_n": often("city"), "state_n": often("state")})
+        .groupBy("zip")
+        .agg(
+            rounded(F.sum("lat_sum") / F.sum("lat_n"), 6).alias("lat"),
+            rounded(F.sum("lng_sum") / F.sum("lng_n"), 6).alias("lng"),
+            commonest("city"), commonest("state"),
+        )
+    )
 
 
 def ingest_full_refresh(star: Star) -> DataFrame:
     """The zip table, stored over an older version of itself."""
     path = scratch_dir(star.spark, "zip-table")
-    stale = star.geolocation.select("zip", F.lit(0.0).alias("lat"), F.lit("stale").alias("city"))
+    stale = star.geolocation.select(
+        "zip", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"), F.lit("stale").alias("city"), F.lit("XX").alias("state")
+    )
     full_refresh(stale, path)
     return full_refresh(geolocation_by_zip(star), path)
 

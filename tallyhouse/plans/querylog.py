@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import rubric, sqltext
 from tallyhouse.functions.grading import any_grade
 from tallyhouse.functions.text import rubric_block, stripped
-from tallyhouse.operators.layout import spread
 from tallyhouse.plans.star import Star
 
-# Logged texts, by remainder of the query number; the last gets a varying limit.
+# Logged texts, by remainder of the query number; one gets a varying limit.
 LOGGED = [
     "SELECT order_id FROM orders",
     "select * from customers",
@@ -35,7 +36,16 @@ LOGGED = [
     "   ",
     "SELECT  o.order_status , COUNT( * ) AS n FROM orders o LEFT JOIN customers c "
     "ON o.customer_id=c.customer_id GROUP BY o.order_status LIMIT ",
+    'SELECT usename FROM "pg_shadow"',
+    "SELECT customer_id FROM customers WHERE customer_city = '--' AND customer_id IN (SELECT id FROM secret_table) LIMIT 3",
+    "SELECT o.order_id FROM orders o, secret_table t",
+    "SELECT order_id oid FROM orders ORDER BY oid LIMIT 2",
+    "SELECT order_id, trim(both from order_status) FROM orders WHERE order_status IS DISTINCT FROM customer_id LIMIT 3",
+    "SELECT order_id FROM orders UNION SELECT order_id FROM order_items LIMIT 9",
+    "SELECT order_id FROM (SELECT order_id FROM orders WHERE order_status = 'shipped' LIMIT 5) x "
+    "WHERE order_id <> 'y' LIMIT 100",
 ]
+WITH_LIMIT = 15
 
 # Rubric cells per dimension, by remainder of the query number modulo five.
 CELLS = {
@@ -70,24 +80,25 @@ def _pick(key: Column, values: list[str]) -> Column:
 def query_log(star: Star) -> DataFrame:
     key = F.col("event_id")
     base = _pick(key, LOGGED)
-    last = key % len(LOGGED) == len(LOGGED) - 1
+    limited = key % len(LOGGED) == WITH_LIMIT
     tail = F.concat((key % 90).cast("string"), F.lit(";"))
     return star.base("events").select(
-        key.alias("query_id"), F.when(last, F.concat(base, tail)).otherwise(base).alias("sql_text")
+        key.alias("query_id"), F.when(limited, F.concat(base, tail)).otherwise(base).alias("sql_text")
     )
 
 
 def read_tokens(log: DataFrame) -> DataFrame:
     """A log with its bare text and token lists, each computed once per row."""
-    text = F.col("text")
+    code, text, references = F.col("code"), F.col("text"), F.col("references")
     return (
         log.withColumn("code", sqltext.code(F.col("sql_text")))
-        .withColumn("text", sqltext.bare(F.col("code")))
+        .withColumn("text", sqltext.bare(code))
+        .withColumn("references", sqltext.table_references(text))
         .withColumns(
             {
-                "tables": sqltext.table_names(text),
-                "owners": sqltext.referenced(text),
-                "aliases": sqltext.reference_aliases(text),
+                "tables": sqltext.table_names(references),
+                "owners": F.transform(references, lambda r: r["name"]),
+                "aliases": F.transform(references, lambda r: r["alias"]),
                 "ignored": sqltext.select_aliases(text),
                 "qualified": sqltext.prefixed_columns(text),
                 "plain": sqltext.plain_columns(text),
@@ -96,13 +107,22 @@ def read_tokens(log: DataFrame) -> DataFrame:
     )
 
 
-def tokens(star: Star) -> DataFrame:
-    return read_tokens(spread(query_log(star)))
+def distinct_texts(log: DataFrame) -> DataFrame:
+    """Each text once with its digest and the number of its queries."""
+    return log.groupBy(F.md5("sql_text").alias("digest")).agg(
+        F.first("sql_text").alias("sql_text"), F.count("*").alias("n_queries")
+    )
+
 
+def once_per_text(star: Star, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Judges each distinct text once and hands the result to its queries.
 
-def distinct_texts(star: Star) -> DataFrame:
-    """Each text once with the number of its queries; counts per rule or table need no more."""
-    return query_log(star).groupBy("sql_text").agg(F.count("*").alias("n_queries"))
+    ``judge`` gets (digest, sql_text) rows, keeps the digest and may drop rows. Logs repeat
+    themselves, so the costly text rules run on few rows; where all texts differ they run on each.
+    """
+    log = query_log(star)
+    judged = judge(distinct_texts(log).select("digest", "sql_text"))
+    return log.select("query_id", F.md5("sql_text").alias("digest")).join(judged, "digest").drop("digest")
 
 
 def unknown() -> Column:
@@ -116,64 +136,75 @@ def listed(items: Column) -> Column:
 
 def each(rows: DataFrame, items: Column, name: str) -> DataFrame:
     """One row per item; unlike a plain explode it evaluates ``items`` once, not in a filter as well."""
-    return rows.select("query_id", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+    return rows.select("digest", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
 # -- single rules -----------------------------------------------------------------------
 
 
 def log_statement_kind(star: Star) -> DataFrame:
-    kind = sqltext.statement_kind(sqltext.code(F.col("sql_text")))
-    return query_log(star).select(
-        "query_id", kind.alias("kind"), kind.isin("SELECT", "WITH").cast("int").alias("allowed")
-    )
+    def judge(texts: DataFrame) -> DataFrame:
+        kind = sqltext.statement_kind(F.col("code"), F.col("text"))
+        return read_tokens(texts).select("digest", kind.alias("kind"))
+
+    return once_per_text(star, judge).withColumn("allowed", F.col("kind").isin("SELECT", "WITH").cast("int"))
 
 
 def log_forbidden_keyword(star: Star) -> DataFrame:
-    return each(query_log(star), sqltext.forbidden_words(F.col("sql_text")), "word")
+    return once_per_text(star, lambda texts: each(texts, sqltext.forbidden_words(F.col("sql_text")), "word"))
+
+
+def _where(star: Star, test: Column) -> DataFrame:
+    return once_per_text(star, lambda texts: read_tokens(texts).where(test).select("digest"))
 
 
 def log_system_catalog(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.reads_catalog(F.col("sql_text"), F.col("tables"))).select("query_id")
+    return _where(star, sqltext.reads_catalog(F.col("sql_text"), F.col("tables")))
 
 
 def log_allow_list(star: Star) -> DataFrame:
-    return each(tokens(star), sqltext.tables_not_allowed(F.col("tables")), "table_name")
+    return once_per_text(
+        star, lambda texts: each(read_tokens(texts), sqltext.tables_not_allowed(F.col("tables")), "table_name")
+    )
 
 
 def log_trap_table(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.uses_trap_table(F.col("tables"))).select("query_id")
+    return _where(star, sqltext.uses_trap_table(F.col("tables")))
 
 
 def log_select_star(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.selects_star(F.col("text"))).select("query_id")
+    return _where(star, sqltext.selects_star(F.col("text")))
 
 
 def log_limit_rule(star: Star) -> DataFrame:
     sql, text = F.col("sql_text"), F.col("text")
-    return tokens(star).select(
-        "query_id",
-        sqltext.has_aggregation(text).cast("int").alias("has_aggregation"),
-        sqltext.has_limit(sql, text).cast("int").alias("has_limit"),
-        sqltext.with_default_limit(sql, text).alias("sql_text"),
-    )
+
+    def judge(texts: DataFrame) -> DataFrame:
+        return read_tokens(texts).select(
+            "digest",
+            sqltext.has_aggregation(text).cast("int").alias("has_aggregation"),
+            sqltext.has_limit(sql, text).cast("int").alias("has_limit"),
+            sqltext.with_default_limit(sql, text).alias("sql_text"),
+        )
+
+    return once_per_text(star, judge)
 
 
 def log_table_usage(star: Star) -> DataFrame:
     """Queries per referenced table."""
     names = sqltext.mentioned_tables(F.col("sql_text"))
-    used = distinct_texts(star).select("n_queries", F.explode_outer(names).alias("table_name"))
+    used = distinct_texts(query_log(star)).select("n_queries", F.explode_outer(names).alias("table_name"))
     return (
         used.where(F.col("table_name").isNotNull()).groupBy("table_name").agg(F.sum("n_queries").alias("n_queries"))
     )
 
 
 def log_soft_fk_warning(star: Star) -> DataFrame:
-    return tokens(star).where(sqltext.inner_joins_lookup(F.col("text"))).select("query_id")
+    return _where(star, sqltext.inner_joins_lookup(F.col("text")))
 
 
 def log_unknown_columns(star: Star) -> DataFrame:
-    return each(tokens(star), unknown(), "column_name")
+    return once_per_text(star, lambda texts: each(read_tokens(texts), unknown(), "column_name"))
 
 
 def verdicts(log: DataFrame) -> DataFrame:
@@ -186,17 +217,20 @@ def verdicts(log: DataFrame) -> DataFrame:
 
 
 def log_policy_verdict(star: Star) -> DataFrame:
-    return verdicts(spread(query_log(star))).select(
-        "query_id",
-        (F.size("failures") == 0).cast("int").alias("valid"),
-        listed(F.col("failures")).alias("rule_failures"),
-        listed(F.col("warnings")).alias("warnings"),
-    )
+    def judge(texts: DataFrame) -> DataFrame:
+        return verdicts(texts).select(
+            "digest",
+            (F.size("failures") == 0).cast("int").alias("valid"),
+            listed(F.col("failures")).alias("rule_failures"),
+            listed(F.col("warnings")).alias("warnings"),
+        )
+
+    return once_per_text(star, judge)
 
 
 def log_rule_rollup(star: Star) -> DataFrame:
     """Queries that break each rule."""
-    broken = verdicts(distinct_texts(star)).select("n_queries", F.explode_outer("failures").alias("rule"))
+    broken = verdicts(distinct_texts(query_log(star))).select("n_queries", F.explode_outer("failures").alias("rule"))
     return broken.where(F.col("rule").isNotNull()).groupBy("rule").agg(F.sum("n_queries").alias("n"))
 
 
@@ -225,7 +259,7 @@ def log_extract_fenced_sql(star: Star) -> DataFrame:
 
 
 def em_normalize_sql(star: Star) -> DataFrame:
-    return spread(query_log(star)).select("query_id", sqltext.normalized(F.col("sql_text")).alias("normalized"))
+    return query_log(star).select("query_id", sqltext.normalized(F.col("sql_text")).alias("normalized"))
 
 
 def em_exact_match(star: Star) -> DataFrame:
@@ -238,7 +272,7 @@ def em_exact_match(star: Star) -> DataFrame:
         .when(key % 5 == 3, F.concat(F.lit(" "), gold, F.lit("  ")))
         .otherwise(F.concat(gold, F.lit(" x")))
     )
-    pairs = spread(query_log(star)).withColumn("predicted", predicted)
+    pairs = query_log(star).withColumn("predicted", predicted)
     same_raw = stripped(gold) == stripped(F.col("predicted"))
     same = sqltext.normalized(gold) == sqltext.normalized(F.col("predicted"))
     return pairs.select("query_id", same.cast("int").alias("em"), same_raw.cast("int").alias("em_raw"))
@@ -247,17 +281,38 @@ def em_exact_match(star: Star) -> DataFrame:
 # -- rubric -----------------------------------------------------------------------------
 
 
-def rubric_tokens(star: Star) -> DataFrame:
-    cells = {f"cell_{d}": rubric_block(_pick(F.col("query_id"), values)) for d, values in CELLS.items()}
-    return tokens(star).withColumns(cells).withColumn("joins", sqltext.join_clauses(F.col("text")))
+def rubric_cells() -> dict[str, Column]:
+    return {f"text_{d}": _pick(F.col("query_id"), values) for d, values in CELLS.items()}
+
+
+def graded(star: Star, dimensions: list[str]) -> DataFrame:
+    """Grades of each distinct pair of text and cells, handed to their queries."""
+    cells = [f"text_{d}" for d in dimensions]
+    log = query_log(star).withColumns({c: rubric_cells()[c] for c in cells}).withColumn(
+        "pair", F.md5(F.to_json(F.struct("sql_text", *cells)))
+    )
+    pairs = log.groupBy("pair").agg(*[F.first(c).alias(c) for c in ("sql_text", *cells)])
+    # Each text's tokens are read once, however many cells it meets.
+    texts = read_tokens(distinct_texts(log).select("digest", "sql_text")).select(
+        "digest", "code", "text", "tables", "qualified", "plain",
+        sqltext.join_clauses(F.col("text")).alias("joins"),
+        sqltext.shallowest_clause(F.col("code"), "where", sqltext.CLAUSE_ENDS).alias("outer_where"),
+        sqltext.shallowest_clause(F.col("text"), "limit", ["offset", "fetch"]).alias("outer_limit"),
+    )
+    judged = (
+        pairs.withColumn("digest", F.md5("sql_text")).join(texts, "digest")
+        .withColumns({f"cell_{d}": rubric_block(F.col(f"text_{d}")) for d in dimensions})
+        .select("pair", *[grade(d).alias(d) for d in dimensions])
+    )
+    return log.select("query_id", "pair").join(judged, "pair").drop("pair")
 
 
 def grade(dimension: str) -> Column:
     items, sql, text, tables = F.col(f"cell_{dimension}.items"), F.col("sql_text"), F.col("text"), F.col("tables")
     return {
         "table": lambda: rubric.grade_table(items, tables, F.col("qualified"), F.col("plain")),
-        "filters": lambda: rubric.grade_filters(items, sql),
-        "aggregation": lambda: rubric.grade_aggregation(items, text),
+        "filters": lambda: rubric.grade_filters(items, F.col("outer_where"), F.col("code")),
+        "aggregation": lambda: rubric.grade_aggregation(items, text, F.col("outer_limit")),
         "join": lambda: rubric.grade_join(items, tables, F.col("joins")),
         "date_operator": lambda: rubric.grade_date_operator(items, text),
         "time_frame": lambda: rubric.grade_time_frame(F.col("cell_time_frame.spec"), sql),
@@ -265,7 +320,7 @@ def grade(dimension: str) -> Column:
 
 
 def graded_dimension(star: Star, dimension: str) -> DataFrame:
-    return rubric_tokens(star).select("query_id", grade(dimension).alias("grade"))
+    return graded(star, [dimension]).withColumnRenamed(dimension, "grade")
 
 
 def rubric_table(star: Star) -> DataFrame:
@@ -294,9 +349,8 @@ def rubric_time_frame(star: Star) -> DataFrame:
 
 def rubric_verdict(star: Star) -> DataFrame:
     """Whether any dimension is wrong, and whether any is flagged."""
-    graded = rubric_tokens(star).select("query_id", *[grade(d).alias(d) for d in rubric.DIMENSIONS])
     grades = [F.col(d) for d in rubric.DIMENSIONS]
-    return graded.select(
+    return graded(star, rubric.DIMENSIONS).select(
         "query_id",
         any_grade(grades, "wrong").cast("int").alias("any_wrong"),
         any_grade(grades, "flag").cast("int").alias("any_flag"),

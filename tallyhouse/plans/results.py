@@ -43,18 +43,27 @@ def results(star: Star) -> DataFrame:
         by_remainder(key, 6, {0: "NA", 1: "NA", 2: "NA", 3: "wrong"}, "correct").alias("date_grade"),
         (key % 31 == 0).alias("refused"),
         (key % 83 == 0).alias("timed_out"),
+        # An exception nobody expected, unlike a refusal.
+        (key % 61 == 0).alias("crashed"),
+        by_remainder(key, 14, {3: "zip fan-out", 8: "untranslated category"}, "").alias("trap_name"),
     )
     graded = raw.withColumn("time_frame", worst_grade(F.col("time_grade"), F.col("date_grade")))
     grades = [F.col(d) for d in RESULT_DIMENSIONS]
     wrong, flagged = any_grade(grades, "wrong"), any_grade(grades, "flag")
-    ex, refused, timed_out = F.col("ex"), F.col("refused"), F.col("timed_out")
+    ex, refused, timed_out, crashed = F.col("ex"), F.col("refused"), F.col("timed_out"), F.col("crashed")
     cost = token_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
     return (
         graded.withColumn("any_wrong", wrong)
         .withColumn("any_flag", flagged)
-        .withColumn("status", status(ex, wrong, refused, timed_out))
-        .withColumn("outcome", outcome(ex, wrong, flagged, refused, timed_out))
-        .withColumn("error", F.when(refused, "refused by rule R7").when(timed_out, "statement timeout").otherwise(""))
+        .withColumn("status", status(ex, wrong, refused, timed_out, crashed))
+        .withColumn("outcome", outcome(ex, wrong, flagged, refused, timed_out, crashed))
+        .withColumn("trap", F.nullif(F.col("trap_name"), F.lit("")))
+        .withColumn(
+            "error",
+            F.when(timed_out, "statement timeout").when(crashed, "ValueError: no answer")
+            .when(refused, "refused by rule R7").otherwise(""),
+        )
+        .drop("trap_name")
         .withColumn("cost_usd", F.round(cost, 8))
     )
 

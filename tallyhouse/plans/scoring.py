@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,6 @@ from tallyhouse.functions.text import (
     run_id,
     run_slug,
 )
-from tallyhouse.operators.layout import spread
 from tallyhouse.operators.ordered import numbered, percentiles
 from tallyhouse.plans.querylog import query_log
 from tallyhouse.plans.results import by_remainder, questions, results, runs
@@ -192,6 +193,7 @@ def eval_failure_list(star: Star) -> DataFrame:
         "query_id",
         "run_no",
         "difficulty",
+        "trap",
         "em",
         "ex",
         F.array_join(F.array_compact(wrong), ",").alias("wrong_dims"),
@@ -249,24 +251,22 @@ def run_id_slug(star: Star) -> DataFrame:
     return run_ids(star).select("user_id", "run_name", run_slug(F.col("run_name")).alias("slug"), "run_id")
 
 
-def latest_run(rows: DataFrame, wanted: str) -> DataFrame:
-    """The run with exactly this id, else the latest whose id starts with the name or its slug."""
-    name = F.lit(wanted)
+def latest_runs(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Per wanted name the run with exactly this id, else the latest whose id starts with the name or its slug."""
     found = F.col("run_id")
-    exact = found == name
-    prefixed = F.startswith(found, F.concat(run_slug(name), F.lit("_"))) | F.startswith(found, name)
-    choice = F.max_by(found, F.struct(exact, F.col("started_at"), found))
-    return rows.where(exact | prefixed).agg(choice.alias("run_id")).select(name.alias("wanted"), "run_id")
+
+    def latest(wanted: str) -> Column:
+        name = F.lit(wanted)
+        fits = (found == name) | F.startswith(found, F.concat(run_slug(name), F.lit("_"))) | F.startswith(found, name)
+        # One pass over the runs for all names.
+        choice = F.max_by(F.when(fits, found), F.when(fits, F.struct(found == name, F.col("started_at"), found)))
+        return F.struct(name.alias("wanted"), choice.alias("run_id"))
+
+    return rows.agg(F.array(*[latest(w) for w in wanted]).alias("all")).select(F.inline("all"))
 
 
 def eval_latest_run(star: Star) -> DataFrame:
-    known = run_ids(star)
-    return (
-        latest_run(known, "Baseline")
-        .unionByName(latest_run(known, "prompt_v2_2024"))
-        .unionByName(latest_run(known, "GPT-5.4 full 39"))
-        .unionByName(latest_run(known, "no such run"))
-    )
+    return latest_runs(run_ids(star), ["Baseline", "prompt_v2_2024", "GPT-5.4 full 39", "no such run"])
 
 
 def case_slug(star: Star) -> DataFrame:
@@ -320,7 +320,7 @@ def ground_truth_report(star: Star) -> DataFrame:
         .when(kind == 6, F.lit("  "))
         .otherwise(F.lit("[]"))
     )
-    shaped = spread(star.base("orders").select("o_orderkey", "o_orderstatus")).select("o_orderkey", ground_truth_shape(cell).alias("shape"))
+    shaped = star.base("orders").select("o_orderkey", ground_truth_shape(cell).alias("shape"))
     return shaped.select(
         F.col("o_orderkey").alias("case_no"),
         F.col("shape.form").alias("form"),
@@ -359,7 +359,7 @@ def drafted_cases(star: Star) -> DataFrame:
         )
         return F.when((key + salt) % 37 != 0, kept).alias(dimension)
 
-    return spread(star.base("events")).select(
+    return star.base("events").select(
         unless(101, key).alias("id"),
         key.alias("case_no"),
         unless(23, by_remainder(key, 29, {0: "extreme", 1: "easy", 2: "hard"}, "medium")).alias("difficulty"),

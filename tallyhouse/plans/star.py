@@ -154,7 +154,9 @@ class Star:
             .select(
                 F.lpad((F.col("c_custkey") % 97).cast("string"), 5, "0").alias("zip"),
                 F.col("c_acctbal").alias("lat"),
+                F.when(F.col("c_custkey") % 10 != 0, -F.col("c_acctbal") / 2).alias("lng"),
                 F.col("n_name").alias("city"),
+                F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("state"),
             )
         )
 

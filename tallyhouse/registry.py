@@ -42,7 +42,7 @@ THEMES = {
     """,
     ingest: """
         ingest_csv_scan ingest_lenient_cast ingest_timestamp_formats ingest_first_wins_dedupe
-        ingest_full_refresh geolocation_by_zip table_row_counts geo_zip_join_safe fk_orphan_audit
+        ingest_full_refresh ingest_table_load geolocation_by_zip table_row_counts geo_zip_join_safe fk_orphan_audit
         inner_join_drop_audit row_cap_with_flag
     """,
     comparing: """

@@ -109,9 +109,6 @@ MINIMUM_ROWS = {
     "geolocation": 900000,
 }
 
-# Only these tables hold free text, hence line breaks inside quoted CSV cells.
-FREE_TEXT_TABLES = ("order_reviews",)
-
 # Relationships between tables that no constraint enforces.
 SOFT_FOREIGN_KEYS = [
     ("orders", "customer_id", "customers", "customer_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -51,8 +52,13 @@ def _temporary_dir(application: str) -> str:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a session without that setting (a test on
-    one machine) gets a local temporary folder.
+    It lies under ``spark.checkpoint.dir``. Without that setting only a session on one machine
+    goes on, with a local temporary folder; a cluster's executors could not read each other's.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _temporary_dir(spark.sparkContext.applicationId)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        # local-cluster and every cluster manager run executors of their own.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _temporary_dir(spark.sparkContext.applicationId)
     return f"{shared.rstrip('/')}/tallyhouse/{purpose}-{uuid.uuid4().hex}"

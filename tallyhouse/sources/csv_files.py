@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.schema import FREE_TEXT_TABLES, TABLE_COLUMNS
+from tallyhouse.operators.picking import first_per_key
+from tallyhouse.schema import TABLE_COLUMNS, TABLE_KEYS
+from tallyhouse.sources.tables import full_refresh
 
 # Accepted timestamp forms, first match wins. One letter takes one or two digits.
 TIMESTAMP_FORMS = ("yyyy-M-d H:m:s", "yyyy-M-d")
 
 
-def scan_csv(spark: SparkSession, path: str, free_text: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Header CSV as text columns; a byte-order mark is dropped and ``""`` reads as a quote.
 
-    ``free_text`` lets quoted cells span lines. Such a file cannot be split between tasks, so
-    it stays off for tables without free text; large free-text loads should come in many files.
+    Quoted cells may span lines in every table, so a file is read by one task: a load's
+    parallelism is its number of files. Deliver files of 64 to 256 MB.
     """
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", free_text)
+        .option("multiLine", True)
         .option("maxCharsPerColumn", -1)
         .csv(path)
     )
 
 
+def as_it_is(writer: DataFrameWriter) -> DataFrameWriter:
+    """Switches off the trimming of cells that CSV writing does by default."""
+    return writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+
+
 def write_csv(rows: DataFrame, path: str) -> str:
-    """Header CSV in the form ``scan_csv`` reads."""
-    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Header CSV in the form ``scan_csv`` reads; blanks and line breaks at a cell's ends stay."""
+    as_it_is(rows.write.option("header", True).option("quote", '"').option("escape", '"')).csv(path)
     return path
 
 
@@ -38,9 +47,18 @@ def filled(cell: Column) -> Column:
     return F.nullif(cell, F.lit(""))
 
 
+# What reads as a number: no type suffix (``12d``), but single underscores between digits.
+NUMBER = r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
+
+
+def number_text(cell: Column) -> Column:
+    """The cell if it is a number, without underscores; NULL otherwise."""
+    return F.when(cell.rlike(NUMBER), F.btrim(F.replace(cell, F.lit("_"), F.lit("")), F.lit(" \t\r\n\f\x0b")))
+
+
 def lenient_int(cell: Column) -> Column:
     """``"12.9"`` gives 12; text that is no number gives NULL."""
-    return filled(cell).try_cast("double").try_cast("int")
+    return number_text(cell).try_cast("double").try_cast("int")
 
 
 def lenient_timestamp(cell: Column) -> Column:
@@ -55,14 +73,29 @@ def lenient(cell: Column, kind: str) -> Column:
         return lenient_timestamp(cell)
     if kind == "string":
         return filled(cell)
-    return filled(cell).try_cast(kind)
+    return number_text(cell).try_cast(kind)
 
 
-def typed(cells: DataFrame, table: str) -> DataFrame:
+def typed(cells: DataFrame, table: str, also: Sequence[str] = ()) -> DataFrame:
     """Declared columns present in the file, cast leniently, matched by header name."""
     declared = TABLE_COLUMNS[table]
-    return cells.select(*[lenient(F.col(c), declared[c]).alias(c) for c in cells.columns if c in declared])
+    return cells.select(*[lenient(F.col(c), declared[c]).alias(c) for c in cells.columns if c in declared], *also)
+
+
+def read_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
+    """The typed rows of a table's files."""
+    return typed(scan_csv(spark, path), table)
 
 
-def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return typed(scan_csv(spark, path, table in FREE_TEXT_TABLES), table)
+def load_table(spark: SparkSession, path: str | list[str], table: str, target: str) -> DataFrame:
+    """Parse, type, keep the first row of each key in file order, and replace the stored table.
+
+    Files count in the order of their names. Raw geolocation has no key and keeps all rows.
+    """
+    cells = scan_csv(spark, path).withColumns(
+        {"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()}
+    )
+    rows = typed(cells, table, ["_file", "_line"])
+    if keys := TABLE_KEYS.get(table):
+        rows = first_per_key(rows, keys, [F.asc("_file"), F.asc("_line")])
+    return full_refresh(rows.drop("_file", "_line"), target)

@@ -1,4 +1,4 @@
-"""Result sinks: the fixed-column file, the pass/fail split, and run documents."""
+"""Result sinks: the fixed-column file, the pass/fail split, and runs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.schema import RESULT_COLUMNS
+from tallyhouse.sources.csv_files import as_it_is
 
-# Cases one document holds at most on average. A run beyond that is delivered in several.
-CASES_PER_DOCUMENT = 1000
 SPLIT_DIMENSIONS = ["table", "time_frame", "filters", "aggregation", "join"]
 CASE_FIELDS = [
     "query_id", "question", "difficulty", "status", "outcome", "em", "ex", "latency_sec", "cost_usd",
@@ -19,15 +18,8 @@ CASE_FIELDS = [
 def write_results_csv(results: DataFrame, path: str) -> str:
     """All result columns in file order; an absent column or NULL leaves an empty cell."""
     cells = [F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS]
-    (
-        results.select(*cells)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("escape", '"')
-        .csv(path)
-    )
+    writer = results.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"')
+    as_it_is(writer.option("nullValue", "").option("emptyValue", "")).csv(path)
     return path
 
 
@@ -48,28 +40,21 @@ def write_case_split(results: DataFrame, path: str) -> str:
     return path
 
 
-def run_documents(results: DataFrame, totals: DataFrame, per_document: int = CASES_PER_DOCUMENT) -> DataFrame:
-    """``(run_no, part_no, document)``: totals and the arrays of passing and failing cases.
+def write_runs(results: DataFrame, runs: DataFrame, path: str) -> str:
+    """Each run as a header record under ``runs`` and its case records under ``cases``.
 
-    A run of usual size is one document. A larger one is spread over numbered parts by a hash
-    of its query ids, so an array never grows with the run; every part repeats the totals.
+    The layout is the same however many cases a run has: headers hold ids, totals and the number of
+    case records; cases lie in folders by run and by ``passes`` or ``failures``. ``runs`` has
+    run_no, run_id, name, mode and the totals.
     """
-    parts = totals.select(
-        "run_no",
-        F.struct(*[c for c in totals.columns if c != "run_no"]).alias("totals"),
-        F.ceil(F.col("total") / per_document).alias("n_parts"),
-    )
-    placed = results.withColumn("case", case_document(results)).join(parts, "run_no").withColumn(
-        "part_no", F.pmod(F.xxhash64("query_id"), F.col("n_parts"))
-    )
-    passed = F.when(F.col("status") == "pass", F.col("case"))
-    failed = F.when(F.col("status") != "pass", F.col("case"))
-    return (
-        placed.groupBy("run_no", "part_no")
-        .agg(
-            F.first("totals").alias("totals"),
-            F.collect_list(passed).alias("passes"),
-            F.collect_list(failed).alias("failures"),
-        )
-        .select("run_no", "part_no", F.struct("run_no", "part_no", "totals", "passes", "failures").alias("document"))
+    ids = ["run_no", "run_id", "name", "mode"]
+    totals = F.struct(*[c for c in runs.columns if c not in ids]).alias("totals")
+    part = F.when(F.col("status") == "pass", "passes").otherwise("failures")
+    counted = results.groupBy("run_no").agg(
+        F.count_if(part == "passes").alias("n_passes"), F.count_if(part == "failures").alias("n_failures")
     )
+    headers = runs.select(*ids, totals).join(counted, "run_no", "left").fillna(0, ["n_passes", "n_failures"])
+    headers.write.mode("overwrite").json(f"{path}/runs")
+    cases = results.select("run_no", part.alias("part"), case_document(results).alias("case"))
+    cases.select("run_no", "part", "case.*").write.mode("overwrite").partitionBy("run_no", "part").json(f"{path}/cases")
+    return path

@@ -3,13 +3,14 @@
 import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.audits import join_rows, orphans
 from tallyhouse.operators.picking import capped, first_per_key, most_frequent
 from tallyhouse.sources import ledger
-from tallyhouse.sources.csv_files import load_table, scan_csv
-from tallyhouse.sources.sinks import run_documents
+from tallyhouse.sources.csv_files import lenient_int, load_table, read_table, scan_csv, write_csv
+from tallyhouse.sources.sinks import write_results_csv, write_runs
 from tallyhouse.sources.tables import full_refresh
 
 
@@ -21,7 +22,7 @@ def test_reviews_with_mark_quotes_and_line_breaks(spark, tmp_path):
         b"r2,o2,x,title,,2018-01-03\n"
         b"r3,o3,4.0,,plain,31/12/2018\n"
     )
-    rows = {r.review_id: r for r in load_table(spark, str(path), "order_reviews").collect()}
+    rows = {r.review_id: r for r in read_table(spark, str(path), "order_reviews").collect()}
     assert rows["r1"].review_comment_message == 'first line\nsecond "quoted", line'
     assert rows["r1"].review_comment_title is None
     assert rows["r1"].review_creation_date == datetime.datetime(2018, 1, 2, 3, 4, 5)
@@ -33,7 +34,7 @@ def test_reviews_with_mark_quotes_and_line_breaks(spark, tmp_path):
 def test_columns_are_matched_by_name(spark, tmp_path):
     path = tmp_path / "items.csv"
     path.write_text("freight_value,order_id,unknown,order_item_id,price\n1.239,o1,zz,-2.9,10\nbad,o2,zz,,\n")
-    rows = load_table(spark, str(path), "order_items").orderBy("order_id").collect()
+    rows = read_table(spark, str(path), "order_items").orderBy("order_id").collect()
     assert rows[0].asDict() == {
         "freight_value": Decimal("1.24"), "order_id": "o1", "order_item_id": -2,
         "price": Decimal("10.00"),
@@ -89,15 +90,71 @@ def test_ledger_survives_broken_lines(spark, tmp_path):
     assert rows == {"e01": (1, "pass"), "e02": (None, "fail")}
 
 
-def test_a_large_run_is_cut_into_documents(spark):
-    results = spark.range(500).select(
+CELLS = ["  two blanks both ends  ", "\nline break first\n", 'say "so", twice', "a\nb", "\ttab", "plain"]
+
+
+def test_cells_come_back_unchanged(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), c) for i, c in enumerate(CELLS)], "customer_id string, customer_city string")
+    back = scan_csv(spark, write_csv(rows, str(tmp_path / "csv"))).collect()
+    assert {int(r.customer_id): r.customer_city for r in back} == dict(enumerate(CELLS))
+    results = rows.select(F.col("customer_id").alias("query_id"), F.col("customer_city").alias("predicted_sql"))
+    back = scan_csv(spark, write_results_csv(results, str(tmp_path / "results"))).collect()
+    assert {int(r.query_id): r.predicted_sql for r in back} == dict(enumerate(CELLS))
+
+
+def test_line_breaks_in_any_table(spark, tmp_path):
+    path = tmp_path / "sellers.csv"
+    path.write_text('seller_id,seller_city\n3,"a\nb"\n4,c\n')
+    rows = read_table(spark, str(path), "sellers").collect()
+    assert {r.seller_id: r.seller_city for r in rows} == {"3": "a\nb", "4": "c"}
+
+
+def test_numbers_without_type_suffix(spark):
+    cells = ["12d", "5f", "7D", "1e1", "1_000", "1__0", " 12.9 ", "-.5", "5.", "NaN", "inf", "0x1", "", None, "99999999999"]
+    frame = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r[0] for r in frame.select(lenient_int(F.col("c"))).collect()]
+    assert got == [None, None, None, 10, 1000, None, 12, 0, 5, None, None, None, None, None, None]
+
+
+def test_load_keeps_the_first_row_of_a_key(spark, tmp_path):
+    for name, rows in (("b.csv", "s1,late\ns3,new\n"), ("a.csv", "s1,first\ns2,x\ns1,second\n")):
+        (tmp_path / name).write_text("seller_id,seller_city\n" + rows)
+    for _ in range(2):
+        table = load_table(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], "sellers", str(tmp_path / "stored"))
+        assert {r.seller_id: r.seller_city for r in table.collect()} == {"s1": "first", "s2": "x", "s3": "new"}
+    assert spark.read.parquet(str(tmp_path / "stored")).count() == 3
+
+
+@pytest.mark.parametrize("cases", [0, 10, 10_000])
+def test_a_run_has_one_layout_at_every_size(spark, tmp_path, cases):
+    results = spark.range(cases).select(
         F.col("id").alias("query_id"), F.lit(1).alias("run_no"), F.lit(0).alias("em"), F.lit(1).alias("ex"),
         F.when(F.col("id") % 3 == 0, "pass").otherwise("fail").alias("status"),
         *[F.lit("NA").alias(d) for d in ("table", "time_frame", "filters", "aggregation", "join")],
     )
-    totals = results.groupBy("run_no").agg(F.count("*").alias("total"))
-    one = run_documents(results, totals).collect()
-    assert len(one) == 1 and len(one[0].document.passes) == 167 and len(one[0].document.failures) == 333
-    many = run_documents(results, totals, per_document=100).collect()
-    assert len(many) == 5
-    assert sorted(c.query_id for d in many for c in d.document.passes + d.document.failures) == list(range(500))
+    runs = spark.createDataFrame([(1, "r_1", "R 1", "full", cases, 0.5)], "run_no int, run_id string, name string, mode string, total int, pass_rate double")
+    path = write_runs(results, runs, str(tmp_path / "runs"))
+    passes = len(range(0, cases, 3))
+    header = spark.read.json(f"{path}/runs").collect()
+    assert len(header) == 1 and (header[0].run_id, header[0].name, header[0].totals.pass_rate) == ("r_1", "R 1", 0.5)
+    assert (header[0].n_passes, header[0].n_failures) == (passes, cases - passes)
+    stored = spark.read.schema("query_id bigint, run_no int, part string").json(f"{path}/cases")
+    assert sorted(r.query_id for r in stored.collect()) == list(range(cases))
+    assert stored.where("part = 'passes'").count() == passes
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tallyhouse.session import scratch_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session("spark://host:7077"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session("local-cluster[2,1,1024]"), "x")
+    assert scratch_dir(session("yarn", "hdfs:///s/"), "x").startswith("hdfs:///s/tallyhouse/x-")
+    assert scratch_dir(session("local[4]"), "x")

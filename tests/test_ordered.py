@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from statistics import median
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.ordered import numbered, ordered_runs, percentiles
@@ -65,3 +66,18 @@ def test_percentiles_interpolate(spark, block):
     for g, values in groups.items():
         assert got[g][0] == pytest.approx(median(values))
         assert got[g][1] == pytest.approx(interpolated(values, 0.95))
+
+
+def test_no_array_grows_with_the_group(spark):
+    """Thousands of blocks in one group: right answers, and splitters in arrays of bounded length."""
+    from tallyhouse.operators import ordered
+
+    keys = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 20_011).alias("k"), F.lit(1).alias("n"))
+    runs = ordered_runs(keys, ["g"], F.col("k"), "n", rows_per_block=4, fanout=40)
+    wrong = runs.join(runs.select("k").withColumn("r", F.row_number().over(Window.orderBy("k")) - 1), "k").where("r <> start")
+    assert wrong.count() == 0
+    blocks = ordered._blocked(keys, ["g"], F.col("k"), 4, None, 40)
+    assert blocks.select("_coarse", "_fine").distinct().count() > 3_000
+    coarse, fine = blocks.agg(F.max("_coarse"), F.max("_fine")).first()
+    # About 125 coarse keys and 40 fine ones inside each; far below the 5 000 there are.
+    assert coarse < 250 and fine < 500

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import grading, rubric, sqltext, text
 from tallyhouse.functions.numeric import percent, whole_days
 from tallyhouse.plans import sales, service
-from tallyhouse.plans.scoring import latest_run
+from tallyhouse.plans.scoring import latest_runs
 from tallyhouse.plans.star import Star
 
 
@@ -26,18 +26,20 @@ def test_worst_grade(spark, grades, expected):
 
 
 @pytest.mark.parametrize(
-    "ex, wrong, flag, refused, expected",
+    "ex, wrong, flag, refused, late, crashed, expected",
     [
-        (1, False, False, False, ("pass", "pass")),
-        (1, False, True, False, ("pass", "review")),
-        (1, True, False, False, ("fail", "fail")),
-        (0, False, False, False, ("fail", "fail")),
-        (1, False, False, True, ("error", "error")),
+        (1, False, False, False, False, False, ("pass", "pass")),
+        (1, False, True, False, False, False, ("pass", "review")),
+        (1, True, False, False, False, False, ("fail", "fail")),
+        (0, False, False, False, False, False, ("fail", "fail")),
+        (1, False, False, True, False, False, ("error", "error")),
+        (0, False, False, False, True, False, ("timeout", "fail")),
+        (0, False, False, False, False, True, ("error", "fail")),
     ],
 )
-def test_outcome(spark, ex, wrong, flag, refused, expected):
-    args = F.lit(ex), F.lit(wrong), F.lit(flag), F.lit(refused), F.lit(False)
-    found = one(spark, F.struct(grading.status(args[0], args[1], args[3], args[4]), grading.outcome(*args)))
+def test_outcome(spark, ex, wrong, flag, refused, late, crashed, expected):
+    args = [F.lit(v) for v in (ex, wrong, flag, refused, late, crashed)]
+    found = one(spark, F.struct(grading.status(args[0], args[1], *args[3:]), grading.outcome(*args)))
     assert tuple(found) == expected
 
 
@@ -81,7 +83,7 @@ SQL = (
 
 def test_graders(spark):
     sql, bare = F.lit(SQL), sqltext.bare(sqltext.code(F.lit(SQL)))
-    tables, joins = sqltext.table_names(bare), sqltext.join_clauses(bare)
+    tables, joins = sqltext.table_names(sqltext.table_references(bare)), sqltext.join_clauses(bare)
     qualified, plain = sqltext.prefixed_columns(bare), sqltext.plain_columns(bare)
 
     def table(*wanted):
@@ -92,14 +94,14 @@ def test_graders(spark):
     ]
 
     def filters(*wanted):
-        return one(spark, rubric.grade_filters(items(*wanted), sql))
+        return one(spark, rubric.grade_filters(items(*wanted), sqltext.shallowest_clause(sql, "where", sqltext.CLAUSE_ENDS), sql))
 
     assert [filters("order_status = 'delivered'", "x.price  >= 5".replace("x.", "i.")), filters("GROUP BY o.order_id")] == [
         "correct", "wrong",
     ]
 
     def aggregation(*wanted):
-        return one(spark, rubric.grade_aggregation(items(*wanted), bare))
+        return one(spark, rubric.grade_aggregation(items(*wanted), bare, sqltext.shallowest_clause(bare, "limit", [])))
 
     assert aggregation("COUNT", "DISTINCT ids", "GROUP BY order_id", "LIMIT 5") == "correct"
     assert aggregation("SUM", "COUNT") == "flag"
@@ -128,10 +130,9 @@ def test_latest_run_prefers_the_exact_id(spark):
         [("base_1", datetime.datetime(2026, 1, 1)), ("base_2", datetime.datetime(2026, 2, 1)), ("base", datetime.datetime(2025, 1, 1))],
         "run_id string, started_at timestamp",
     )
-    assert latest_run(runs, "Base!").first().run_id == "base_2"
-    assert latest_run(runs, "base_1").first().run_id == "base_1"
-    assert latest_run(runs, "base").first().run_id == "base"
-    assert latest_run(runs, "other").first().run_id is None
+    found = latest_runs(runs, ["Base!", "base_1", "base", "other"]).collect()
+    assert [tuple(r) for r in found] == [("Base!", "base_2"), ("base_1", "base_1"), ("base", "base"), ("other", None)]
+    assert latest_runs(runs.limit(0), ["base"]).first().run_id is None
 
 
 def test_whole_days_truncate_toward_zero(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import sqltext
+from tallyhouse.functions import rubric, sqltext
 from tallyhouse.plans.querylog import read_tokens, unknown, verdicts
 
 
@@ -39,6 +39,39 @@ CASES = [
      "t.product_category_name", [], []),
     ("SELECT COUNT(*) FROM products p LEFT OUTER JOIN product_category_translation t ON p.product_category_name = "
      "t.product_category_name", [], []),
+    # Quoted names, literals that look like comments and comments that look like literals.
+    ('SELECT usename FROM "pg_shadow" LIMIT 1', ["R4", "R5"], []),
+    ('SELECT x FROM "users" LIMIT 1', ["R5"], []),
+    ('SELECT "order_id" FROM "orders" LIMIT 1', [], []),
+    ('SELECT "odd name" FROM "odd table" LIMIT 1', ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = '--' AND customer_id IN (SELECT id FROM secret_table) LIMIT 1", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = '/*' AND customer_id IN (SELECT id FROM secret_table WHERE a = '*/') LIMIT 1",
+     ["R5"], []),
+    ("SELECT order_id FROM orders -- it's fine\nWHERE order_status = 'from users' LIMIT 1", [], []),
+    ("SELECT order_id FROM orders /* don't */ WHERE order_status = 'it''s from users' LIMIT 1", [], []),
+    # Comma tables, at any depth.
+    ("SELECT o.order_id FROM orders o, secret_table t LIMIT 1", ["R5"], []),
+    ("SELECT o.order_id FROM (SELECT order_id FROM orders, secret_table) o, customers LIMIT 1", ["R5"], []),
+    ("SELECT o.order_id, coalesce(o.order_status, 'x'), 1 FROM orders o, customers c WHERE o.customer_id = c.customer_id LIMIT 1", [], []),
+    ("SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id, secret_table LIMIT 1", ["R5"], []),
+    ("SELECT o.bad FROM customers c, orders o LIMIT 1", ["R10"], []),
+    ("SELECT order_id FROM (orders) LIMIT 1", [], []),
+    # Aliases without AS.
+    ("SELECT order_id oid FROM orders ORDER BY oid LIMIT 2", [], []),
+    ("SELECT p.product_id nm FROM products p ORDER BY nm LIMIT 2", [], []),
+    ("SELECT order_id a, order_status b, 1 c, 'x' d FROM orders ORDER BY a, b, c, d LIMIT 2", [], []),
+    ("SELECT CASE WHEN order_id = 'x' THEN 1 ELSE 2 END k FROM orders ORDER BY k LIMIT 2", [], []),
+    ("SELECT DISTINCT nothing FROM orders LIMIT 2", ["R10"], []),
+    # FROM that is no table list.
+    ("SELECT order_id FROM orders WHERE order_status IS DISTINCT FROM customer_id LIMIT 5", [], []),
+    ("SELECT order_id FROM orders WHERE order_status IS NOT DISTINCT FROM customer_id LIMIT 5", [], []),
+    ("SELECT order_id, trim(both from order_status) FROM orders LIMIT 3", [], []),
+    ("SELECT order_id, trim(leading 'x' from order_status) FROM orders LIMIT 3", [], []),
+    ("SELECT order_id, substring(lower(order_status) from 2 for 3) FROM orders LIMIT 3", [], []),
+    # Set operations.
+    ("SELECT order_id FROM orders UNION SELECT order_id FROM order_items LIMIT 1", ["R2"], []),
+    ("WITH a AS (SELECT 1) SELECT order_id FROM orders EXCEPT SELECT order_id FROM order_items LIMIT 1", ["R2"], []),
+    ("SELECT COUNT(*) FROM (SELECT order_id FROM orders INTERSECT SELECT order_id FROM order_items) x", [], []),
     ("-- only a comment", ["R1"], []),
     ("/* note */ SELECT COUNT(*) FROM orders -- * drop", ["R3"], []),
 ]
@@ -90,6 +123,38 @@ def test_gate_keeps_its_substring_quirks(spark, text, verdict, passed):
         assert value(spark, sqltext.gate_text, text) == passed
 
 
+@pytest.mark.parametrize(
+    "text, where, limit",
+    [
+        ("SELECT a FROM (SELECT a FROM t WHERE x = 1 LIMIT 5) q WHERE y = (2) LIMIT 100", "y = (2)", "100"),
+        ("SELECT a FROM (SELECT a FROM t WHERE x = 1 LIMIT 5) q", "x = 1", "5"),
+        ("WITH q AS (SELECT a FROM t WHERE x = 1) SELECT a FROM q WHERE b = 'limit 3' GROUP BY a", "b = 'limit 3'", None),
+        ("SELECT a FROM t", None, None),
+        ("SELECT a FROM t WHERE b IN (SELECT c FROM d WHERE e = 1 ORDER BY c LIMIT 2) AND f = 2;",
+         "b IN (SELECT c FROM d WHERE e = 1 ORDER BY c LIMIT 2) AND f = 2", "2"),
+    ],
+)
+def test_outermost_clauses(spark, text, where, limit):
+    found = value(spark, lambda c: sqltext.shallowest_clause(c, "where", sqltext.CLAUSE_ENDS), text)
+    assert (found and found.strip()) == where
+    found = value(spark, lambda c: sqltext.shallowest_clause(c, "limit", ["offset", "fetch"]), text)
+    assert (found and found.strip()) == limit
+
+
+def test_grades_look_at_the_outermost_limit_and_where(spark):
+    text = "SELECT order_id FROM (SELECT order_id FROM orders WHERE a = 1 LIMIT 5) x WHERE b = 2 LIMIT 100"
+
+    def graded(column):
+        return spark.range(1).select(column).first()[0]
+
+    sql = F.lit(text)
+    where = sqltext.shallowest_clause(sql, "where", sqltext.CLAUSE_ENDS)
+    limit = sqltext.shallowest_clause(F.lower(sql), "limit", [])
+    assert graded(rubric.grade_aggregation(F.array(F.lit("LIMIT 100")), F.lower(sql), limit)) == "correct"
+    assert graded(rubric.grade_aggregation(F.array(F.lit("LIMIT 5")), F.lower(sql), limit)) == "wrong"
+    assert graded(rubric.grade_filters(F.array(F.lit("b = 2"), F.lit("a = 1")), where, sql)) == "flag"
+
+
 def test_fences(spark):
     assert value(spark, sqltext.sql_in_fence, "Look:\n```SQL\nSELECT 1\n```\nmore\n```\nno\n```") == "SELECT 1"
     assert value(spark, sqltext.sql_in_fence, "  SELECT 2\n") == "SELECT 2"
