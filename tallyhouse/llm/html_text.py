@@ -148,9 +148,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_places(tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS) -> np.ndarray:
+def repeated_places(tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS, parts: np.ndarray | None = None) -> np.ndarray:
     """Marks tokens covered by a run of ``run`` tokens that also stands on another page.
 
+    ``parts`` rises along the stream where runs must not go on; pages end them anyway.
+
     Suffixes are ordered by prefix doubling as far as ``run`` tokens, which is all that tells
     whether they share a run; longer shared passages are covered by their runs.
     """
@@ -158,9 +160,12 @@ def repeated_places(tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS
     covered = np.zeros(n + 1, dtype=np.int64)
     if n < run:
         return covered[:n] > 0
-    # Rank of the first ``depth`` tokens of each suffix; page ends differ from all others.
+    # Rank of the first ``depth`` tokens of each suffix, for those that do not pass the end of a part.
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    last = np.flatnonzero(np.diff(pages, append=pages[-1] + 1))
+    ends_here = np.diff(pages, append=pages[-1] + 1) != 0
+    if parts is not None:
+        ends_here |= np.diff(parts, append=parts[-1] + 1) != 0
+    last = np.flatnonzero(ends_here)
     left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
     depth = 1
     while depth < run:
@@ -216,7 +221,15 @@ def _of_host(group: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(s) for s in streams], dtype=np.int64)
     known: dict[str, int] = {}
     tokens = np.fromiter((known.setdefault(w, len(known)) for s in streams for w in s), dtype=np.int64, count=int(sizes.sum()))
-    covered = repeated_places(tokens, np.repeat(np.arange(len(sizes)), sizes))
+    # An open block is a part of its own; labelled ones go on, as menus have a block per entry.
+    parts, number = [], 0
+    for kinds, rest in zip(group["kinds"], group["rest"], strict=True):
+        before = OPEN
+        for kind, text in zip(kinds, rest, strict=True):
+            number += kind == OPEN or before == OPEN
+            before = kind
+            parts += [number] * len(text.split(" "))
+    covered = repeated_places(tokens, np.repeat(np.arange(len(sizes)), sizes), parts=np.asarray(parts, dtype=np.int64))
     ends = np.cumsum(sizes)
     texts = [
         main if has_main else _open_text(list(kinds), list(rest), covered[end - size : end])
