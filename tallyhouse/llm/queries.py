@@ -11,6 +11,9 @@ from tallyhouse.llm import (
     ann, html_text, language, minhash, mixing, packing, quality, sharding, token_counts, vector_dedup,
 )
 from tallyhouse.llm.common import table, word_count
+from tallyhouse.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,7 +87,7 @@ def op8_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_suffix_array_html(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
-    return html_text.extract(table(spark, folder, "pages"))
+    return html_text.extract(table(spark, folder, "pages")).drop("boilerplate_tokens")
 
 
 def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,4 +103,3 @@ QUERIES: dict[str, Query] = {
         op9_suffix_array_html, op10_bbit_minhash,
     )
 }
-ORACLES: dict[str, str] = {}
