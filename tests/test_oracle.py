@@ -3,10 +3,13 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracles.catalogue import all_statements
 from oracle_check import check, duck
+from tallyhouse.registry import all_queries
 
-QUERIES = queries()
-STATEMENTS = oracle_sql()
+# Queries of the training-data package have tests of their own.
+QUERIES = all_queries()
+STATEMENTS = all_statements()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +25,7 @@ def test_query_matches_oracle(spark, con, folder, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry_gives_rows(spark, folder):
