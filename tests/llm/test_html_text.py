@@ -24,7 +24,7 @@ def test_articles_of_all_pages(spark, folder):
 
 def test_menus_adverts_and_footers_are_found_on_other_pages(spark, folder):
     rows = html_text.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect()
-    assert sum(r["boilerplate_tokens"] > 5 for r in rows) > 0.5 * len(rows)
+    assert sum(r["boilerplate_tokens"] > 5 for r in rows) >= 5
 
 
 def test_markup():
