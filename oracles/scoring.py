@@ -81,22 +81,22 @@ VIEWS = {
 
 _CELLS = ("table", "time_frame", "filters", "aggregation", "join", "date_operator")
 _CHECKS = [
-    ("k % 101 = 0", "missing required field 'id'"),
-    ("k % 23 = 0", "missing required field 'difficulty'"),
-    ("k % 31 = 0", "missing required field 'tables'"),
-    ("k % 19 = 0", "missing required field 'question'"),
-    ("k % 53 = 0", "missing required field 'expected'"),
-    ("k % 23 = 0 or k % 29 = 0", "difficulty not allowed"),
-    ("k % 17 = 0", "gold_sql is empty"),
+    ("k % 101 = 0", "absent:id"),
+    ("k % 23 = 0", "absent:difficulty"),
+    ("k % 31 = 0", "absent:tables"),
+    ("k % 19 = 0", "absent:question"),
+    ("k % 53 = 0", "absent:expected"),
+    ("k % 23 = 0 or k % 29 = 0", "unknown:difficulty"),
+    ("k % 17 = 0", "empty:gold_sql"),
 ]
 for _i, _d in enumerate(_CELLS):
     _n = f"(k + {_i})"
     _live = f"{_n} % 37 <> 0 and {_n} % 41 <> 0 and {_n} % 3 <> 0"
     _CHECKS += [
-        (f"{_n} % 37 = 0", f"rubric missing dimension '{_d}'"),
-        (f"{_n} % 37 <> 0 and {_n} % 41 = 0", f"rubric.{_d} missing 'required' key"),
-        (f"{_live} and {_n} % 43 = 0", f"rubric.{_d} required=true but no 'spec'"),
-        (f"{_live} and {_n} % 47 = 0", f"rubric.{_d} required=true but no 'items' list"),
+        (f"{_n} % 37 = 0", f"absent:rubric.{_d}"),
+        (f"{_n} % 37 <> 0 and {_n} % 41 = 0", f"absent:rubric.{_d}.required"),
+        (f"{_live} and {_n} % 43 = 0", f"empty:rubric.{_d}.spec"),
+        (f"{_live} and {_n} % 47 = 0", f"absent:rubric.{_d}.items"),
     ]
 _ERRORS = ", ".join("case when {} then '{}' end".format(test, text.replace("'", "''")) for test, text in _CHECKS)
 VIEWS["x_errors"] = f"select k, [e for e in [{_ERRORS}] if e is not null] errs from x_drafts"

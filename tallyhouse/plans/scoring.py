@@ -376,21 +376,21 @@ REQUIRED_CASE_FIELDS = ["id", "difficulty", "tables", "question", "gold_sql", "e
 
 
 def case_errors() -> Column:
-    """Error texts of one case record, in checking order."""
+    """Error codes of one case record, ``problem:field``, in checking order."""
     absent = [
-        F.when(F.col(field).isNull(), f"missing required field '{field}'") for field in REQUIRED_CASE_FIELDS
+        F.when(F.col(field).isNull(), f"absent:{field}") for field in REQUIRED_CASE_FIELDS
     ]
     levels = F.coalesce(F.col("difficulty").isin(*DIFFICULTY_LETTERS), F.lit(False))
-    checks = [*absent, F.when(~levels, "difficulty not allowed")]
-    checks.append(F.when(F.trim("gold_sql") == "", "gold_sql is empty"))
+    checks = [*absent, F.when(~levels, "unknown:difficulty")]
+    checks.append(F.when(F.trim("gold_sql") == "", "empty:gold_sql"))
     for d in RUBRIC_CELLS:
         block = F.col("rubric")[d]
         needed = F.coalesce(block["required"], F.lit(False))
         checks += [
-            F.when(block.isNull(), f"rubric missing dimension '{d}'"),
-            F.when(block.isNotNull() & block["required"].isNull(), f"rubric.{d} missing 'required' key"),
-            F.when(needed & (F.coalesce(block["spec"], F.lit("")) == ""), f"rubric.{d} required=true but no 'spec'"),
-            F.when(needed & block["items"].isNull(), f"rubric.{d} required=true but no 'items' list"),
+            F.when(block.isNull(), f"absent:rubric.{d}"),
+            F.when(block.isNotNull() & block["required"].isNull(), f"absent:rubric.{d}.required"),
+            F.when(needed & (F.coalesce(block["spec"], F.lit("")) == ""), f"empty:rubric.{d}.spec"),
+            F.when(needed & block["items"].isNull(), f"absent:rubric.{d}.items"),
         ]
     return F.array_compact(F.array(*checks))
 
