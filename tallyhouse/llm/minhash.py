@@ -251,7 +251,7 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     Two documents are linked if 100 * |both sets| >= percent * |either set|. Words are runs of
     anything but ASCII white space, with A-Z lower-cased; a text with fewer words than a shingle
     is one shingle. Null texts and texts without a word have no shingle and link with nothing.
-    Rows that share an id are one document for linking. A row with null id is linked with nothing
+    Rows with words that share an id are one document for linking. A row with null id is linked with nothing
     and kept: component_id is null. Other columns are not read. An empty frame gives an empty one.
     Ids must be whole numbers.
     """
@@ -281,9 +281,14 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
         "minhash-sets",
     )
     known = stored(members.join(marks, "cid"), "minhash-buckets")
-    # Documents that share an id hold together from the start.
-    same = classes.groupBy("least").agg(F.min("cid").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    links = stored(classes.join(same, "least").select(F.col("cid").alias("a"), "b").filter("a <> b"), "minhash-links")
+    # The texts of one id hold together from the start.
+    several = (
+        signed.filter("n > 0 and id is not null").groupBy("id")
+        .agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other").select("id")
+    )
+    own = signed.filter("n > 0").join(several, "id").join(classes.select("set_key", "cid"), "set_key").select("id", "cid").distinct()
+    hold = own.groupBy("id").agg(F.min("cid").alias("b"))
+    links = stored(own.join(hold, "id").select(F.col("cid").alias("a"), "b").filter("a <> b"), "minhash-links")
     for turn in range(HUB_ROUNDS):
         links = stored(links.union(_hub_links(_labelled(known, links), sets, percent, turn)), "minhash-links")
     rest = _apart(_labelled(known, links), sets, percent)

@@ -111,7 +111,7 @@ def test_odd_rows(odd, nothing):
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(tuple(r)[1:])
-    assert by[1] == [(9, 1, True)] and by[2] == [(9, 1, False)] * 2
+    assert by[1] == [(10, 1, True)] and by[2] == [(10, 1, False)] * 2
     assert by[3] == [(0, 3, True)] and by[4] == [(0, 4, True)] and by[5] == [(0, 5, True)]
     assert by[None] == [(4, None, True)] and by[6] == [(1, 6, True)] and by[7] == [(1, 7, True)]
     assert minhash.near_duplicates(nothing, "doc_id", "text").collect() == []
