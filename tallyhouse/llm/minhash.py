@@ -105,11 +105,17 @@ def _sign(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = SpanHasher()
+        hasher, seen = SpanHasher(), set()
         for batch in batches:
-            sets = [shingle_hashes(t, size, hasher) for t in batch["text"]]
+            cids, sets = [], []
+            for cid, key, text in zip(batch["cid"].tolist(), batch["set_key"], batch["text"], strict=True):
+                # Rows that share an id may have other texts, or the same one again.
+                if cid not in seen and _set_key(own := shingle_hashes(text, size, hasher)) == key:
+                    seen.add(cid)
+                    cids.append(cid)
+                    sets.append(own)
             small = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
-            yield pd.DataFrame({"set_key": [_set_key(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "small": small})
+            yield pd.DataFrame({"cid": cids, "hashes": [s.view(np.int64) for s in sets], "small": small})
 
     return run
 
@@ -274,10 +280,10 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     suspects = stored(
         classes.select("cid", "least", "set_key").join(members.select("cid").distinct(), "cid"), "minhash-suspects"
     )
-    ids = suspects.select(F.col("least").alias("id")).distinct()
+    # A class met twice, in tasks a hot id was split over, does no harm.
     sets = stored(
-        texts.join(ids, "id", "left_semi").select("text").mapInPandas(_sets(shingle), "set_key binary, hashes array<bigint>, small binary")
-        .join(suspects.select("cid", "set_key"), "set_key").dropDuplicates(["cid"]).select("cid", "hashes", "small"),
+        texts.join(suspects.withColumnRenamed("least", "id"), "id").select("cid", "set_key", "text")
+        .mapInPandas(_sets(shingle), "cid bigint, hashes array<bigint>, small binary"),
         "minhash-sets",
     )
     known = stored(members.join(marks, "cid"), "minhash-buckets")
