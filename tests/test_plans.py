@@ -43,4 +43,4 @@ def test_fact_is_summed_before_the_join(spark, folder):
 
 def test_blocks_of_a_group_are_spread(spark, folder):
     text = plan(comparing.resultset_compare(Star(spark, folder)))
-    assert "REPARTITION_BY_COL" in text and "_block" in text
+    assert "REPARTITION_BY_COL" in text and "_coarse" in text and "_fine" in text
