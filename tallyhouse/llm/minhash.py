@@ -33,6 +33,7 @@ CHANCE = 2.0**-BITS
 SLACK = 0.2
 HUB_ROUNDS = 1
 TILE = 1_024
+CLUSTER_CLASSES = 8 * TILE
 ROWS_AT_ONCE = COLUMNS_AT_ONCE = 4_096
 # So few pairs of a tile are compared one by one; more as a product of membership grids.
 FEW_PAIRS = 64
@@ -297,7 +298,7 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     links = stored(own.join(hold, "id").select(F.col("cid").alias("a"), "b").filter("a <> b"), "minhash-links")
     for turn in range(HUB_ROUNDS):
         links = stored(links.union(_hub_links(_labelled(known, links), sets, percent, turn)), "minhash-links")
-    rest = _apart(_labelled(known, links), sets, percent)
+    rest = _apart(_labelled(known, links), marks, sets, percent)
     links = stored(links.union(_confirm(rest, sets, percent)), "minhash-links")
     groups = components(links)
     named = classes.select("cid", "set_key", "least").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
@@ -333,16 +334,31 @@ def _hub_links(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> Dat
     return _confirm(best.select(F.col("cid").alias("a"), F.col("best.b").alias("b")), sets, percent)
 
 
-def _apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart(rows: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a bucket, enough of them to join what is linked.
 
     Inside a task the estimate rules pairs out, and the full sets, as 32-bit hashes, decide on the
     rest; only a spanning forest leaves it.
 
-    Per bucket the largest component is the main one. Tasks hold a tile of it (side 0) against a
+    Buckets that share classes make a cluster, and a cluster of bounded size is compared as a whole,
+    so a class moves once instead of once a bucket. Larger clusters stay apart by bucket.
+    Per cluster or bucket the largest component is the main one. Tasks hold a tile of it (side 0) against a
     tile of the others (side 2), or two tiles of the others (side 1 is both at once).
     """
-    rows = stored(rows, "minhash-labelled")
+    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+    rows = rows.select("key", "cid", "component")
+    rows = stored(rows.join(mixed_keys.filter("one <> other").select("key"), "key"), "minhash-labelled")
+    stars = rows.groupBy("key").agg(F.min("cid").alias("b"))
+    clusters = components(rows.join(stars, "key").select(F.col("cid").alias("a"), "b")).toDF("cid", "cluster")
+    bounded = F.col("size") <= CLUSTER_CLASSES
+    placed = rows.join(
+        clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "cid"
+    )
+    # Band keys are hashes of 64 bits and clusters small numbers; should two meet, more is compared.
+    rows = stored(
+        placed.select(F.when(bounded, F.col("cluster")).otherwise(F.col("key")).alias("key"), "cid", "component").distinct(),
+        "minhash-clusters",
+    )
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = (
         sizes.groupBy("key")
@@ -374,7 +390,7 @@ def _apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.when(j == F.col("own"), 1).when(F.col("own") < j, 0).otherwise(2),
         ),
     )
-    dealt = r.join(sets.select("cid", "small"), "cid").select(
+    dealt = r.join(marks, "cid").join(sets.select("cid", "small"), "cid").select(
         "key", "cid", "component", "n", "signature", "small",
         F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(against_main, among))).alias("t"),
     ).select("key", "t.i", "t.j", "t.side", "cid", "component", "n", "signature", "small")
