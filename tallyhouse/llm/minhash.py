@@ -35,6 +35,8 @@ HUB_ROUNDS = 1
 TILE = 1_024
 CLUSTER_CLASSES = 8 * TILE
 ROWS_AT_ONCE = COLUMNS_AT_ONCE = 4_096
+# Scans of this size on are worth a Bloom filter; by default only those of 10 GB are.
+BLOOM_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 # So few pairs of a tile are compared one by one; more as a product of membership grids.
 FEW_PAIRS = 64
 _LOW_BITS = 0x1111111111111111
@@ -281,9 +283,13 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     suspects = stored(
         classes.select("cid", "least", "set_key").join(members.select("cid").distinct(), "cid"), "minhash-suspects"
     )
+    # Few texts are needed again. The condition holds for all; it lets Spark take this side for a
+    # selective one and filter the texts by a Bloom filter of its ids before they move.
+    frame.sparkSession.conf.set(BLOOM_FROM, "64MB")
+    wanted = suspects.withColumnRenamed("least", "id").filter("cid >= 0")
     # A class met twice, in tasks a hot id was split over, does no harm.
     sets = stored(
-        texts.join(suspects.withColumnRenamed("least", "id"), "id").select("cid", "set_key", "text")
+        texts.join(wanted, "id").select("cid", "set_key", "text")
         .mapInPandas(_sets(shingle), "cid bigint, hashes array<bigint>, small binary"),
         "minhash-sets",
     )
