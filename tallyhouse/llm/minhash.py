@@ -172,6 +172,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def _links_between(percent: int, side, cid, component, n, marks, sets) -> list[tuple[int, int]]:
     """A spanning forest, over components, of the links between the two sides of a tile task."""
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    one_tile = bool((side == 1).all())
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(left), TILE // 4):
         rows = left[at : at + TILE // 4]
@@ -179,8 +180,8 @@ def _links_between(percent: int, side, cid, component, n, marks, sets) -> list[t
         x, y = n[rows][:, None], n[right][None, :]
         close &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
         close &= component[rows][:, None] != component[right][None, :]
-        if len(left) == len(right):
-            # Both sides are the same tile: each pair once.
+        if one_tile:
+            # Each pair once.
             close &= cid[rows][:, None] < cid[right][None, :]
         i, j = np.nonzero(close)
         if not len(i):

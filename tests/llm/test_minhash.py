@@ -87,6 +87,20 @@ def test_tiles_alone_find_every_link(spark, crowd, monkeypatch):
     assert result(frame, 5, 80) == by_hand(crowd, 5, 80)
 
 
+def test_two_tiles_of_equal_size_keep_links_to_lower_ids():
+    rng = np.random.default_rng(5)
+    own = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(4)]
+    own[2] = own[1]
+    marks = np.stack([minhash.signature(minhash.minima(s)) for s in own])
+    small = [np.unique((s >> np.uint64(32)).astype("<u4")) for s in own]
+    cid = np.array([1, 9, 5, 7])
+    n = np.array([len(s) for s in own])
+    for side in ([0, 0, 2, 2], [2, 2, 0, 0]):
+        found = minhash._links_between(85, np.array(side), cid, np.array([1, 1, 5, 7]), n, marks, small)
+        assert [set(f) for f in found] == [{9, 5}]
+    assert minhash._links_between(85, np.ones(4), cid, cid, n, marks, small) == [(5, 9)]
+
+
 def test_estimate_corrects_for_chance(spark):
     rng = np.random.default_rng(2)
     for share in (0.0, 0.5, 0.85, 1.0):
