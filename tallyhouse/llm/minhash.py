@@ -39,6 +39,8 @@ ROWS_AT_ONCE = COLUMNS_AT_ONCE = 4_096
 BLOOM_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 # So few pairs of a tile are compared one by one; more as a product of membership grids.
 FEW_PAIRS = 64
+# Bits of a shingle's hash that move to the tiles at first.
+SMALL_BITS = 32
 _LOW_BITS = 0x1111111111111111
 
 _random = np.random.default_rng(20_250_101)
@@ -117,7 +119,7 @@ def _sets(size: int):
                     seen.add(cid)
                     cids.append(cid)
                     sets.append(own)
-            small = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
+            small = [np.unique((s >> np.uint64(64 - SMALL_BITS)).astype("<u4")).tobytes() for s in sets]
             yield pd.DataFrame({"cid": cids, "hashes": [s.view(np.int64) for s in sets], "small": small})
 
     return run
@@ -170,9 +172,13 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _links_between(percent: int, side, cid, component, n, marks, sets) -> list[tuple[int, int]]:
-    """A spanning forest, over components, of the links between the two sides of a tile task."""
+    """A spanning forest, over components, of the links between the two sides of a tile task.
+
+    Short hashes may make it hold pairs that are no links; they never hide a pair that is one.
+    """
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
     one_tile = bool((side == 1).all())
+    lost = n - np.array([len(s) for s in sets], dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(left), TILE // 4):
         rows = left[at : at + TILE // 4]
@@ -192,6 +198,8 @@ def _links_between(percent: int, side, cid, component, n, marks, sets) -> list[t
             used, used_right = np.unique(i), np.unique(j)
             grid = common_counts([sets[rows[p]] for p in used], [sets[right[q]] for q in used_right])
             both = grid[np.searchsorted(used, i), np.searchsorted(used_right, j)].astype(np.int64)
+        # Shared shingles are no more than this, as each one lost here met another of its own set.
+        both = both + np.minimum(lost[rows[i]], lost[right[j]])
         linked = 100 * both >= percent * (n[rows[i]] + n[right[j]] - both)
         found.append((rows[i[linked]], right[j[linked]]))
     up: dict[int, int] = {}
@@ -235,7 +243,7 @@ def _tile_links(percent: int):
             out = []
             for a, b in itertools.pairwise(bounds.tolist()):
                 some = np.stack(marks[a:b]).astype(np.int64).view(np.uint64)
-                own = [np.frombuffer(x, dtype="<u4") for x in sets[a:b]]
+                own = [np.frombuffer(x, dtype="<u4") if isinstance(x, bytes) else np.asarray(x, dtype=np.int64) for x in sets[a:b]]
                 out += _links_between(percent, side[a:b], cid[a:b], component[a:b], n[a:b], some, own)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -305,8 +313,16 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     links = stored(own.join(hold, "id").select(F.col("cid").alias("a"), "b").filter("a <> b"), "minhash-links")
     for turn in range(HUB_ROUNDS):
         links = stored(links.union(_hub_links(_labelled(known, links), sets, percent, turn)), "minhash-links")
-    rest = _apart(_labelled(known, links), marks, sets, percent)
-    links = stored(links.union(_confirm(rest, sets, percent)), "minhash-links")
+    rest = stored(_apart(_labelled(known, links), marks, sets.select("cid", "small"), percent), "minhash-rest")
+    sure = stored(_confirm(rest, sets, percent), "minhash-sure")
+    links = stored(links.union(sure), "minhash-links")
+    refused = rest.join(sure, ["a", "b"], "left_anti")
+    if not refused.isEmpty():
+        # Short hashes that met by chance made a pair stand for a path that others may give: whole
+        # hashes decide wherever its components are.
+        places = stored(refused.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "minhash-refused")
+        rest = _apart(_labelled(known, links), marks, sets.select("cid", F.col("hashes").alias("small")), percent, places)
+        links = stored(links.union(_confirm(rest, sets, percent)), "minhash-links")
     groups = components(links)
     named = classes.select("cid", "set_key", "least").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "cid")), "minhash-named")
@@ -341,11 +357,12 @@ def _hub_links(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> Dat
     return _confirm(best.select(F.col("cid").alias("a"), F.col("best.b").alias("b")), sets, percent)
 
 
-def _apart(rows: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart(rows: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, places: DataFrame | None = None) -> DataFrame:
     """Links between different components that share a bucket, enough of them to join what is linked.
 
-    Inside a task the estimate rules pairs out, and the full sets, as 32-bit hashes, decide on the
-    rest; only a spanning forest leaves it.
+    Inside a task the estimate rules pairs out, and the sets (``small``: 32-bit hashes, or whole ones)
+    decide on the rest; only a spanning forest leaves it. With ``places``, only clusters or buckets
+    that hold part of a component of its classes are compared.
 
     Buckets that share classes make a cluster, and a cluster of bounded size is compared as a whole,
     so a class moves once instead of once a bucket. Larger clusters stay apart by bucket.
@@ -366,6 +383,9 @@ def _apart(rows: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) ->
         placed.select(F.when(bounded, F.col("cluster")).otherwise(F.col("key")).alias("key"), "cid", "component").distinct(),
         "minhash-clusters",
     )
+    if places is not None:
+        met = rows.join(rows.join(places, "cid").select("component").distinct(), "component")
+        rows = rows.join(met.select("key").distinct(), "key")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = (
         sizes.groupBy("key")
@@ -397,7 +417,7 @@ def _apart(rows: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) ->
             F.when(j == F.col("own"), 1).when(F.col("own") < j, 0).otherwise(2),
         ),
     )
-    dealt = r.join(marks, "cid").join(sets.select("cid", "small"), "cid").select(
+    dealt = r.join(marks, "cid").join(sets, "cid").select(
         "key", "cid", "component", "n", "signature", "small",
         F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(against_main, among))).alias("t"),
     ).select("key", "t.i", "t.j", "t.side", "cid", "component", "n", "signature", "small")

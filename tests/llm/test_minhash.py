@@ -87,6 +87,14 @@ def test_tiles_alone_find_every_link(spark, crowd, monkeypatch):
     assert result(frame, 5, 80) == by_hand(crowd, 5, 80)
 
 
+def test_short_hashes_that_meet_cost_no_link(spark, crowd, monkeypatch):
+    """With ten bits nearly every set has shingles that meet, its own and others'."""
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "SMALL_BITS", 10)
+    frame = spark.createDataFrame(list(crowd.items()), "doc_id bigint, text string")
+    assert result(frame, 3, 85) == by_hand(crowd, 3, 85)
+
+
 def test_two_tiles_of_equal_size_keep_links_to_lower_ids():
     rng = np.random.default_rng(5)
     own = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(4)]
