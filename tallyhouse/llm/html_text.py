@@ -4,10 +4,10 @@
    headers, footers, sidebars, notices, adverts, forms and reader comments is labelled as such;
    the rest is open.
 2. The pages of a host, in blocks of bounded size, lay their labelled and open token streams end to
-   end. A suffix array orders all places by what follows; neighbours that agree for long enough
-   on distinct pages are boilerplate, and the runs they cover are removed.
-3. A page with main text keeps that, whole and in page order. A page without keeps its open runs
-   that no other page has. Labelled runs are dropped even where they are unique.
+   end. A suffix array orders all places by what follows, so that equal runs are neighbours.
+3. A page with main text keeps that, whole and in page order. A page without keeps its open text
+   but for the whole blocks and long runs that several distinct texts of the host have; phrases
+   inside running text stay. Labelled runs are dropped even where they are unique.
 
 Main text is never removed for being repeated: copied articles and shared passages are text.
 """
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import place, stored
+from tallyhouse.llm.spans import SpanHasher, mixed
 
-# Tokens a run must share with another page, and pages of a host that are compared together.
+# Labelled tokens a run must share with another page to count, and pages of a host that meet in a task.
 RUN_TOKENS = 4
 HOST_BLOCK_PAGES = 256
+# Open text is boilerplate as a whole block, or as a run that is too long for a phrase, on so many distinct texts.
+BLOCK_TOKENS, LONG_TOKENS = 4, 16
+LEAST_TEXTS = 3
 # A page without main text that shares more than this of its open text is a copy, not boilerplate.
 COPY_SHARE = 0.9
 
@@ -148,9 +153,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_places(tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS, parts: np.ndarray | None = None) -> np.ndarray:
+def repeated_places(
+    tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS, parts: np.ndarray | None = None,
+    known: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> np.ndarray:
     """Marks tokens covered by a run of ``run`` tokens that also stands on another page.
 
+    With ``known``, it decides instead on the runs that start at the given places, one of each.
     ``parts`` rises along the stream where runs must not go on; pages end them anyway.
 
     Suffixes are ordered by prefix doubling as far as ``run`` tokens, which is all that tells
@@ -179,7 +188,7 @@ def repeated_places(tokens: np.ndarray, pages: np.ndarray, run: int = RUN_TOKENS
         return covered[:n] > 0
     starts = np.flatnonzero(np.diff(rank[order], prepend=-1))
     ends = np.append(starts[1:], len(order))
-    shared = pages[order[starts]] != pages[order[ends - 1]]
+    shared = pages[order[starts]] != pages[order[ends - 1]] if known is None else known(order[starts])
     hit = order[np.repeat(shared, ends - starts)]
     np.add.at(covered, hit, 1)
     np.add.at(covered, np.minimum(hit + run, n), -1)
@@ -215,21 +224,77 @@ def _open_text(kinds: list, rest: list, covered: np.ndarray) -> str:
     return " ".join(w for w, k in zip(words, keep, strict=True) if k)
 
 
+class _Spans:
+    """Hashes of token runs of one host's texts; equal runs of a host have equal ones wherever they stand."""
+
+    def __init__(self, host: str, words: list[str], hasher: SpanHasher):
+        self.signs = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        blanks = np.flatnonzero(self.signs == 0x20)
+        self.starts, self.ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(self.signs)]])
+        self.seed = np.frombuffer(md5(host.encode(), usedforsecurity=False).digest()[:8], dtype=np.uint64)
+        self.hasher = hasher
+
+    def __call__(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        own = self.hasher(self.signs, self.starts[first], self.ends[first + size - 1])
+        return mixed(own ^ self.seed).view(np.int64)
+
+
+def _units(host: str, open_blocks: list[str], hasher: SpanHasher) -> np.ndarray:
+    """Hashes of a text's distinct whole blocks and long runs."""
+    sizes = np.array([t.count(" ") + 1 for t in open_blocks], dtype=np.int64)
+    if not (sizes >= BLOCK_TOKENS).any():
+        return np.zeros(0, dtype=np.int64)
+    hashes = _Spans(host, open_blocks, hasher)
+    at = np.cumsum(sizes) - sizes
+    whole = sizes >= BLOCK_TOKENS
+    runs = [np.arange(a, a + n - LONG_TOKENS + 1) for a, n in zip(at, sizes, strict=True) if n > LONG_TOKENS]
+    found = [hashes(at[whole], sizes[whole])] + ([hashes(np.concatenate(runs), LONG_TOKENS)] if runs else [])
+    return np.unique(np.concatenate(found))
+
+
+def _open_blocks(kinds: list, rest: list) -> list[str]:
+    return [t for k, t in zip(kinds, rest, strict=True) if k == OPEN]
+
+
+def _shared_units(group: pd.DataFrame) -> np.ndarray:
+    """The units that enough distinct texts of the group have. Copies of a page are one text."""
+    texts = {(m, *_open_blocks(k, r)) for m, k, r in zip(group["main"], group["kinds"], group["rest"], strict=True)}
+    hasher = SpanHasher()
+    units = [_units(group["host"].iloc[0], list(t[1:]), hasher) for t in texts]
+    units, often = np.unique(np.concatenate(units), return_counts=True)
+    return units[often >= LEAST_TEXTS]
+
+
 def _of_host(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["page_id", "url"], kind="stable", na_position="last")
+    shared = _shared_units(group)
     streams = [[w for text in rest for w in text.split(" ")] for rest in group["rest"]]
     sizes = np.array([len(s) for s in streams], dtype=np.int64)
     known: dict[str, int] = {}
     tokens = np.fromiter((known.setdefault(w, len(known)) for s in streams for w in s), dtype=np.int64, count=int(sizes.sum()))
+    pages = np.repeat(np.arange(len(sizes)), sizes)
     # An open block is a part of its own; labelled ones go on, as menus have a block per entry.
-    parts, number = [], 0
+    parts, is_open, number, block_at, block_size = [], [], 0, [], []
     for kinds, rest in zip(group["kinds"], group["rest"], strict=True):
         before = OPEN
         for kind, text in zip(kinds, rest, strict=True):
             number += kind == OPEN or before == OPEN
             before = kind
-            parts += [number] * len(text.split(" "))
-    covered = repeated_places(tokens, np.repeat(np.arange(len(sizes)), sizes), parts=np.asarray(parts, dtype=np.int64))
+            size = text.count(" ") + 1
+            if kind == OPEN and size >= BLOCK_TOKENS:
+                block_at.append(len(parts))
+                block_size.append(size)
+            parts += [number] * size
+            is_open += [kind == OPEN] * size
+    parts, is_open = np.asarray(parts, dtype=np.int64), np.asarray(is_open, dtype=bool)
+    covered = repeated_places(tokens, pages, parts=parts) & ~is_open
+    if len(shared) and block_at:
+        hashes = _Spans(group["host"].iloc[0], [w for s in streams for w in s], SpanHasher())
+        long = repeated_places(tokens, pages, LONG_TOKENS, parts, lambda first: np.isin(hashes(first, LONG_TOKENS), shared))
+        covered |= long & is_open
+        whole = np.isin(hashes(np.array(block_at), np.array(block_size)), shared)
+        for at, size in zip(np.array(block_at)[whole], np.array(block_size)[whole], strict=True):
+            covered[at : at + size] = True
     ends = np.cumsum(sizes)
     texts = [
         main if has_main else _open_text(list(kinds), list(rest), covered[end - size : end])

@@ -84,6 +84,25 @@ def test_pages_without_article_keep_what_no_other_page_has(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_phrases_in_running_text_stay(spark):
+    phrases = ["as the old saying has it", "on the other hand we know", "in the end of the day"]
+    pages, want = [], {}
+    for i in range(12):
+        text = " ".join(f"a{i}x{k} {phrases[(i + k) % 3]} b{i}y{k}" for k in range(5))
+        want[i] = text
+        pages.append((i, f"http://h.example/{i}", f"<div>{text}</div><div>Subscribe to all of our letters</div>"))
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(frame).collect()} == want
+
+
+def test_long_runs_inside_blocks_go(spark):
+    long = " ".join(f"legal{k}" for k in range(20))
+    pages = [(i, f"http://h.example/{i}", f"<div>own story of page{i} and nothing else <b>{long}</b> page{i}</div>") for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = {r["page_id"]: r for r in html_text.extract(frame).collect()}
+    assert rows[2]["text"] == "own story of page2 page2" and rows[2]["boilerplate_tokens"] == 23
+
+
 def test_hot_host_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(html_text, "HOST_BLOCK_PAGES", 10)
     pages = [(i, f"http://big.example/{i}", f"<nav>the same old menu</nav><article>page {i}</article>") for i in range(95)]
