@@ -3,9 +3,11 @@
 1. A page is read into blocks. Text inside ``article`` or ``main`` is main text; text inside menus,
    headers, footers, sidebars, notices, adverts, forms and reader comments is labelled as such;
    the rest is open.
-2. The pages of a host, in blocks of bounded size, lay their labelled and open token streams end to
-   end. A suffix array orders all places by what follows, so that equal runs are neighbours.
-3. A page with main text keeps that, whole and in page order. A page without keeps its open text
+2. Hashes of open whole blocks and long runs are counted over all pages of a host.
+3. The pages of a host, in parts of bounded size, lay their labelled and open token streams end to
+   end. A suffix array orders all places by what follows, so that equal runs are neighbours; of each
+   group of equal open runs one is looked up in the counts.
+4. A page with main text keeps that, whole and in page order. A page without keeps its open text
    but for the whole blocks and long runs that several distinct texts of the host have; phrases
    inside running text stay. Labelled runs are dropped even where they are unique.
 
@@ -256,18 +258,39 @@ def _open_blocks(kinds: list, rest: list) -> list[str]:
     return [t for k, t in zip(kinds, rest, strict=True) if k == OPEN]
 
 
-def _shared_units(group: pd.DataFrame) -> np.ndarray:
-    """The units that enough distinct texts of the group have. Copies of a page are one text."""
-    texts = {(m, *_open_blocks(k, r)) for m, k, r in zip(group["main"], group["kinds"], group["rest"], strict=True)}
+def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages with open units: a key of the whole text, equal for copies of a page, and its units."""
     hasher = SpanHasher()
-    units = [_units(group["host"].iloc[0], list(t[1:]), hasher) for t in texts]
-    units, often = np.unique(np.concatenate(units), return_counts=True)
-    return units[often >= LEAST_TEXTS]
+    for batch in batches:
+        rows = []
+        for page, host, pick in zip(batch["html"], batch["host"], batch["pick"], strict=True):
+            parsed = blocks(page or "")
+            units = _units(host, [t for k, t in parsed if k == OPEN], hasher)
+            if len(units):
+                text = "\n".join(t if k == MAIN else f"\t{t}" for k, t in parsed if k != LABELLED)
+                rows.append((host, pick, md5(text.encode(), usedforsecurity=False).digest(), units))
+        yield pd.DataFrame(rows, columns=["host", "pick", "text_key", "units"])
+
+
+def _shared_units(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per part of a host (host, part) the units in it that enough distinct texts of the whole host have."""
+    read = pages.select("html", "host", "pick")
+    found = stored(read.mapInPandas(_units_of, "host string, pick bigint, text_key binary, units array<bigint>"), "html-units")
+    # A unit's hash depends on its host, so it is a key by itself; counts are summed before they move.
+    once = found.groupBy("host", "text_key").agg(F.first("units").alias("units"))
+    shared = (
+        once.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("texts"))
+        .filter(F.col("texts") >= LEAST_TEXTS).select("unit")
+    )
+    here = (
+        found.join(sizes, "host").select("host", (F.col("pick") % F.col("parts")).alias("part"), F.explode("units").alias("unit")).distinct()
+    )
+    return here.join(shared, "unit").select("host", "part", "unit")
 
 
-def _of_host(group: pd.DataFrame) -> pd.DataFrame:
+def _of_host(group: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["page_id", "url"], kind="stable", na_position="last")
-    shared = _shared_units(group)
+    shared = units["unit"].to_numpy(dtype=np.int64)
     streams = [[w for text in rest for w in text.split(" ")] for rest in group["rest"]]
     sizes = np.array([len(s) for s in streams], dtype=np.int64)
     known: dict[str, int] = {}
@@ -323,12 +346,13 @@ def extract(frame: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         pages.groupBy("host").agg(F.ceil(F.count("*") / HOST_BLOCK_PAGES).cast("int").alias("parts")), "host-sizes"
     )
     id_type = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.withColumn("pick", place(71, F.col("page_id"), F.col("url"))).mapInPandas(
+    pages = pages.withColumn("pick", place(71, F.col("page_id"), F.col("url")))
+    parsed = pages.mapInPandas(
         _parse,
         f"page_id {id_type}, url string, host string, pick bigint, main string, has_main boolean, kinds array<int>, rest array<string>",
     )
+    dealt = parsed.join(sizes, "host").withColumn("part", F.col("pick") % F.col("parts")).drop("pick", "parts")
     return (
-        parsed.join(sizes, "host").withColumn("part", F.col("pick") % F.col("parts")).drop("pick", "parts")
-        .groupBy("host", "part")
+        dealt.groupBy("host", "part").cogroup(_shared_units(pages, sizes).groupBy("host", "part"))
         .applyInPandas(_of_host, f"page_id {id_type}, url string, text string, n_chars bigint, boilerplate_tokens bigint")
     )

@@ -109,3 +109,16 @@ def test_hot_host_is_cut_into_blocks(spark, monkeypatch):
     rows = html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in rows} == {i: f"page {i}" for i in range(95)}
     assert sum(r["boilerplate_tokens"] == 4 for r in rows) > 90
+
+
+def test_boilerplate_of_few_pages_of_a_hot_host_goes(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "HOST_BLOCK_PAGES", 5)
+    legal = " ".join(f"legal{k}" for k in range(20))
+    pages = [
+        (i, f"http://big.example/{i}", f"<p>story {i} has five own words</p>" + (f"<div>Of one section of ours</div><p>see {i} {legal}</p>" if i % 25 == 0 else ""))
+        for i in range(100)
+    ]
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {
+        i: f"story {i} has five own words" + (f" see {i}" if i % 25 == 0 else "") for i in range(100)
+    }
