@@ -11,7 +11,8 @@
    but for the whole blocks and long runs that several distinct texts of the host have; phrases
    inside running text stay. Labelled runs are dropped even where they are unique.
 
-Main text is never removed for being repeated: copied articles and shared passages are text.
+Main text is never removed for being repeated: copied articles and shared passages are text. Copies
+of a whole page are one text, so what only they have stays.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ HOST_BLOCK_PAGES = 256
 # Open text is boilerplate as a whole block, or as a run that is too long for a phrase, on so many distinct texts.
 BLOCK_TOKENS, LONG_TOKENS = 4, 16
 LEAST_TEXTS = 3
-# A page without main text that shares more than this of its open text is a copy, not boilerplate.
-COPY_SHARE = 0.9
 
 MAIN, LABELLED, OPEN = 0, 1, 2
 
@@ -212,7 +211,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _open_text(kinds: list, rest: list, covered: np.ndarray) -> str:
-    """The open runs that are not covered, unless nearly all is, as on a copied page."""
+    """The open tokens that are not covered."""
     words, keep = [], []
     at = 0
     for kind, text in zip(kinds, rest, strict=True):
@@ -221,8 +220,6 @@ def _open_text(kinds: list, rest: list, covered: np.ndarray) -> str:
             words += own
             keep += (~covered[at : at + len(own)]).tolist()
         at += len(own)
-    if sum(keep) < (1 - COPY_SHARE) * len(keep):
-        return " ".join(words)
     return " ".join(w for w, k in zip(words, keep, strict=True) if k)
 
 

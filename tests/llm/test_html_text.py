@@ -122,3 +122,12 @@ def test_boilerplate_of_few_pages_of_a_hot_host_goes(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in rows} == {
         i: f"story {i} has five own words" + (f" see {i}" if i % 25 == 0 else "") for i in range(100)
     }
+
+
+def test_short_story_beside_a_long_menu(spark):
+    menu = "<div>" + " ".join(f"entry{k}" for k in range(150)) + "</div>"
+    pages = [(i, f"http://h.example/{i}", f"{menu}<p>the short story of page {i} has ten words</p>") for i in range(5)]
+    pages += [(7, "http://h.example/7", menu), (8, "http://h.example/8", pages[2][2])]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    want = {i: f"the short story of page {i} has ten words" for i in range(5)}
+    assert {r["page_id"]: r["text"] for r in html_text.extract(frame).collect()} == want | {7: "", 8: want[2]}
