@@ -37,6 +37,27 @@ def word_count(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: 0 if t is None else len(t.encode().split())).astype("int64")
 
 
+def discard(frame: DataFrame) -> None:
+    """Deletes the folders a frame reads, once what was made from them is written; for ``stored`` frames only."""
+    spark = frame.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if "/tallyhouse/" in folder:
+            path.getFileSystem(conf).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def besides(frame: DataFrame, added: Sequence[str], *needed: str) -> list[str]:
+    """Columns of the frame that no added column replaces; names that differ in case only are alike."""
+    taken = {name.lower() for name in (*added, *needed)}
+    return [name for name in frame.columns if name.lower() not in taken]
+
+
 def place(seed: int, *columns: Column) -> Column:
     """A pseudo-random place in [0, 2^62) that depends on the columns' values alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 64 - PLACE_BITS)

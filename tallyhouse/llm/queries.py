@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
-    ann, html_text, language, minhash, mixing, packing, quality, sharding, token_counts, vector_dedup,
+    ann, html_text, language, minhash, mixing, packing, phrases, quality, sharding, token_counts, url_rules,
+    vector_codes, vector_dedup,
 )
 from tallyhouse.llm.common import table, word_count
 from tallyhouse.llm.oracles import ORACLES
@@ -20,6 +21,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKEN_LIMIT = 1024
 SHARDS = 24
 NEIGHBOURS = 20
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
 
 
 def _tokenizer_path() -> str:
@@ -95,11 +100,27 @@ def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", shingle=3, percent=85)
 
 
+def op11_walsh_hadamard_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of every vector in eight codebooks of sixteen entries."""
+    return vector_codes.code_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label").drop("label")
+
+
+def op12_url_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, folder, "pages").select("page_id", "url"), "url", rules).drop("url")
+
+
+def op13_dynamic_phrase_counting(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest collocations of two and three words of every language."""
+    return phrases.collocations(table(spark, folder, "documents"), F.col("lang"), F.col("text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_hypergeometric_shards, op3_best_fit_packing, op4_multi_index_hashing,
         op5_compression_language_id, op6_fair_queue_mixing, op7_int8_tile_dedup, op8_cotraining_quality,
-        op9_suffix_array_html, op10_bbit_minhash,
+        op9_suffix_array_html, op10_bbit_minhash, op11_walsh_hadamard_codes, op12_url_trie, op13_dynamic_phrase_counting,
     )
 }
