@@ -1,8 +1,8 @@
 """Rules over SQL text as column expressions.
 
 There is no parser here: names and clauses are found by token patterns and folds over a text's
-tokens, row by row. Comments and string literals are told apart in one pass from left to right
-and blanked before names are looked for, except where a rule is about the whole text.
+tokens, row by row. Comments, literals and quoted names are told apart first (``sqllex``), and
+literals are blanked before names are looked for, except where a rule is about the whole text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.sqllex import standard_code
 from tallyhouse.functions.text import stripped
 from tallyhouse.schema import TABLE_COLUMNS
 
@@ -58,21 +59,13 @@ def normalized(sql: Column) -> Column:
     return stripped(text)
 
 
-# Quoted names, literals and comments as whole pieces, so that none is looked for inside another.
-PIECE = r"""(?s)"[^"]*"|'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|[^"'/-]+|."""
+def code(name: str) -> Column:
+    """The named column's text without comments, its literals in standard form."""
+    return stripped(standard_code(name))
 
 
-def _is_comment(piece: Column) -> Column:
-    return F.startswith(piece, F.lit("--")) | (F.startswith(piece, F.lit("/*")) & (F.length(piece) > 1))
-
-
-def _rewritten(sql: Column, piece_as) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0)), piece_as), "")
-
-
-def code(sql: Column) -> Column:
-    """The text without comments."""
-    return stripped(_rewritten(sql, lambda p: F.when(_is_comment(p), " ").otherwise(p)))
+# Quoted names and standard literals as whole pieces, so that none is looked for inside another.
+PIECE = r"""(?s)"[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+'|[^"']++|."""
 
 
 # FROM where it introduces no table: inside these calls, and in a comparison.
@@ -96,12 +89,23 @@ def bare(code: Column) -> Column:
             .otherwise(piece)
         )
 
-    text = _rewritten(F.lower(code), plain)
+    pieces = F.regexp_extract_all(F.lower(code), F.lit(PIECE), F.lit(0))
+    text = F.array_join(F.transform(pieces, plain), "")
     for pattern, replacement in NOT_A_TABLE_LIST:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
+def unfinished(text: Column) -> Column:
+    """True for bare text with a literal, quoted name or comment that is never closed."""
+    return F.replace(text, F.lit("''"), F.lit("")).rlike("[\"']")
+
+
+def shape(text: Column) -> Column:
+    """Bare text with every number as 0: texts that differ in literals only are of one shape."""
+    return F.regexp_replace(text, r"(?<![a-z0-9_.$])\d+(?:\.\d+)?(?![a-z0-9_.])", "0")
+
+
 SET_OPERATIONS = ["union", "intersect", "except"]
 
 
@@ -122,9 +126,9 @@ def set_operation(text: Column) -> Column:
     return F.aggregate(parts, start, step, lambda s: s["found"])
 
 
-def statement_kind(code: Column, text: Column) -> Column:
+def statement_kind(text: Column) -> Column:
     """First word in capitals, empty when there is none; the operation's name for a set operation."""
-    word = F.upper(F.regexp_extract(code, "^([A-Za-z]+)", 1))
+    word = F.upper(F.regexp_extract(text, "^([a-z]+)", 1))
     return F.when(word.isin("SELECT", "WITH"), F.coalesce(F.upper(set_operation(text)), word)).otherwise(word)
 
 
@@ -150,52 +154,98 @@ LIST_ENDS = (
 TABLE_FOLLOWS = ["join", "into", "update", "table"]
 
 
-def table_references(text: Column) -> Column:
-    """``struct(name, alias)`` of every referenced table, once under its name and once under its alias.
+_PATH = rf"{NAME}(?:\s*\.\s*{NAME})*"
+_DERIVED = "("
+
+# Kinds of a token for the fold below; any other is plain.
+_PLAIN, _NAME, _PREFIXED, _STARRED, _CALL, _OPEN, _CLOSE, _COMMA, _END, _FROM, _TABLE, _SAME, _AS, _SELECT, _WITH, _SET = range(16)
+
+
+def _quoted_list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _token_kinds(parts: str) -> str:
+    """``struct(t, k)`` per token."""
+    ends = [w for w in LIST_ENDS if w not in SET_OPERATIONS and w != "select"]
+    return f"""transform({parts}, t -> named_struct('t', t, 'k', CASE
+        WHEN t = '(' THEN {_OPEN} WHEN t = ')' THEN {_CLOSE} WHEN t = ',' THEN {_COMMA} WHEN endswith(t, '(') THEN {_CALL}
+        WHEN t = 'from' THEN {_FROM} WHEN t IN ({_quoted_list(TABLE_FOLLOWS)}) THEN {_TABLE}
+        WHEN t = 'select' THEN {_SELECT} WHEN t = 'with' THEN {_WITH} WHEN t = 'as' THEN {_AS}
+        WHEN t IN ({_quoted_list(SET_OPERATIONS)}) THEN {_SET} WHEN t IN ('lateral', 'only') THEN {_SAME}
+        WHEN t IN ({_quoted_list([*ends, ";"])}) THEN {_END} WHEN t IN ({_quoted_list(WORDS)}) THEN {_PLAIN}
+        WHEN endswith(t, '*') THEN {_STARRED} WHEN contains(t, '.') THEN {_PREFIXED} ELSE {_NAME} END))"""
+
+
+def names_in_scope(name: str) -> Column:
+    """``struct(refs, cols)`` of the named column's bare text: referenced tables (scope, name, alias)
+    and prefixed columns (scope, prefix, column).
 
     One fold over the words and parentheses: a name is a table where a FROM list or a JOIN wants
-    one, at any depth; a comma wants another one only inside a FROM list of its own depth.
+    one, at any depth; a comma wants another one only inside a FROM list of its own depth. A
+    table is there once under its name and once under its alias, a subquery in a FROM list under
+    its alias and the name ``(``.
+
+    Scopes are paths of numbers. A parenthesis that begins with SELECT or WITH is a scope below
+    that around it, and each part of a set operation is a scope beside the others. What a scope
+    knows is known in those whose paths begin with its own.
     """
     words = "|".join([*WORDS, *LIST_ENDS, "lateral", "only", "window", "returning", "offset", "fetch"])
-    token = rf"\b(?:{words})\b(?!\s*\.)|{NAME}(?:\s*\.\s*{NAME})*\s*\(|{NAME}(?:\s*\.\s*{NAME})*|[(),;]"
-    parts = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    no_refs = F.array().cast("array<struct<name:string,alias:string>>")
-
-    def step(s: Column, part: Column) -> Column:
-        is_name = part.rlike(rf"^{NAME}(\s*\.\s*{NAME})*$") & ~part.isin([*WORDS, *LIST_ENDS, "lateral", "only"])
-        opens, closes = F.endswith(part, F.lit("(")), part == ")"
-        here = F.element_at(s["lists"], -1)
-        table = s["wanted"] & is_name
-        alias = (s["last"] != "") & is_name & ~table
-        name = F.regexp_extract(part, rf"({NAME})$", 1)
-        lists = (
-            F.when(opens, F.concat(s["lists"], F.array(s["wanted"] & (part == "("))))
-            .when(closes & (F.size(s["lists"]) > 1), F.slice(s["lists"], 1, F.size(s["lists"]) - 1))
-            .when(part == "from", F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(F.lit(True))))
-            .when(part.isin(LIST_ENDS) | (part == ";"), F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(F.lit(False))))
-            .otherwise(s["lists"])
-        )
-        wanted = (
-            F.when(part.isin("from", *TABLE_FOLLOWS), True).when(part == "(", s["wanted"]).when(part == ",", here)
-            .when(part.isin("lateral", "only"), s["wanted"]).otherwise(False)
-        )
-        refs = (
-            F.when(table, F.concat(s["refs"], F.array(F.struct(name.alias("name"), name.alias("alias")))))
-            .when(alias, F.concat(s["refs"], F.array(F.struct(s["last"].alias("name"), part.alias("alias")))))
-            .otherwise(s["refs"])
-        )
-        last = F.when(table, name).when(part == "as", s["last"]).otherwise("")
-        return F.struct(lists.alias("lists"), wanted.alias("wanted"), refs.alias("refs"), last.alias("last"))
-
-    start = F.struct(
-        F.array(F.lit(False)).alias("lists"), F.lit(False).alias("wanted"), no_refs.alias("refs"), F.lit("").alias("last")
+    token = rf"\b(?:{words})\b(?!\s*\.)|{_PATH}\s*\(|{_PATH}(?:\s*\.\s*\*)?|[(),;]"
+    parts = _token_kinds(f"regexp_extract_all({name}, r'{token}', 0)")
+    top = "element_at(s.stack, -1)"
+
+    def state(**changed: str) -> str:
+        """Whatever comes, a table is wanted, an alias looked for and a parenthesis fresh for one token only."""
+        values = {"stack": "s.stack", "wanted": "false", "fresh": "false", "last": "''", "next": "s.next + 1", "refs": "s.refs", "cols": "s.cols"}
+        return "named_struct(" + ", ".join(f"'{field}', {value}" for field, value in (values | changed).items()) + ")"
+
+    def level(listed: str, scope: str, derived: str) -> str:
+        return f"array(named_struct('listed', {listed}, 'scope', {scope}, 'derived', {derived}))"
+
+    def on_top(listed: str, scope: str = f"{top}.scope") -> str:
+        return f"concat(slice(s.stack, 1, size(s.stack) - 1), {level(listed, scope, f'{top}.derived')})"
+
+    def ref(table: str, alias: str) -> str:
+        return f"concat(s.refs, array(named_struct('scope', {top}.scope, 'name', {table}, 'alias', {alias})))"
+
+    own = rf"regexp_extract(x.t, r'({NAME})$', 1)"
+    pair = [rf"regexp_extract(x.t, r'({NAME})\s*\.\s*({NAME}|\*)$', {i})" for i in (1, 2)]
+    column = f"concat(s.cols, array(named_struct('scope', {top}.scope, 'prefix', {pair[0]}, 'column', {pair[1]})))"
+    inner = f"concat({top}.scope, s.next, '.')"
+    beside = rf"concat(regexp_extract({top}.scope, r'^(.*\.|)\d+\.$', 1), s.next, '.')"
+    step = f"""CASE x.k
+        WHEN {_PLAIN} THEN {state()}
+        WHEN {_NAME} THEN CASE WHEN s.wanted THEN {state(refs=ref(own, own), last=own)}
+                               WHEN s.last <> '' THEN {state(refs=ref("s.last", "x.t"))} ELSE {state()} END
+        WHEN {_PREFIXED} THEN CASE WHEN s.wanted THEN {state(refs=ref(own, own), last=own)} ELSE {state(cols=column)} END
+        WHEN {_STARRED} THEN {state(cols=column)}
+        WHEN {_CALL} THEN {state(stack=f"concat(s.stack, {level('false', f'{top}.scope', 'false')})", fresh="true")}
+        WHEN {_OPEN} THEN {state(stack=f"concat(s.stack, {level('s.wanted', f'{top}.scope', 's.wanted')})", wanted="s.wanted", fresh="true")}
+        WHEN {_CLOSE} THEN CASE WHEN size(s.stack) > 1
+            THEN {state(stack="slice(s.stack, 1, size(s.stack) - 1)", last=f"CASE WHEN {top}.derived THEN '{_DERIVED}' ELSE '' END")} ELSE {state()} END
+        WHEN {_COMMA} THEN {state(wanted=f"{top}.listed")}
+        WHEN {_END} THEN {state(stack=on_top("false"))}
+        WHEN {_FROM} THEN {state(stack=on_top("true"), wanted="true")}
+        WHEN {_TABLE} THEN {state(wanted="true")}
+        WHEN {_SAME} THEN {state(wanted="s.wanted")}
+        WHEN {_AS} THEN {state(last="s.last")}
+        WHEN {_SELECT} THEN CASE WHEN s.fresh THEN {state(stack=on_top("false", inner))} ELSE {state(stack=on_top("false"))} END
+        WHEN {_WITH} THEN CASE WHEN s.fresh THEN {state(stack=on_top("false", inner))} ELSE {state()} END
+        ELSE {state(stack=on_top("false", beside))} END"""
+    start = state(
+        stack=level("false", "'0.'", "false"), next="1",
+        refs="cast(array() as array<struct<scope:string,name:string,alias:string>>)",
+        cols="cast(array() as array<struct<scope:string,prefix:string,column:string>>)",
     )
-    return F.aggregate(parts, start, step, lambda s: s["refs"])
+    found = "named_struct('refs', s.refs, 'cols', array_distinct(s.cols))"
+    return F.expr(f"aggregate({parts}, {start}, (s, x) -> {step}, s -> {found})")
 
 
 def table_names(references: Column) -> Column:
     """Unqualified names of the referenced tables."""
-    return F.sort_array(F.array_distinct(F.transform(references, lambda r: r["name"])))
+    named = F.filter(references, lambda r: r["name"] != _DERIVED)
+    return F.sort_array(F.array_distinct(F.transform(named, lambda r: r["name"])))
 
 
 def reads_catalog(sql: Column, tables: Column) -> Column:
@@ -224,16 +274,12 @@ def has_limit(sql: Column, text: Column) -> Column:
     return text.rlike(r"\blimit\b") | sql.rlike(r"(?i)\blimit\s+\d+")
 
 
-def needs_limit(sql: Column, text: Column) -> Column:
-    return ~has_aggregation(text) & ~has_limit(sql, text)
-
-
-def with_default_limit(sql: Column, text: Column) -> Column:
+def with_default_limit(sql: Column, unlimited: Column) -> Column:
     ended = stripped(F.regexp_replace(sql, ";+$", ""))
-    return F.when(needs_limit(sql, text), F.concat(ended, F.lit(f" LIMIT {DEFAULT_LIMIT}"))).otherwise(sql)
+    return F.when(unlimited, F.concat(ended, F.lit(f" LIMIT {DEFAULT_LIMIT}"))).otherwise(sql)
 
 
-CLAUSE_PART = r"""(?s)"[^"]*"|'(?:[^']|'')*'|[A-Za-z_][A-Za-z0-9_]*|[();]|\s+|[^A-Za-z_"'();\s]+|."""
+CLAUSE_PART = r"""(?s)"[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+'|[A-Za-z_][A-Za-z0-9_]*|[();]|\s+|[^A-Za-z_"'();\s]+|."""
 # What ends a WHERE at its own depth.
 CLAUSE_ENDS = ["group", "having", "order", "limit", "union", "intersect", "except", "window", "offset", "fetch"]
 
@@ -275,9 +321,9 @@ def join_clauses(text: Column) -> Column:
     )
 
 
-def inner_joins_lookup(text: Column) -> Column:
+def inner_joins_lookup(joins: Column) -> Column:
     return F.exists(
-        join_clauses(text), lambda j: ~j["side"].isin("LEFT", "RIGHT", "FULL") & j["right"].isin(LOOKUP_NAMES)
+        joins, lambda j: ~j["side"].isin("LEFT", "RIGHT", "FULL") & j["right"].isin(LOOKUP_NAMES)
     )
 
 
@@ -309,8 +355,28 @@ def prefixed_columns(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({NAME}\.(?:{NAME}|\*))"), F.lit(1)))
 
 
+# Words that are values, and word groups of operators, types, frames and clauses: no columns.
+VALUE_KEYWORDS = (
+    "current_date current_time current_timestamp localtime localtimestamp current_user session_user current_role "
+    "current_catalog current_schema user default"
+).split()
+WORD_GROUPS = [
+    r"\bat\s+time\s+zone\b",
+    r"(?:\bas\s+|::\s*)?\b(?:(?:timestamp|time)\s+(?:with|without)\s+time\s+zone|double\s+precision|character\s+varying)\b",
+    r"\bsimilar\s+to\b",
+    r"\bescape\s+''",
+    r"\barray\s*(?=\[)",
+    r"\bfetch\s+(?:first|next)\b(?:\s+\d+)?\s+rows?\s+(?:only|with\s+ties)\b",
+    r"\boffset\s+\d+\s+rows?\b",
+    r"\b(?:unbounded|\d+)\s+(?:preceding|following)\b|\bcurrent\s+row\b",
+    r"\bis\s+(?:not\s+)?unknown\b|\bbetween\s+symmetric\b",
+    r"\bgrouping\s+sets\b|\bwith\s+(?:ordinality|recursive)\b",
+    r"\binterval\s+''\s*(?:year|month|day|hour|minute|second)\b(?:\s+to\s+(?:month|hour|minute|second)\b)?",
+    r"\b(?:u&|[bnx])''",
+]
 NOT_A_PLAIN_COLUMN = (
-    rf"\b(?:from|join|into|update|table)\s+(?:{NAME}\.)*{NAME}(?:\s+as\s+{NAME})?"
+    "|".join(WORD_GROUPS)
+    + rf"|\b(?:from|join|into|update|table)\s+(?:{NAME}\.)*{NAME}(?:\s+as\s+{NAME})?"
     rf"|\bas\s+{NAME}|::\s*{NAME}|\b{NAME}\.(?:{NAME}|\*)|\b{NAME}\s*\("
 )
 
@@ -319,30 +385,33 @@ def plain_columns(text: Column) -> Column:
     """Identifiers that are neither qualified, nor a table, an alias declaration, a call or a SQL word."""
     rest = F.regexp_replace(text, NOT_A_PLAIN_COLUMN, " ")
     names = F.array_distinct(F.regexp_extract_all(rest, F.lit(rf"\b({NAME})\b"), F.lit(1)))
-    return F.array_except(names, F.array(*[F.lit(w) for w in WORDS]))
+    return F.array_except(names, F.array(*[F.lit(w) for w in [*WORDS, *VALUE_KEYWORDS]]))
 
 
-def unknown_columns(
-    tables: Column, owners: Column, aliases: Column, ignored: Column, qualified: Column, plain: Column
-) -> Column:
+def unknown_columns(tables: Column, names: Column, ignored: Column, plain: Column) -> Column:
     """``table.column`` for references the declared columns do not have.
 
-    A qualified name goes through the alias list (``aliases`` runs parallel to ``owners``); a
-    plain one is checked only when a single table is in scope. Names that cannot be resolved
-    are left alone. The arguments are the token lists above, computed once per text.
+    A prefixed column is looked up in the innermost scope that knows the prefix (``names`` is
+    that of ``names_in_scope``); a plain one is checked only when a single table is in the text.
+    Names that cannot be resolved are left alone.
     """
     catalog = F.array(*[F.lit(f"{t}.{c}") for t, columns in TABLE_COLUMNS.items() for c in columns])
+    refs = names["refs"]
 
-    def resolved(reference: Column) -> Column:
-        prefix, column = F.substring_index(reference, ".", 1), F.substring_index(reference, ".", -1)
-        place = F.coalesce(F.nullif(F.array_position(aliases, prefix), F.lit(0)), F.array_position(owners, prefix))
-        owner = F.get(owners, (place - 1).cast("int"))
-        return F.when(~F.array_contains(ignored, column), F.concat(owner, F.lit("."), column))
+    def resolved(column: Column) -> Column:
+        known = F.filter(refs, lambda r: (r["alias"] == column["prefix"]) & F.startswith(column["scope"], r["scope"]))
+        # The innermost scope; there, an alias before a table of that name.
+        ranked = F.transform(known, lambda r: F.struct(
+            F.length(r["scope"]).alias("depth"), (r["alias"] != r["name"]).alias("given"), r["name"].alias("name")
+        ))
+        owner = F.array_max(ranked)["name"]
+        return F.when(~F.array_contains(ignored, column["column"]), F.concat(owner, F.lit("."), column["column"]))
 
     single = F.when(F.size(tables) == 1, F.get(tables, F.lit(0)))
-    free = F.array_except(plain, F.concat(ignored, aliases, owners))
+    known_names = F.concat(F.transform(refs, lambda r: r["alias"]), F.transform(refs, lambda r: r["name"]))
+    free = F.array_except(plain, F.concat(ignored, known_names))
     references = F.concat(
-        F.transform(qualified, resolved), F.transform(free, lambda n: F.concat(single, F.lit("."), n))
+        F.transform(names["cols"], resolved), F.transform(free, lambda n: F.concat(single, F.lit("."), n))
     )
     absent = F.array_except(F.array_compact(references), catalog)
     return F.sort_array(F.filter(absent, lambda r: F.substring_index(r, ".", 1).isin(ALLOWED_TABLES)))
@@ -351,25 +420,30 @@ def unknown_columns(
 # -- verdicts ---------------------------------------------------------------------------
 
 
-def rule_failures(sql: Column, code: Column, text: Column, tables: Column, unknown: Column) -> Column:
-    """Names of the blocking rules a text breaks, in rule order. Nothing else is judged on blank text."""
+def rule_failures(
+    sql: Column, code: Column, unfinished: Column, kind: Column, star: Column, tables: Column, unknown: Column
+) -> Column:
+    """Names of the blocking rules a text breaks, in rule order.
+
+    Nothing else is judged on blank text, nor on one that ends inside a literal, name or comment.
+    """
     broken = [
-        ("R2", ~statement_kind(code, text).isin("SELECT", "WITH")),
+        ("R2", ~kind.isin("SELECT", "WITH")),
         ("R3", F.size(forbidden_words(sql)) > 0),
         ("R4", reads_catalog(sql, tables)),
         ("R5", F.size(tables_not_allowed(tables)) > 0),
         ("R6", uses_trap_table(tables)),
-        ("R7", selects_star(text)),
+        ("R7", star),
         ("R10", F.size(unknown) > 0),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken]))
-    return F.when(code == "", F.array(F.lit("R1"))).otherwise(found)
+    return F.when((code == "") | unfinished, F.array(F.lit("R1"))).otherwise(found)
 
 
-def rule_warnings(sql: Column, code: Column, text: Column) -> Column:
-    warned = [("R8", needs_limit(sql, text)), ("R9", inner_joins_lookup(text))]
+def rule_warnings(code: Column, unfinished: Column, unlimited: Column, inner_lookup: Column) -> Column:
+    warned = [("R8", unlimited), ("R9", inner_lookup)]
     found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in warned]))
-    return F.when(code == "", F.array().cast("array<string>")).otherwise(found)
+    return F.when((code == "") | unfinished, F.array().cast("array<string>")).otherwise(found)
 
 
 def gate_verdict(sql: Column) -> Column:

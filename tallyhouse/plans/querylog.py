@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,40 @@ LOGGED = [
     "SELECT order_id FROM orders UNION SELECT order_id FROM order_items LIMIT 9",
     "SELECT order_id FROM (SELECT order_id FROM orders WHERE order_status = 'shipped' LIMIT 5) x "
     "WHERE order_id <> 'y' LIMIT 100",
+    "SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_city = $$it's$$ "
+    "AND o.order_id IN (SELECT id FROM secret_table WHERE k = 'b') LIMIT 3",
+    "SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_city = E'a\\'' "
+    "AND o.order_id IN (SELECT id FROM secret_table WHERE k = 'b') LIMIT 3",
+    "SELECT o.order_id FROM orders o /* a /* nested */ , secret_table */ LIMIT 3",
+    "SELECT order_id FROM orders WHERE order_status = $a$ FROM secret_table $a$ LIMIT 3",
+    "SELECT order_id FROM orders WHERE order_purchase_timestamp >= CURRENT_TIMESTAMP AND order_approved_at AT TIME ZONE 'UTC' "
+    "< CURRENT_DATE AND order_status SIMILAR TO 'a%' AND order_id = ANY(ARRAY['x']) FETCH FIRST 5 ROWS ONLY",
+    "SELECT COUNT(*) AS n FROM (SELECT a.order_id FROM orders a) x JOIN (SELECT a.customer_state FROM customers a) y "
+    "ON x.order_id = y.customer_state",
 ]
 WITH_LIMIT = 15
 
+# Texts made from the turns of conversations: {text} is a turn's whole text, written as the place it
+# stands in asks for, {key} a conversation's number. The first of them has this number.
+FROM_TURNS = 100
+TURN_TEXTS = [
+    "SELECT o.order_id FROM orders o WHERE o.order_status = '{quoted}' LIMIT 3",
+    "SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_city = "
+    "$t{key}$it's {text}$t{key}$ AND o.order_id IN (SELECT id FROM secret_table WHERE k = 'b') LIMIT 3",
+    "SELECT o.order_id FROM orders o WHERE o.order_status = E'it\\'s {escaped}' AND o.order_id IN "
+    "(SELECT id FROM secret_table WHERE k = 'b') LIMIT 3",
+    "SELECT o.order_id FROM orders o /* {comment} /* nested */ , secret_table */ LIMIT 3",
+    "SELECT order_id FROM orders WHERE order_status = $a$ FROM secret_table {text} $a$ AND order_purchase_timestamp >= "
+    "CURRENT_TIMESTAMP LIMIT 4",
+    "SELECT COUNT(*) AS n FROM (SELECT a.order_id FROM orders a WHERE a.order_status = '{quoted}') x JOIN "
+    "(SELECT a.customer_id, a.customer_state FROM customers a WHERE a.customer_city <> '{quoted}') y ON x.order_id = y.customer_id",
+    "SELECT r{key}.nothing FROM orders r{key} WHERE r{key}.order_id > '{quoted}' LIMIT 5",
+    "SELECT order_id FROM orders WHERE order_status SIMILAR TO '{quoted}' AND (order_purchase_timestamp AT TIME ZONE 'UTC')::date "
+    "< CURRENT_DATE FETCH FIRST 7 ROWS ONLY",
+]
+# Numbers of these queries begin here, above those of the events.
+TURN_QUERIES = 10**12
+
 # Rubric cells per dimension, by remainder of the query number modulo five.
 CELLS = {
     "table": [
@@ -77,33 +109,80 @@ def _pick(key: Column, values: list[str]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
 
 
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
+def turn_log(star: Star) -> DataFrame:
+    """A query per turn of a conversation, with its whole text as a literal or comment."""
+    key, turn, text = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    values = {
+        "key": key.cast("string"),
+        "text": text,
+        "quoted": F.replace(text, F.lit("'"), F.lit("''")),
+        "escaped": F.regexp_replace(text, r"([\\'])", r"\\$1"),
+        "comment": F.regexp_replace(text, r"[*/]", " "),
+    }
+    number = (key + turn) % len(TURN_TEXTS)
+    texts = F.when(F.lit(False), "")
+    for i, template in enumerate(TURN_TEXTS):
+        texts = texts.when(number == i, _filled(template, values))
+    return star.base("conversations").select(
+        (F.lit(TURN_QUERIES) + key * 100_000 + turn).alias("query_id"), texts.alias("sql_text")
+    )
+
+
 def query_log(star: Star) -> DataFrame:
+    """Written texts for every event, and one made from every turn of a conversation."""
     key = F.col("event_id")
     base = _pick(key, LOGGED)
     limited = key % len(LOGGED) == WITH_LIMIT
     tail = F.concat((key % 90).cast("string"), F.lit(";"))
-    return star.base("events").select(
+    written = star.base("events").select(
         key.alias("query_id"), F.when(limited, F.concat(base, tail)).otherwise(base).alias("sql_text")
     )
+    return written.unionByName(turn_log(star))
 
 
 def read_tokens(log: DataFrame) -> DataFrame:
-    """A log with its bare text and token lists, each computed once per row."""
-    code, text, references = F.col("code"), F.col("text"), F.col("references")
-    return (
-        log.withColumn("code", sqltext.code(F.col("sql_text")))
-        .withColumn("text", sqltext.bare(code))
-        .withColumn("references", sqltext.table_references(text))
+    """A log with its bare text and what the tokens of its text tell.
+
+    Tokens are read once per shape: texts that differ in literals and numbers alone share them.
+    What depends on literals (forbidden words, the outermost WHERE and LIMIT) is read per text.
+    """
+    names, form = F.col("names"), F.col("shape")
+    texts = (
+        log.withColumn("code", sqltext.code("sql_text"))
+        .withColumn("text", sqltext.bare(F.col("code")))
+        .withColumn("shape", sqltext.shape(F.col("text")))
+    )
+    shapes = texts.groupBy(F.md5("shape").alias("shape_key")).agg(F.first("shape").alias("shape"))
+    tokens = (
+        shapes.withColumn("names", sqltext.names_in_scope("shape"))
         .withColumns(
             {
-                "tables": sqltext.table_names(references),
-                "owners": F.transform(references, lambda r: r["name"]),
-                "aliases": F.transform(references, lambda r: r["alias"]),
-                "ignored": sqltext.select_aliases(text),
-                "qualified": sqltext.prefixed_columns(text),
-                "plain": sqltext.plain_columns(text),
+                "tables": sqltext.table_names(names["refs"]),
+                "ignored": sqltext.select_aliases(form),
+                "plain": sqltext.plain_columns(form),
+                "joins": sqltext.join_clauses(form),
+                "has_aggregation": sqltext.has_aggregation(form),
             }
         )
+        .select(
+            "shape_key", "tables", "plain", "joins", "has_aggregation",
+            sqltext.prefixed_columns(form).alias("qualified"),
+            sqltext.statement_kind(form).alias("kind"),
+            sqltext.selects_star(form).alias("selects_star"),
+            sqltext.unfinished(form).alias("unfinished"),
+            sqltext.inner_joins_lookup(F.col("joins")).alias("inner_lookup"),
+            sqltext.unknown_columns(F.col("tables"), names, F.col("ignored"), F.col("plain")).alias("unknown"),
+        )
+    )
+    return (
+        texts.withColumn("shape_key", F.md5("shape")).join(tokens, "shape_key").drop("shape_key", "shape")
+        .withColumn("has_limit", sqltext.has_limit(F.col("sql_text"), F.col("text")))
+        .withColumn("unlimited", ~F.col("has_aggregation") & ~F.col("has_limit"))
     )
 
 
@@ -125,11 +204,6 @@ def once_per_text(star: Star, judge: Callable[[DataFrame], DataFrame]) -> DataFr
     return log.select("query_id", F.md5("sql_text").alias("digest")).join(judged, "digest").drop("digest")
 
 
-def unknown() -> Column:
-    names = ("tables", "owners", "aliases", "ignored", "qualified", "plain")
-    return sqltext.unknown_columns(*[F.col(n) for n in names])
-
-
 def listed(items: Column) -> Column:
     return F.array_join(items, ",")
 
@@ -143,11 +217,8 @@ def each(rows: DataFrame, items: Column, name: str) -> DataFrame:
 
 
 def log_statement_kind(star: Star) -> DataFrame:
-    def judge(texts: DataFrame) -> DataFrame:
-        kind = sqltext.statement_kind(F.col("code"), F.col("text"))
-        return read_tokens(texts).select("digest", kind.alias("kind"))
-
-    return once_per_text(star, judge).withColumn("allowed", F.col("kind").isin("SELECT", "WITH").cast("int"))
+    judged = once_per_text(star, lambda texts: read_tokens(texts).select("digest", "kind"))
+    return judged.withColumn("allowed", F.col("kind").isin("SELECT", "WITH").cast("int"))
 
 
 def log_forbidden_keyword(star: Star) -> DataFrame:
@@ -173,18 +244,16 @@ def log_trap_table(star: Star) -> DataFrame:
 
 
 def log_select_star(star: Star) -> DataFrame:
-    return _where(star, sqltext.selects_star(F.col("text")))
+    return _where(star, F.col("selects_star"))
 
 
 def log_limit_rule(star: Star) -> DataFrame:
-    sql, text = F.col("sql_text"), F.col("text")
-
     def judge(texts: DataFrame) -> DataFrame:
         return read_tokens(texts).select(
             "digest",
-            sqltext.has_aggregation(text).cast("int").alias("has_aggregation"),
-            sqltext.has_limit(sql, text).cast("int").alias("has_limit"),
-            sqltext.with_default_limit(sql, text).alias("sql_text"),
+            F.col("has_aggregation").cast("int").alias("has_aggregation"),
+            F.col("has_limit").cast("int").alias("has_limit"),
+            sqltext.with_default_limit(F.col("sql_text"), F.col("unlimited")).alias("sql_text"),
         )
 
     return once_per_text(star, judge)
@@ -200,19 +269,21 @@ def log_table_usage(star: Star) -> DataFrame:
 
 
 def log_soft_fk_warning(star: Star) -> DataFrame:
-    return _where(star, sqltext.inner_joins_lookup(F.col("text")))
+    return _where(star, F.col("inner_lookup"))
 
 
 def log_unknown_columns(star: Star) -> DataFrame:
-    return once_per_text(star, lambda texts: each(read_tokens(texts), unknown(), "column_name"))
+    return once_per_text(star, lambda texts: each(read_tokens(texts), F.col("unknown"), "column_name"))
 
 
 def verdicts(log: DataFrame) -> DataFrame:
-    sql, code, text, tables = F.col("sql_text"), F.col("code"), F.col("text"), F.col("tables")
+    sql, code, unfinished = F.col("sql_text"), F.col("code"), F.col("unfinished")
     return read_tokens(log).select(
         *log.columns,
-        sqltext.rule_failures(sql, code, text, tables, unknown()).alias("failures"),
-        sqltext.rule_warnings(sql, code, text).alias("warnings"),
+        sqltext.rule_failures(
+            sql, code, unfinished, F.col("kind"), F.col("selects_star"), F.col("tables"), F.col("unknown")
+        ).alias("failures"),
+        sqltext.rule_warnings(code, unfinished, F.col("unlimited"), F.col("inner_lookup")).alias("warnings"),
     )
 
 
@@ -265,9 +336,10 @@ def em_normalize_sql(star: Star) -> DataFrame:
 def em_exact_match(star: Star) -> DataFrame:
     """Raw and normalised equality; predictions are respelled, quoted, or altered."""
     gold, key = F.col("sql_text"), F.col("query_id")
+    capitals = F.translate(gold, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     predicted = (
         F.when(key % 5 == 0, gold)
-        .when(key % 5 == 1, F.concat(F.lit("\n "), F.upper(gold), F.lit(" ;")))
+        .when(key % 5 == 1, F.concat(F.lit("\n "), capitals, F.lit(" ;")))
         .when(key % 5 == 2, F.replace(gold, F.lit("order_id"), F.lit('"order_id"')))
         .when(key % 5 == 3, F.concat(F.lit(" "), gold, F.lit("  ")))
         .otherwise(F.concat(gold, F.lit(" x")))
@@ -294,8 +366,7 @@ def graded(star: Star, dimensions: list[str]) -> DataFrame:
     pairs = log.groupBy("pair").agg(*[F.first(c).alias(c) for c in ("sql_text", *cells)])
     # Each text's tokens are read once, however many cells it meets.
     texts = read_tokens(distinct_texts(log).select("digest", "sql_text")).select(
-        "digest", "code", "text", "tables", "qualified", "plain",
-        sqltext.join_clauses(F.col("text")).alias("joins"),
+        "digest", "code", "text", "tables", "qualified", "plain", "joins",
         sqltext.shallowest_clause(F.col("code"), "where", sqltext.CLAUSE_ENDS).alias("outer_where"),
         sqltext.shallowest_clause(F.col("text"), "limit", ["offset", "fetch"]).alias("outer_limit"),
     )

@@ -82,8 +82,10 @@ SQL = (
 
 
 def test_graders(spark):
-    sql, bare = F.lit(SQL), sqltext.bare(sqltext.code(F.lit(SQL)))
-    tables, joins = sqltext.table_names(sqltext.table_references(bare)), sqltext.join_clauses(bare)
+    sql, bare = F.lit(SQL), F.lower(F.lit(SQL))
+    names = spark.createDataFrame([(SQL.lower(),)], "t string").select(sqltext.names_in_scope("t").alias("names"))
+    tables = F.array(*[F.lit(t) for t in names.select(sqltext.table_names(F.col("names.refs"))).first()[0]])
+    joins = sqltext.join_clauses(bare)
     qualified, plain = sqltext.prefixed_columns(bare), sqltext.plain_columns(bare)
 
     def table(*wanted):

@@ -1,10 +1,12 @@
 """Text rules on single queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import rubric, sqltext
-from tallyhouse.plans.querylog import read_tokens, unknown, verdicts
+from tallyhouse.functions import rubric, sqllex, sqltext
+from tallyhouse.plans.querylog import read_tokens, verdicts
 
 
 def judged(spark, *texts):
@@ -72,6 +74,55 @@ CASES = [
     ("SELECT order_id FROM orders UNION SELECT order_id FROM order_items LIMIT 1", ["R2"], []),
     ("WITH a AS (SELECT 1) SELECT order_id FROM orders EXCEPT SELECT order_id FROM order_items LIMIT 1", ["R2"], []),
     ("SELECT COUNT(*) FROM (SELECT order_id FROM orders INTERSECT SELECT order_id FROM order_items) x", [], []),
+    # Literals between dollar tags and with escapes, comments in comments, and what looks like them.
+    ("SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_city = $$it's$$ "
+     "AND o.order_id IN (SELECT id FROM secret_table WHERE k = 'b') LIMIT 3", ["R5"], []),
+    ("SELECT o.order_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_city = E'a\\'' "
+     "AND o.order_id IN (SELECT id FROM secret_table WHERE k = 'b') LIMIT 3", ["R5"], []),
+    ("SELECT o.order_id FROM orders o /* a /* nested */ , secret_table */ LIMIT 3", [], []),
+    ("SELECT o.order_id FROM orders o /* a /* b /* c */ */ ' */ , secret_table LIMIT 3", ["R5"], []),
+    ("SELECT o.order_id FROM orders o /*/ , secret_table */ LIMIT 3", [], []),
+    ("SELECT o.order_id FROM orders o /**/, secret_table LIMIT 3", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = $a$ FROM secret_table $a$ LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_status = $a$ $b$ $$ ' $a $a$ AND order_id IN (SELECT x FROM secret_table) LIMIT 3", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = $a$ x$b$a$ AND order_id IN (SELECT x FROM secret_table) LIMIT 3", ["R5"], []),
+    ("SELECT order_id a$b$ FROM orders, secret_table c$b$ LIMIT 3", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_id = $1 AND order_status = $2 AND customer_id IN (SELECT x FROM secret_table) LIMIT 3",
+     ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = e'\\\\' AND order_id IN (SELECT x FROM secret_table) LIMIT 3", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = E'it''s \\' FROM secret_table ' LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_status = 'a\\' AND order_id IN (SELECT x FROM secret_table) LIMIT 3", ["R5"], []),
+    ("SELECT order_id FROM orders WHERE order_status = 'it''s -- fine' /* x */ LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_status = '$$' AND order_id IN (SELECT x FROM secret_table WHERE y = '$$') LIMIT 3",
+     ["R5"], []),
+    ("SELECT price - -1 AS d FROM order_items -- 'x\nWHERE price > 1 LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_status = 'open LIMIT 3", ["R1"], []),
+    ("SELECT order_id FROM orders /* open /* */ LIMIT 3", ["R1"], []),
+    ("SELECT order_id FROM orders WHERE order_status = $q$ open $$ LIMIT 3", ["R1"], []),
+    # Words that are values, and word groups of operators and clauses.
+    ("SELECT order_id FROM orders WHERE order_purchase_timestamp > CURRENT_TIMESTAMP LIMIT 3", [], []),
+    ("SELECT order_id, CURRENT_DATE, localtimestamp d FROM orders LIMIT 3", [], []),
+    ("SELECT order_approved_at AT TIME ZONE 'UTC' FROM orders LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_status NOT SIMILAR TO 'a%' ESCAPE 'x' LIMIT 3", [], []),
+    ("SELECT order_id FROM orders WHERE order_id = ANY(ARRAY['a', 'b']) LIMIT 3", [], []),
+    ("SELECT order_id FROM orders ORDER BY order_id FETCH FIRST 5 ROWS ONLY", [], ["R8"]),
+    ("SELECT order_id FROM orders OFFSET 2 ROWS FETCH NEXT ROW ONLY", [], ["R8"]),
+    ("SELECT cast(price AS double precision), price::character varying FROM order_items LIMIT 1", [], []),
+    ("SELECT order_purchase_timestamp + interval '1' day FROM orders LIMIT 1", [], []),
+    ("SELECT sum(price) OVER (ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM order_items LIMIT 1", [], []),
+    ("SELECT zone FROM orders LIMIT 1", ["R10"], []),
+    # An alias means what the innermost scope says.
+    ("SELECT COUNT(*) FROM (SELECT a.order_id FROM orders a) x JOIN (SELECT a.customer_state FROM customers a) y ON x.order_id = "
+     "y.customer_state", [], []),
+    ("SELECT COUNT(*) FROM (SELECT a.customer_state FROM orders a) x JOIN (SELECT a.customer_state FROM customers a) y ON true",
+     ["R10"], []),
+    ("SELECT o.order_id FROM orders o WHERE EXISTS (SELECT 1 FROM customers c WHERE c.customer_id = o.customer_id AND o.order_status = 'x') "
+     "LIMIT 1", [], []),
+    ("SELECT o.order_id FROM orders o WHERE EXISTS (SELECT 1 FROM customers o WHERE o.order_status = 'x') LIMIT 1", ["R10"], []),
+    ("SELECT x.customer_state FROM orders o JOIN (SELECT customer_state FROM customers) AS x ON true LIMIT 1", [], []),
+    ("SELECT COUNT(*) FROM (SELECT t.order_id FROM orders t UNION ALL SELECT t.customer_id FROM customers t) u", [], []),
+    ("SELECT COUNT(*) FROM (SELECT t.order_id FROM orders t UNION ALL SELECT t.order_status FROM customers t) u", ["R10"], []),
+    ("SELECT COUNT(*) FROM (orders o JOIN customers c ON o.customer_id = c.customer_id) WHERE o.customer_state = 'x'", ["R10"], []),
     ("-- only a comment", ["R1"], []),
     ("/* note */ SELECT COUNT(*) FROM orders -- * drop", ["R3"], []),
 ]
@@ -88,7 +139,35 @@ def test_unknown_columns_name_their_table(spark):
         [(1, "SELECT p.nothing, q.product_id FROM products p JOIN order_items q ON q.bad = p.product_id LIMIT 2")],
         "query_id long, sql_text string",
     )
-    assert read_tokens(log).select(unknown()).first()[0] == ["order_items.bad", "products.nothing"]
+    assert read_tokens(log).select("unknown").first()[0] == ["order_items.bad", "products.nothing"]
+
+
+# Pieces of SQL, and the same without comments and with standard literals.
+PIECES = {
+    "a ": "a ", "e": "e", " FROM t": " FROM t", "- ": "- ", "/ ": "/ ", "* ": "* ", "$1 ": "$1 ", "x$y ": "x$y ", "\n": "\n",
+    "'it''s' ": "'it''s' ", "'/* -- $$ \"' ": "'/* -- $$ \"' ", '"o""d\'d" ': '"o""d\'d" ', " E'\\'--\\\\' ": " '''--\\' ",
+    " e'/*''' ": " '/*''' ", " $$'$ \"$$ ": " '''$ \"' ", " $q_1$ $$ -- $q$ '$q_1$ ": " ' $$ -- $q$ ''' ",
+    "/* ' /* $$ */ \" */": " ", "/**/": " ", "/***/": " ", "-- ' \" $$ /*\n": " \n", "(": "(", "ü ": "ü ",
+}
+
+
+def test_lexer_on_random_texts(spark):
+    rng = random.Random(11)
+    drawn = [rng.choices(list(PIECES), k=rng.randint(0, 12)) for _ in range(400)]
+    texts = [(" ".join(d), " ".join(PIECES[p] for p in d)) for d in drawn]
+    frame = spark.createDataFrame(texts, "t string, want string")
+    wrong = frame.select("*", sqllex.standard_code("t").alias("got")).where("got <> want").collect()
+    assert not wrong, wrong[0]
+
+
+def test_texts_of_one_shape_are_read_once(spark):
+    log = spark.createDataFrame(
+        [(i, f"SELECT order_id FROM orders WHERE order_status = 'x{i}' AND customer_id = $t${i}'$t$ LIMIT {i}") for i in range(50)],
+        "query_id long, sql_text string",
+    )
+    shapes = log.withColumn("code", sqltext.code("sql_text")).select(sqltext.shape(sqltext.bare(F.col("code"))).alias("shape"))
+    assert shapes.distinct().count() == 1
+    assert {tuple(r.failures) for r in verdicts(log).collect()} == {()}
 
 
 def value(spark, column, text):
