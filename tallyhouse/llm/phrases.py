@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import discard, quoted, stored
 
 # Tokens of one language in a block, and of all languages together before a task hands blocks on.
-BLOCK_TOKENS = 1 << 19
-TASK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 20
+TASK_TOKENS = 3 << 19
 # Bytes of one text that are cut into words at a time.
 SLICE_BYTES = 4 << 20
 # Bits a phrase in a table, and the most bits a table has (8 MB).
@@ -44,7 +45,7 @@ END = b"\xff"
 _TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
 _GAP = re.compile(rb"[ \t\xff]")
 
-BLOCKS = "shard int, lang string, n bigint, carried int, words array<string>, ids binary"
+BLOCKS = "shard int, lang string, n bigint, carried int, words binary, ids binary"
 COUNTED = "k int, lang string, phrase string, start int, n bigint"
 
 NEVER = 1 << 20
@@ -67,6 +68,16 @@ def _slices(data: bytes) -> Iterator[bytes]:
         begin = end
 
 
+def _packed(data: bytes) -> bytes:
+    """Packed here, a block takes no more memory where it is read than on disk."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(row: pa.RecordBatch, i: int) -> tuple[list[bytes], np.ndarray]:
+    words, ids = (zstandard.ZstdDecompressor().decompress(row.column(name)[i].as_py()) for name in ("words", "ids"))
+    return words.split(b" "), np.ascontiguousarray(np.frombuffer(ids, dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 class _Buffer:
     """Words of one language in the order of the texts, as numbers into a list of distinct words."""
 
@@ -83,13 +94,13 @@ class _Buffer:
 
     def row(self, shard: int, lang: str) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
-        words = pa.array([b"", *list(self.known)[1:]], pa.binary()).cast(pa.string())
+        # No word holds a blank; the first one, the end of a piece, is empty here.
+        words = b" ".join([b"", *list(self.known)[1:]])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([shard], pa.int32()), pa.array([lang], pa.string()),
                 pa.array([int((ids[self.carried :] != 0).sum())], pa.int64()), pa.array([self.carried], pa.int32()),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                pa.array([ids.tobytes()], pa.binary()),
+                pa.array([_packed(words)], pa.binary()), pa.array([_packed(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
             ],
             ["shard", "lang", "n", "carried", "words", "ids"],
         )
@@ -206,8 +217,8 @@ def _counted(step: int, shards: int, longest: int, shared):
             ["k", "lang", "phrase", "start", "n"],
         )
 
-    def of_block(lang: str, words, ids: np.ndarray, carried: int) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+    def of_block(lang: str, plain: list[bytes], ids: np.ndarray, carried: int) -> Iterator[pa.RecordBatch]:
+        tables, words = shared.value, pa.array(plain, pa.binary()).cast(pa.string())
         if step < shards:
             often = np.bincount(ids[carried:], minlength=len(words))
             often[0] = 0
@@ -215,7 +226,7 @@ def _counted(step: int, shards: int, longest: int, shared):
             yield batch_of(1, lang, words.take(pa.array(seen)), np.zeros(len(seen)), often[seen])
         if not tables.get(1):
             return
-        hashes = word_hashes(lang, words.cast(pa.binary()).to_pylist())
+        hashes = word_hashes(lang, plain)
         # Of the k-word phrase that starts at a place: its number among the distinct ones, -1 if a
         # part of it has not reached the threshold.
         reached = reached_in(hashes, tables[1])
@@ -245,10 +256,8 @@ def _counted(step: int, shards: int, longest: int, shared):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("words")
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), dtype=np.int32)
-                yield from of_block(batch.column("lang")[i].as_py(), words[i].values, ids, batch.column("carried")[i].as_py())
+                yield from of_block(batch.column("lang")[i].as_py(), *_unpacked(batch, i), batch.column("carried")[i].as_py())
 
     return scan
 
