@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.sortable import sortable_text, sortable_whole
 from tallyhouse.operators.ordered import ROWS_PER_BLOCK, ordered_runs
+from tallyhouse.sources.tables import stored
 
 # Sort rank of a cell kind, relative tolerance, digits of the sort key.
 NUMBER, MISSING, TEXT = 0, 1, 2
@@ -59,35 +61,48 @@ def rough(number: Column) -> Column:
     return F.rint(number * F.lit(10.0**SORT_DIGITS))
 
 
-def sort_key(cells: Column) -> Column:
-    """Rough cells first, exact cells to order what roughness makes equal."""
-    roughened = F.transform(cells, lambda c: F.struct(c["kind"], rough(c["num"]).alias("num"), c["txt"]))
-    return F.struct(roughened.alias("rough"), cells.alias("cells"))
+def row_key(cells: Column) -> Column:
+    """A text whose byte order is that of the rows: cell by cell by kind, then by rough number or text.
+
+    Rows that differ by less than roughness shows have one key.
+    """
+    def cell_key(cell: Column) -> Column:
+        value = F.when(cell["kind"] == NUMBER, sortable_whole(rough(cell["num"]))).when(cell["kind"] == TEXT, sortable_text(cell["txt"]))
+        return F.concat(cell["kind"].cast("string"), F.coalesce(value, F.lit("")))
+
+    return F.array_join(F.transform(cells, cell_key), "")
+
+
+SIDES = ["gold", "predicted"]
 
 
 def _distinct_rows(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Both sides in one frame, each distinct row once with its count."""
-    both = gold.select("case_id", "cells", F.lit("gold").alias("side")).unionByName(
-        predicted.select("case_id", "cells", F.lit("predicted").alias("side"))
-    )
-    return both.groupBy("case_id", "side", "cells").agg(F.count("*").alias("_n"))
+    """Each distinct row of a case once, with its number of copies on either side."""
+    sides = [side.select("case_id", "cells", *[F.lit(int(side is own)).alias(n) for n, own in zip(SIDES, (gold, predicted))])
+             for side in (gold, predicted)]
+    return sides[0].unionByName(sides[1]).groupBy("case_id", "cells").agg(*[F.sum(n).alias(n) for n in SIDES])
 
 
 def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
     """First row and column whose values differ once both sides are sorted.
 
-    Equal rows form one run of positions. Runs are cut at multiples of ``rows_per_block``, so
-    the runs of both sides meet in stretches of bounded length.
+    The copies of a row form one run of positions per side. A row that takes the same positions
+    on both sides needs no look. Other runs are cut at multiples of ``rows_per_block``, so the
+    runs of both sides meet in stretches of bounded length.
     """
-    cells = F.col("cells")
-    # Numbers sort before NULL and text, so the first number decides most comparisons.
-    leading = [F.asc_nulls_last(rough(F.get(cells, F.lit(0))["num"]))]
-    runs = ordered_runs(distinct, ["case_id", "side"], sort_key(cells), "_n", rows_per_block, leading, cells)
+    starts = [f"{side}_start" for side in SIDES]
+    runs = ordered_runs(distinct, ["case_id"], F.col("_key"), dict(zip(SIDES, starts)), rows_per_block, [F.col("cells")])
+    apart = runs.where(F.col("_apart") | (F.col(starts[0]) != F.col(starts[1])))
+    by_side = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(start).alias("start"), F.col(side).alias("n")) for side, start in zip(SIDES, starts)
+    ])
     width = F.lit(rows_per_block)
-    first = F.floor(F.col("start") / width)
-    last = F.floor((F.col("start") + F.col("_n") - 1) / width)
-    pieces = runs.withColumn("_stretch", F.explode(F.sequence(first, last))).withColumn(
-        "at", F.greatest("start", F.col("_stretch") * width)
+    first = F.floor(F.col("run.start") / width)
+    last = F.floor((F.col("run.start") + F.col("run.n") - 1) / width)
+    pieces = (
+        apart.select("case_id", "cells", F.explode(F.filter(by_side, lambda r: r["n"] > 0)).alias("run"))
+        .withColumn("_stretch", F.explode(F.sequence(first, last)))
+        .select("case_id", "cells", "_stretch", "run.side", F.greatest("run.start", F.col("_stretch") * width).alias("at"))
     )
     so_far = (
         Window.partitionBy("case_id", "_stretch")
@@ -99,7 +114,7 @@ def _first_difference(distinct: DataFrame, rows_per_block: int) -> DataFrame:
         cells = F.when(F.col("side") == side, F.col("cells"))
         return F.last(cells, ignorenulls=True).over(so_far).alias(side)
 
-    aligned = pieces.select("case_id", "at", running("gold"), running("predicted"))
+    aligned = pieces.select("case_id", "at", *[running(side) for side in SIDES])
     common = F.least(F.size("gold"), F.size("predicted"))
     same = F.zip_with(F.slice("gold", F.lit(1), common), F.slice("predicted", F.lit(1), common), same_value)
     return (
@@ -122,21 +137,24 @@ def compare_results(
     Checks in order: number of rows, number of columns, values. ``trim`` accepts extra
     trailing columns on either side. A case without rows is an empty result set.
     """
-    distinct = _distinct_rows(gold, predicted)
-
-    def on(side: str, value: Column) -> Column:
-        return F.when(F.col("side") == side, value)
-
+    # A number that is none does not equal itself.
+    odd_number = F.coalesce(F.exists("cells", lambda c: F.isnan(c["num"])), F.lit(False))
+    flags = {"_width": F.size("cells"), "_apart": (F.col("gold") != F.col("predicted")) | odd_number}
+    distinct = stored(_distinct_rows(gold, predicted).withColumns(flags), "distinct-rows")
     shape = distinct.groupBy("case_id").agg(
-        F.sum(on("gold", F.col("_n"))).alias("gold_rows"),
-        F.sum(on("predicted", F.col("_n"))).alias("predicted_rows"),
-        F.max(on("gold", F.size("cells"))).alias("gold_cols"),
-        F.max(on("predicted", F.size("cells"))).alias("predicted_cols"),
+        *[F.sum(side).alias(f"{side}_rows") for side in SIDES],
+        *[F.max(F.when(F.col(side) > 0, F.col("_width"))).alias(f"{side}_cols") for side in SIDES],
+        F.bool_or("_apart").alias("_differs"),
     )
+    shape = stored(shape, "result-shapes")
+    # Values are looked at only where the shapes agree and some row's copies do not.
+    alike = (F.col("gold_rows") == F.col("predicted_rows")) & (F.lit(trim) | (F.col("gold_cols") == F.col("predicted_cols")))
+    in_doubt = distinct.join(shape.where(alike & F.col("_differs")).select("case_id"), "case_id", "left_semi")
+    keyed = in_doubt.drop("_width").withColumn("_key", row_key(F.col("cells")))
     shaped = (
         cases.select("case_id")
         .join(shape, "case_id", "left")
-        .join(_first_difference(distinct, rows_per_block), "case_id", "left")
+        .join(_first_difference(keyed, rows_per_block), "case_id", "left")
         .fillna(0, ["gold_rows", "predicted_rows", "gold_cols", "predicted_cols"])
     )
     kind = (
@@ -167,13 +185,9 @@ def exact_difference(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     One aggregation nets the copies of each distinct row, so none is written out again.
     """
-    def on(side: str) -> Column:
-        return F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0))
-
     netted = (
         _distinct_rows(gold, predicted)
-        .groupBy("case_id", "cells")
-        .agg((on("gold") - on("predicted")).alias("_extra"))
+        .withColumn("_extra", F.col("gold") - F.col("predicted"))
         .where(F.col("_extra") != 0)
     )
     return netted.groupBy("case_id").agg(

@@ -1,7 +1,7 @@
 """Positions in a sorted order, per group, without sorting any group in one task.
 
-``ordered_runs`` is the base: every distinct key of a group with the number of rows before it.
-Numbering, percentiles and the alignment of two result sets are built on it.
+``ordered_runs`` gives every distinct key of a group the number of rows before it: numbering and
+the alignment of two result sets are built on it. Percentiles need no order, only selection.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.tables import stored
+
 # Distinct keys one task sorts comfortably. A group with more is cut into blocks of about
 # this size; a smaller group is mostly one block.
 ROWS_PER_BLOCK = 1_000_000
@@ -23,23 +25,22 @@ BLOCK = ["_coarse", "_fine"]
 
 
 def _splits(chosen: DataFrame, group: Sequence[str], key: Column, name: str) -> DataFrame:
-    return chosen.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias(name))
+    """Chosen keys per group. Written, so that their true size decides how they are joined."""
+    return stored(chosen.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias(name)), "splitters")
 
 
 def _passed(splits: str, key: Column) -> Column:
     return F.when(F.col(splits).isNull(), 0).otherwise(F.size(F.filter(splits, lambda split: split <= key)))
 
 
-def _blocked(
-    distinct: DataFrame, group: list[str], key: Column, rows_per_block: int, picked_by: Column | None, fanout: int
-) -> DataFrame:
+def _blocked(distinct: DataFrame, group: list[str], key: Column, rows_per_block: int, fanout: int) -> DataFrame:
     """Adds the block's numbers, in key order, and puts each block on a task.
 
     Keys chosen by hash cut the group; the choice depends on the data alone, so a task that runs
     again agrees with its first run. A row meets the coarse keys of its group, then the fine keys of
     its coarse block: neither array grows with the group.
     """
-    drawn = F.xxhash64(*group, key if picked_by is None else picked_by)
+    drawn = F.xxhash64(*group, key)
     coarse = _splits(distinct.where(F.pmod(drawn, F.lit(rows_per_block * fanout)) == 0), group, key, "_splits")
     placed = distinct.join(coarse, group, "left").withColumn("_coarse", _passed("_splits", key)).drop("_splits")
     inside = [*group, "_coarse"]
@@ -51,49 +52,44 @@ def _blocked(
     )
 
 
-def _offsets(blocked: DataFrame, group: list[str], weight: str) -> DataFrame:
-    """Summed weight of each block and of all blocks before it."""
-    earlier = Window.partitionBy(*group).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.groupBy(*group, *BLOCK)
-        .agg(F.sum(weight).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    )
-
-
-def _placed_inside(
-    blocked: DataFrame, offsets: DataFrame, group: list[str], key: Column, weight: str, leading: Sequence[Column]
-) -> DataFrame:
-    block = [*group, *BLOCK]
-    earlier = Window.partitionBy(*block).orderBy(*leading, key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.join(offsets, block)
-        .withColumn("_inside", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
-        .withColumn("start", F.col("_offset") + F.col("_inside"))
-        .drop(*BLOCK, "_inside", "_offset", "_size")
-    )
-
-
 def ordered_runs(
     distinct: DataFrame,
     group: Sequence[str],
     key: Column,
-    weight: str,
+    starts: Mapping[str, str],
     rows_per_block: int = ROWS_PER_BLOCK,
-    leading: Sequence[Column] = (),
-    picked_by: Column | None = None,
+    ties: Sequence[Column] = (),
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """Add ``start``: the summed ``weight`` of smaller keys in the same group.
+    """Adds, for every ``weight: name`` of ``starts``, the summed weight of smaller keys in the group.
 
-    ``distinct`` holds each (group, key) once. Blocks are summed first, then sorted inside. Group
-    columns hold no NULL. ``key`` is computed where it is compared and never shuffled. ``leading``
-    may name sort columns that order rows as a nested key does, but cheaper; ``picked_by`` a
-    cheaper value, just as distinct, to hash.
+    ``distinct`` holds each (group, key, ties) once; it is read several times, so it should be
+    stored. ``ties`` order rows of one key, which stay in one block. Groups of up to
+    ``rows_per_block`` rows are sorted whole; larger ones are cut into blocks, which are summed
+    first and then sorted. Group columns hold no NULL.
     """
     group = list(group)
-    blocked = _blocked(distinct, group, key, rows_per_block, picked_by, fanout)
-    return _placed_inside(blocked, _offsets(blocked, group, weight), group, key, weight, leading)
+    large = stored(distinct.groupBy(*group).count().where(F.col("count") > rows_per_block).select(*group), "large-groups")
+    if not large.head(1):
+        return _summed_inside(distinct, group, key, starts, ties)
+    # Read from storage, so their true number decides how they are joined.
+    whole = _summed_inside(distinct.join(large, group, "left_anti"), group, key, starts, ties)
+    blocked = _blocked(distinct.join(large, group, "left_semi"), group, key, rows_per_block, fanout)
+    block, weights = [*group, *BLOCK], list(starts)
+    before = Window.partitionBy(*group).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        blocked.groupBy(*block)
+        .agg(*[F.sum(w).alias(f"_size_{w}") for w in weights])
+        .select(*block, *[F.coalesce(F.sum(f"_size_{w}").over(before), F.lit(0)).alias(f"_offset_{w}") for w in weights])
+    )
+    placed = _summed_inside(blocked, block, key, starts, ties).join(offsets, block)
+    placed = placed.withColumns({name: F.col(name) + F.col(f"_offset_{w}") for w, name in starts.items()})
+    return whole.unionByName(placed.drop(*BLOCK, *[f"_offset_{w}" for w in weights]))
+
+
+def _summed_inside(rows: DataFrame, keys: list[str], key: Column, starts: Mapping[str, str], ties: Sequence[Column]) -> DataFrame:
+    earlier = Window.partitionBy(*keys).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({name: F.coalesce(F.sum(w).over(earlier), F.lit(0)) for w, name in starts.items()})
 
 
 def numbered(
@@ -104,16 +100,29 @@ def numbered(
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, ... by a key unique in its group."""
-    runs = ordered_runs(rows.withColumn("_one", F.lit(1)), group, F.col(key), "_one", rows_per_block)
-    return runs.withColumn(name, F.col("start") + 1).drop("_one", "start")
+    kept = stored(rows.withColumn("_one", F.lit(1)), "numbered-rows")
+    runs = ordered_runs(kept, group, F.col(key), {"_one": "_start"}, rows_per_block)
+    return runs.withColumn(name, F.col("_start") + 1).drop("_one", "_start")
 
 
-def _place(fraction: float) -> Column:
-    return (F.col("_total") - 1) * F.lit(fraction)
+# Rows in a stretch of values that are looked at one by one; a histogram narrows longer ones.
+ROWS_AT_ONCE = 100_000
+BINS = 4096
 
 
-def _low(fraction: float) -> Column:
-    return F.floor(_place(fraction))
+def _log_bin(value: Column) -> Column:
+    """A whole number that never falls as the value grows; a bin spans about 1.6 % of its values."""
+    size = F.floor(F.ln(F.abs(value)) * 64)
+    # Logarithms of doubles lie between -745 and 710. Infinities and NaN, which comes last, have bins of their own.
+    return (
+        F.when(F.isnan(value), 200_000).when(value == float("inf"), 150_000).when(value == float("-inf"), -150_000)
+        .when(value > 0, 60_000 + size).when(value < 0, -60_000 - size).otherwise(0)
+    )
+
+
+def _even_bin(value: Column) -> Column:
+    """The bin among ``BINS`` of equal width from the stretch's least value to its greatest."""
+    return F.floor((value - F.col("_of.least")) / (F.col("_of.most") - F.col("_of.least")) * BINS)
 
 
 def percentiles(
@@ -121,32 +130,73 @@ def percentiles(
     group: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
-    """Exact percentiles per group, linear between neighbours; one column per fraction."""
+    """Exact percentiles of doubles per group, linear between neighbours; one column per fraction.
+
+    By selection: a histogram per group tells in which stretches of values the wanted places lie.
+    Rows of these alone are counted again, in finer bins from a stretch's least value to its
+    greatest, until few are left in each or all are equal. Only bins and the values left are
+    sorted; rows of the table are never.
+    """
     group = list(group)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    blocked = _blocked(counted, group, F.col(value), rows_per_block, None, FANOUT)
-    offsets = _offsets(blocked, group, "_n")
-    totals = offsets.groupBy(*group).agg(F.sum("_size").alias("_total"))
-    # Only the blocks that hold a wanted place are sorted.
-    wanted = [place + step for fraction in fractions.values() for step in (0, 1) for place in [_low(fraction)]]
-    held = [(F.col("_offset") <= p) & (p < F.col("_offset") + F.col("_size")) for p in wanted]
-    needed = offsets.join(totals, group).where(reduce(lambda a, b: a | b, held))
-    placed = _placed_inside(blocked, needed, group, F.col(value), "_n", ())
+    found = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_value"))
+    wanted_places = [
+        f(F.col("_total"), fraction) for fraction in fractions.values() for f in (_low, _high)
+    ]
+    measures = [F.count("*").alias("_rows"), F.min("_value").alias("_least"), F.max("_value").alias("_most")]
+    columns = [*group, "_least", "_most", "_rows", "_before", "_total"]
+
+    def wanted(stretches: DataFrame) -> DataFrame:
+        held = [(F.col("_before") <= p) & (p < F.col("_before") + F.col("_rows")) for p in wanted_places]
+        return stretches.where(reduce(lambda a, b: a | b, held)).select(*columns)
+
+    def within(stretches: DataFrame) -> DataFrame:
+        """Rows in the stretches; a group has no more of these than there are wanted places."""
+        spans = stretches.groupBy(*group).agg(
+            F.collect_list(F.struct(*[F.col(f"_{c}").alias(c) for c in ("least", "most", "before", "total")])).alias("_spans")
+        )
+        of = F.get(F.filter("_spans", lambda s: F.col("_value").between(s["least"], s["most"])), F.lit(0))
+        return found.join(spans, group).withColumn("_of", of).drop("_spans").where(F.col("_of").isNotNull())
+
+    smaller = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = found.groupBy(*group, _log_bin(F.col("_value")).alias("_bin")).agg(*measures)
+    stretches = bins.withColumns(
+        {"_before": F.coalesce(F.sum("_rows").over(smaller), F.lit(0)), "_total": F.sum("_rows").over(Window.partitionBy(*group))}
+    )
+    known = stored(wanted(stretches), "percentile-stretches")
+    long = (F.col("_least") < F.col("_most")) & (F.col("_rows") > rows_at_once)
+    while known.where(long).head(1):
+        smaller = Window.partitionBy(*group, "_of").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        finer = within(known.where(long)).groupBy(*group, "_of", _even_bin(F.col("_value")).alias("_bin")).agg(*measures)
+        finer = finer.withColumns(
+            {"_before": F.col("_of.before") + F.coalesce(F.sum("_rows").over(smaller), F.lit(0)), "_total": F.col("_of.total")}
+        )
+        known = stored(known.where(~long).unionByName(wanted(finer)), "percentile-stretches")
+
+    left = within(known.where("_least < _most")).groupBy(*group, "_of", "_value").agg(F.count("*").alias("_rows"))
+    smaller = Window.partitionBy(*group, "_of").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    runs = left.select(
+        *group, "_value", "_rows", F.col("_of.total").alias("_total"),
+        (F.col("_of.before") + F.coalesce(F.sum("_rows").over(smaller), F.lit(0))).alias("_before"),
+    ).unionByName(known.where("_least = _most").select(*group, F.col("_least").alias("_value"), "_rows", "_total", "_before"))
 
     def value_at(place: Column) -> Column:
-        covers = (F.col("start") <= place) & (place < F.col("start") + F.col("_n"))
-        return F.max(F.when(covers, F.col(value)))
+        covers = (F.col("_before") <= place) & (place < F.col("_before") + F.col("_rows"))
+        return F.max(F.when(covers, F.col("_value")))
 
-    measures, results = [F.max("_total").alias("_total")], []
+    total, values, results = F.col("_total"), [F.max("_total").alias("_total")], []
     for name, fraction in fractions.items():
-        place = _place(fraction)
-        low = _low(fraction)
-        high = F.least(low + 1, F.col("_total") - 1)
-        measures += [value_at(low).alias(f"_low_{name}"), value_at(high).alias(f"_high_{name}")]
-        part = place - low
-        results.append(
-            (F.col(f"_low_{name}") * (1 - part) + F.col(f"_high_{name}") * part).alias(name)
-        )
-    return placed.groupBy(*group).agg(*measures).select(*group, *results)
+        values += [value_at(f(total, fraction)).alias(f"_{f.__name__}_{name}") for f in (_low, _high)]
+        part = (total - 1) * F.lit(fraction) - _low(total, fraction)
+        results.append((F.col(f"__low_{name}") * (1 - part) + F.col(f"__high_{name}") * part).alias(name))
+    return runs.groupBy(*group).agg(*values).select(*group, *results)
+
+
+def _low(total: Column, fraction: float) -> Column:
+    """The place, from 0, at or before which the percentile lies; ``_high`` is the one after it."""
+    return F.floor((total - 1) * F.lit(fraction))
+
+
+def _high(total: Column, fraction: float) -> Column:
+    return F.least(_low(total, fraction) + 1, total - 1)

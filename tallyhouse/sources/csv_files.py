@@ -8,28 +8,28 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.picking import first_per_key
-from tallyhouse.schema import TABLE_COLUMNS, TABLE_KEYS
+from tallyhouse.schema import TABLE_COLUMNS, TABLE_KEYS, ddl
+from tallyhouse.sources.csv_records import read_records
 from tallyhouse.sources.tables import full_refresh
 
 # Accepted timestamp forms, first match wins. One letter takes one or two digits.
 TIMESTAMP_FORMS = ("yyyy-M-d H:m:s", "yyyy-M-d")
 
 
-def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Header CSV as text columns; a byte-order mark is dropped and ``""`` reads as a quote.
+# How cells are quoted, the same for reading and writing; a line's length is no limit for a cell.
+CELL_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
 
-    Quoted cells may span lines in every table, so a file is read by one task: a load's
-    parallelism is its number of files. Deliver files of 64 to 256 MB.
+
+def scan_csv(spark: SparkSession, path: str | list[str], also: Sequence[str] = ()) -> DataFrame:
+    """Header CSV in UTF-8 as text columns; a byte-order mark is dropped and ``""`` reads as a quote.
+
+    Quoted cells may span lines in every table. A large file is read by many tasks; ``also`` may
+    name a record's place in order: ``_file``, ``_range`` of the file, ``_line`` of the range.
+    Column names are those of the first file, and every file begins with a header.
     """
-    return (
-        spark.read.option("header", True)
-        .option("encoding", "UTF-8")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
-    )
+    names = spark.read.options(header=True, encoding="UTF-8", **CELL_OPTIONS).csv(path).columns
+    cells = F.from_csv("record", ddl({n.replace("`", "``"): "string" for n in names}), CELL_OPTIONS)
+    return read_records(spark, path).select(cells.alias("cells"), *also).select("cells.*", *also)
 
 
 def as_it_is(writer: DataFrameWriter) -> DataFrameWriter:
@@ -92,10 +92,8 @@ def load_table(spark: SparkSession, path: str | list[str], table: str, target: s
 
     Files count in the order of their names. Raw geolocation has no key and keeps all rows.
     """
-    cells = scan_csv(spark, path).withColumns(
-        {"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()}
-    )
-    rows = typed(cells, table, ["_file", "_line"])
+    place = ["_file", "_range", "_line"]
+    rows = typed(scan_csv(spark, path, place), table, place)
     if keys := TABLE_KEYS.get(table):
-        rows = first_per_key(rows, keys, [F.asc("_file"), F.asc("_line")])
-    return full_refresh(rows.drop("_file", "_line"), target)
+        rows = first_per_key(rows, keys, [F.asc(p) for p in place])
+    return full_refresh(rows.drop(*place), target)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.session import scratch_dir
+
 # Declared, not inferred: a read costs no extra job and no footer scan on the driver.
 BASE_TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -30,3 +32,8 @@ def full_refresh(rows: DataFrame, path: str) -> DataFrame:
     """Replace the table at ``path`` by ``rows`` and return it as stored."""
     rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once to the folder all executors share; their size is known from then on."""
+    return full_refresh(rows, scratch_dir(rows.sparkSession, purpose))

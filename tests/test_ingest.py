@@ -1,6 +1,7 @@
 """CSV cells, dedupe and the zip table on hand-made rows."""
 
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -158,3 +159,49 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         scratch_dir(session("local-cluster[2,1,1024]"), "x")
     assert scratch_dir(session("yarn", "hdfs:///s/"), "x").startswith("hdfs:///s/tallyhouse/x-")
     assert scratch_dir(session("local[4]"), "x")
+
+
+def builtin_csv(spark, path):
+    return spark.read.options(header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1).csv(path)
+
+
+CSV_TEXTS = {
+    "spanning": 'a,b,c\n1,"x\ny",2\n3,"""quoted"", and\n\n,more",4\n5,,""\n"6","\n\n\n","7\n"\n8,9\n10,11,12,13\n',
+    "quotes inside plain cells": 'a,b\n5" pipe,x\n6"",y"\n"5"" pipe",""""\n"a"b"c,d\n7,"e\nf" tail,g\n',
+    "carriage returns": 'a,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n',
+    "no line spans": 'a,b\n1,"x, y"\n2,"""z"""\n\n3,\n',
+    "never closed": 'a,b\n1,"x\ny\nz,2\n3,4',
+    "header spans": '"a\nb","c"\n1,"2\n3"\n',
+    "header only": "a,b\n",
+}
+
+
+@pytest.mark.parametrize("width", [7, 64, 1 << 20])
+def test_files_are_read_in_ranges_as_they_are_read_whole(spark, tmp_path, width):
+    rng = random.Random(3)
+    cells = ["", "x", "a b", '"', '""', ",", "\n", '\n"\n', "line\nbreak", '",\n', "ü", "long " * 9]
+    rows = [[rng.choice(cells) + rng.choice(cells) for _ in range(3)] for _ in range(60)]
+    many = "a,b,c\n" + "".join(",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n" for row in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i, (name, text) in enumerate({**CSV_TEXTS, "many": many}.items()):
+        path = tmp_path / f"{i}.csv"
+        path.write_bytes(b"\xef\xbb\xbf" * (i % 2) + text.encode())
+        want = builtin_csv(spark, str(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(width))
+        try:
+            got = scan_csv(spark, str(path), ["_range", "_line"])
+            assert got.columns[:-2] == want.columns, name
+            found = [tuple(r[:-2]) for r in got.orderBy("_range", "_line").collect()]
+            tasks = got.select("_range").distinct().count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert found == [tuple(r) for r in want.collect()], name
+        if name == "many":
+            assert tasks > 1 or width > len(text)
+
+
+def test_files_without_open_cells_need_no_exchange(spark, tmp_path):
+    path = tmp_path / "plain.csv"
+    path.write_text('a,b\n1,"x, y"\n2,z\n')
+    plan = scan_csv(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan

@@ -1,8 +1,10 @@
 """Plan shapes that matter at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.plans import comparing, ingest, sales, service
+from tallyhouse.operators import ordered
+from tallyhouse.plans import ingest, sales, scoring, service
 from tallyhouse.plans.star import Star
 from tallyhouse.registry import all_queries
 
@@ -41,6 +43,16 @@ def test_fact_is_summed_before_the_join(spark, folder):
     assert text.index("keys=[product_id") > text.index("Join")
 
 
-def test_blocks_of_a_group_are_spread(spark, folder):
-    text = plan(comparing.resultset_compare(Star(spark, folder)))
+def test_blocks_of_a_group_are_spread(spark):
+    keys = spark.range(100).selectExpr("id % 2 as g", "id as k", "1 as n")
+    text = plan(ordered.ordered_runs(keys, ["g"], F.col("k"), {"n": "start"}, rows_per_block=10))
     assert "REPARTITION_BY_COL" in text and "_coarse" in text and "_fine" in text
+    assert "REPARTITION_BY_COL" not in plan(ordered.ordered_runs(keys, ["g"], F.col("k"), {"n": "start"}))
+
+
+def test_percentiles_exchange_bins_and_few_values(spark, folder):
+    """Bins are exchanged while it is built; after that counts of the values left, and a row a run or two."""
+    text = plan(scoring.eval_latency_percentiles(Star(spark, folder)))
+    assert text.count("Exchange hashpartitioning(run_no") <= 4
+    # What is read of the events moves as counts only.
+    assert "partial_count" in text and "rangepartitioning" not in text and "Repartition" not in text
