@@ -52,12 +52,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def besides(frame: DataFrame, added: Sequence[str], *needed: str) -> list[str]:
+def besides(frame: DataFrame, added: Sequence[str]) -> list[str]:
     """Columns of the frame that no added column replaces; names that differ in case only are alike."""
-    taken = {name.lower() for name in (*added, *needed)}
+    taken = {name.lower() for name in added}
     return [name for name in frame.columns if name.lower() not in taken]
 
 
+def packed(frame: DataFrame, added: Sequence[str], **own: Column) -> tuple[DataFrame, list[Column]]:
+    """The frame's columns in one column ``row`` beside those an operator works with, and their selection back.
+
+    Inside ``row`` no name of the input can clash with one of the operator's. Columns that an added
+    one replaces are left out.
+    """
+    kept = besides(frame, added)
+    row = F.struct(*[F.col(quoted(c)) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    work = frame.select(row.alias("row"), *[column.alias(name) for name, column in own.items()])
+    return work, [F.col(f"row.{quoted(c)}") for c in kept]
+
+
 def place(seed: int, *columns: Column) -> Column:
     """A pseudo-random place in [0, 2^62) that depends on the columns' values alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 64 - PLACE_BITS)

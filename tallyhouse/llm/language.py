@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import PLACE_BITS, place, stored
+from tallyhouse.llm.common import PLACE_BITS, packed, place, quoted, stored
 
 UNKNOWN = "und"
 # Bounds of the dictionaries: bytes each, documents per language, characters taken of one.
@@ -110,10 +110,8 @@ def identify(frame: DataFrame, dictionaries: dict[str, bytes], text_col: str = "
     A null text and one without a letter is ``und``, score 0, not accepted; so is every text if
     nothing was learned. Equal sizes go to the language that comes first in ``dictionaries``, the
     most frequent one, and are not accepted. With one language only, the margin counts as 1. Input columns named like the added
-    ones are replaced; other columns and repeated rows stay.
+    ones, in any case, are replaced; other columns and repeated rows stay.
     """
-    added = ["lang_pred", "score", "accepted"]
-    kept = [c for c in frame.columns if c not in added]
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(dictionaries)
@@ -122,7 +120,8 @@ def identify(frame: DataFrame, dictionaries: dict[str, bytes], text_col: str = "
 
     classify.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     judged = F.pandas_udf(classify, "lang string, score double, margin double")
-    return frame.select(*kept, judged(text_col).alias("_j")).select(
-        *kept, F.col("_j.lang").alias("lang_pred"), F.col("_j.score").alias("score"),
-        (F.col("_j.margin") >= NARROW_MARGIN).alias("accepted"),
+    work, kept = packed(frame, ("lang_pred", "score", "accepted"), judged=judged(F.col(quoted(text_col))))
+    return work.select(
+        *kept, F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"),
+        (F.col("judged.margin") >= NARROW_MARGIN).alias("accepted"),
     )

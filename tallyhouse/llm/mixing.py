@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import bucket_bits, place, running_sums, stored
+from tallyhouse.llm.common import bucket_bits, packed, place, quoted, running_sums, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -65,22 +65,19 @@ def mix(
 
     The shuffled order depends on the id and the size alone, so reruns agree. Rows alike in id,
     source and size are interchangeable. Documents of size 0 (null counts as 0) take no part:
-    taken 0. A null source is a source of its own. Input columns named like the added ones are
-    replaced. ``share`` must not be above ``repeats``.
+    taken 0. A null source is a source of its own. Input columns named like the added ones, in any
+    case, are replaced. ``share`` must not be above ``repeats``.
     """
-    added = ("source_size", "target", "taken")
-    kept = [c for c in frame.columns if c not in added]
-    rows = stored(
-        frame.select(*kept).withColumns(
-            {"_key": _key(F.col(source_col).cast("string")), "_size": F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")}
-        ).withColumn("_place", place(seed, F.col(id_col), F.col("_size"))),
-        "mix-rows",
+    work, kept = packed(
+        frame, ("source_size", "target", "taken"), _key=_key(F.col(quoted(source_col)).cast("string")),
+        _size=F.coalesce(F.col(quoted(size_col)), F.lit(0)).cast("bigint"), _id=F.col(quoted(id_col)),
     )
+    rows = stored(work.withColumn("_place", place(seed, F.col("_id"), F.col("_size"))), "mix-rows")
     sources = rows.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("words"))
     targets = source_targets(sources, weights, share, repeats)
     total = rows.count()
     bits = bucket_bits(total)
-    queued = running_sums(rows, ["_key"], "_place", [id_col], F.col("_size"), "_sent", bits)
+    queued = running_sums(rows, ["_key"], "_place", ["_id"], F.col("_size"), "_sent", bits)
     finish = [
         (F.col("source_size") * e + F.col("_sent") + F.col("_size")) / F.col("target") for e in range(repeats)
     ]
@@ -130,4 +127,5 @@ def mix(
             return (span(at) < edge) | ((span(at) == edge) & upto_cut)
 
         taken = F.size(F.filter("_finish", in_time))
-    return line.select(*kept, "source_size", "target", (F.col("_size") * taken).cast("bigint").alias("taken"))
+    sent = line.select("row", "source_size", "target", (F.col("_size") * taken).cast("bigint").alias("taken"))
+    return sent.select(*kept, "source_size", "target", "taken")

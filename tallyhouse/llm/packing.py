@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import place, stored
+from tallyhouse.llm.common import packed, place, stored
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 BLOCK_PIECES = 32_768
@@ -99,17 +99,15 @@ def best_fit(
 
     ``length`` is the number of tokens of a row. Null or 0 takes no room: one piece of length 0
     with null bin, capacity and offset. Repeated rows are packed each for itself. Input columns
-    with the names of the added ones are replaced. An empty frame gives an empty one.
+    with the names of the added ones, in any case, are replaced. An empty frame gives an empty one.
     """
     added = ("piece", "piece_start", "piece_length", "bin_id", "capacity", "bin_offset")
-    kept = [c for c in frame.columns if c not in added]
     largest = max(capacities)
     tokens = F.coalesce(length, F.lit(0)).cast("bigint")
-    rows = stored(
-        frame.select(*kept, tokens.alias("_tokens")).withColumn("_row", F.monotonically_increasing_id()), "pack-rows"
-    )
+    work, kept = packed(frame, added, _tokens=tokens, _row=F.monotonically_increasing_id())
+    rows = stored(work, "pack-rows")
     pieces = rows.select(
-        *kept, "_row", "_tokens",
+        "row", "_row", "_tokens",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("_tokens", F.lit(1)) - 1) / largest).cast("bigint"))).alias("piece"),
     ).withColumn("piece_start", F.col("piece") * largest).withColumn(
         "piece_length", F.least(F.lit(largest), F.col("_tokens") - F.col("piece_start")).cast("bigint")
@@ -119,7 +117,7 @@ def best_fit(
     block = (place(seed, F.col("_row"), F.col("piece")) % blocks).cast("bigint")
     small = pieces.select("_row", "piece", "piece_length", block.alias("_block"))
 
-    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def in_bins(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_row", "piece"], kind="stable")
         bins, sizes, offsets = pack(group["piece_length"].to_numpy(), capacities)
         return pd.DataFrame(
@@ -130,6 +128,6 @@ def best_fit(
         )
 
     placed = small.filter("piece_length > 0").groupBy("_block").applyInPandas(
-        packed, "_row bigint, piece bigint, bin_id bigint, capacity bigint, bin_offset bigint"
+        in_bins, "_row bigint, piece bigint, bin_id bigint, capacity bigint, bin_offset bigint"
     )
     return pieces.join(placed, ["_row", "piece"], "left").select(*kept, *added)

@@ -40,6 +40,9 @@ SLICE_BYTES = 4 << 20
 PHRASE_BITS = 16
 MOST_BITS = 26
 
+# Parts of a language's candidates that are ranked apart first.
+RANK_PARTS = 256
+
 # A byte no UTF-8 text has stands for the end of a piece.
 END = b"\xff"
 _TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
@@ -350,8 +353,12 @@ def collocations(
     kept = best.join(covers, ["lang", "phrase"], "left").filter(
         F.coalesce(F.col("longer") * 100 < F.col("a") * covered_percent, F.lit(True))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("best.score"), F.desc("a"), F.asc("phrase")]
+    # The first of each of a language's parts, then the first of these: no task gets a whole language.
+    part_of = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    first = Window.partitionBy("lang", "part").orderBy(*order)
+    few = part_of.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top).drop("rank")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"),
         "n", F.col("best.score").alias("score"),

@@ -3,8 +3,12 @@
 One classifier sees the text (bytes, byte pairs, repetition), the other the metadata (source,
 language, length). From a bounded sample of labelled rows each learns by itself; then, round by
 round, each hands its most confident judgements on unlabelled documents to the other as
-pseudo-labels. Both are calibrated on labelled rows kept aside, and the two calibrated views
-are added as log odds to score every document.
+pseudo-labels. Both are calibrated on labelled rows kept aside, in every round, and the two
+calibrated views are added as log odds to score every document.
+
+A view teaches only if it tells the kept rows' labels better than their base rate does, and only
+where it is sure beyond that rate. A round that leaves the two views together worse on the kept
+rows is taken back, so an exchange helps there or does nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import place, stored
+from tallyhouse.llm.common import packed, place, stored
 
 # Bounds of what is fitted on the driver.
 LABELLED_ROWS = 8_000
 UNLABELLED_ROWS = 6_000
 ROUNDS = 3
-# Of the unlabelled rows, how many a view hands over per round, and how sure it must be.
+# Of the unlabelled rows, how many a view hands over per round; how sure it must be, and how much the
+# odds must have moved from the base rate's; and the share of the base rate's loss it must save to teach.
 HANDED_OVER = 0.1
 CONFIDENCE = 0.9
+ODDS_MOVED = 3.0
+LOSS_SAVED = 0.1
 PSEUDO_WEIGHT = 0.5
 KEEP_FROM = 0.5
 
@@ -73,6 +80,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def _log_loss(log_odds: np.ndarray, y: np.ndarray) -> float:
+    z = np.clip(log_odds, -35, 35)
+    return float(np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z)))))
+
+
 @dataclass
 class Linear:
     """Logistic regression on standardised features, with its calibration."""
@@ -166,21 +178,42 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray
         weight = np.concatenate([np.ones(known.sum()), np.full(len(taught[v]), PSEUDO_WEIGHT)])
         return fit(views[v][rows], goal, weight)
 
-    models = [train(0), train(1)]
-    for _ in range(rounds if len(pool) else 0):
-        for v in (0, 1):
-            p = _sigmoid(models[v].raw(views[v][pool]))
-            quota = max(1, int(len(pool) * HANDED_OVER))
-            for label, sure, some in ((1, p, quota * up // (up + down)), (0, 1 - p, quota * down // (up + down))):
-                best = np.argsort(-sure, kind="stable")[: max(1, some)]
-                taught[1 - v].update({int(pool[i]): label for i in best if sure[i] >= CONFIDENCE})
-        models = [train(0), train(1)]
     check = aside & (y >= 0)
     if len(np.unique(y[check])) < 2:
         check = known
-    for v in (0, 1):
-        models[v].calibrate(views[v][check], y[check].astype(np.float64))
-    return Model(models[0], models[1], prior)
+    truth = y[check].astype(np.float64)
+
+    def calibrated() -> list[Linear]:
+        models = [train(0), train(1)]
+        for v in (0, 1):
+            models[v].calibrate(views[v][check], truth)
+        return models
+
+    def together(models: list[Linear]) -> float:
+        return _log_loss(sum(models[v].log_odds(views[v][check]) for v in (0, 1)) - prior, truth)
+
+    by_base_rate = _log_loss(np.full(len(truth), prior), truth)
+    models = calibrated()
+    best, best_loss = models, together(models)
+    for _ in range(rounds if len(pool) else 0):
+        before = tuple(dict(t) for t in taught)
+        for v in (0, 1):
+            if _log_loss(models[v].log_odds(views[v][check]), truth) > (1 - LOSS_SAVED) * by_base_rate:
+                continue
+            z = models[v].log_odds(views[v][pool])
+            quota = max(1, int(len(pool) * HANDED_OVER))
+            for label, sign, some in ((1, 1, quota * up // (up + down)), (0, -1, quota * down // (up + down))):
+                sure = (_sigmoid(sign * z) >= CONFIDENCE) & (sign * (z - prior) >= np.log(ODDS_MOVED))
+                ranked = np.argsort(-sign * z, kind="stable")[: max(1, some)]
+                taught[1 - v].update({int(pool[i]): label for i in ranked if sure[i]})
+        if tuple(taught) == before:
+            break
+        models = calibrated()
+        loss = together(models)
+        if loss > best_loss:
+            break
+        best, best_loss = models, loss
+    return Model(best[0], best[1], prior)
 
 
 def train_model(
@@ -227,12 +260,9 @@ def score_quality(frame: DataFrame, model: Model) -> DataFrame:
     """Adds text_quality, meta_quality, quality_score (all 0 to 1) and accepted to every row.
 
     Texts that are null or without a word score 0 and are not accepted. Input columns named like
-    the added ones are replaced; other columns and repeated rows stay as they are. Where the
+    the added ones, in any case, are replaced; other columns and repeated rows stay as they are. Where the
     labels have one class or none, all other rows score the base rate.
     """
-    added = ["text_quality", "meta_quality", "quality_score", "accepted"]
-    kept = [c for c in frame.columns if c not in added]
-
     def score(batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         for texts, source, lang, n_chars in batches:
             text = np.stack([text_features(t) for t in texts]) if len(texts) else np.zeros((0, TEXT_WIDTH), np.float32)
@@ -245,10 +275,9 @@ def score_quality(frame: DataFrame, model: Model) -> DataFrame:
         "batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]
     }
     scored = F.pandas_udf(score, "t double, m double, q double")
-    return (
-        frame.select(*kept, scored("text", "source", "lang", F.col("n_chars").cast("double")).alias("_s"))
-        .select(
-            *kept, F.col("_s.t").alias("text_quality"), F.col("_s.m").alias("meta_quality"),
-            F.col("_s.q").alias("quality_score"), (F.col("_s.q") >= KEEP_FROM).alias("accepted"),
-        )
+    views = scored("text", "source", "lang", F.col("n_chars").cast("double"))
+    work, kept = packed(frame, ("text_quality", "meta_quality", "quality_score", "accepted"), scored=views)
+    return work.select(
+        *kept, F.col("scored.t").alias("text_quality"), F.col("scored.m").alias("meta_quality"),
+        F.col("scored.q").alias("quality_score"), (F.col("scored.q") >= KEEP_FROM).alias("accepted"),
     )

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import bucket_bits, place, running_sums, stored
+from tallyhouse.llm.common import bucket_bits, packed, place, running_sums, stored
 
 BLOCK_ROWS = 65_536
 FANOUT_BITS = 6
@@ -172,11 +172,11 @@ def shard_rows(frame: DataFrame, shards: int, seed: int = 1, block_rows: int = B
 
     The order is a uniform random permutation for the seed and the frame's partitions; shard
     sizes differ by one row at most. Rows are counted, never compared: nulls, repeated rows
-    and empty texts are dealt like any other. Input columns named ``shard`` or ``slot`` are
-    replaced. An empty frame gives an empty one.
+    and empty texts are dealt like any other. Input columns named ``shard`` or ``slot``, in any
+    case, are replaced. An empty frame gives an empty one.
     """
-    kept = [c for c in frame.columns if c not in ("shard", "slot")]
-    rows = stored(frame.select(*kept).withColumn(ROW, F.monotonically_increasing_id()), "shard-rows")
+    work, kept = packed(frame, ("shard", "slot"), **{ROW: F.monotonically_increasing_id()})
+    rows = stored(work, "shard-rows")
     part, piece = F.shiftright(ROW, 33), F.floor(F.col(ROW).bitwiseAND((1 << 33) - 1) / block_rows).cast("bigint")
     total, parts, wide = rows.agg(F.count("*"), F.max(part), F.max(piece)).first()
     if not total:
@@ -193,7 +193,7 @@ def shard_rows(frame: DataFrame, shards: int, seed: int = 1, block_rows: int = B
         blocked.withColumn("_rank", F.row_number().over(first) - 1)
         .join(matrix.select(F.col("node").alias(BLOCK), ends.alias("_ends")), BLOCK)
         .select(
-            *kept, ROW, place(seed + 2, F.col(ROW)).alias("_place"),
+            "row", ROW, place(seed + 2, F.col(ROW)).alias("_place"),
             F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).alias("shard"),
         )
     )

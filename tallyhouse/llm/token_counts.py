@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,8 @@ _OTHER, _LETTER, _NUMBER, _SPACE, _BREAK = 0, 1, 2, 3, 4
 _SEPARATOR = 0xD800
 
 
-@cache
-def _classes() -> np.ndarray:
+def sign_classes() -> np.ndarray:
+    """Class of every code point. Made on the driver and sent along: tasks keep nothing between them."""
     kinds = np.zeros(0x110000, dtype=np.uint8)
     for point in range(0x110000):
         major = unicodedata.category(chr(point))[0]
@@ -57,13 +57,13 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-def boundaries(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pre-tokens in texts joined by separators.
+def boundaries(points: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens in texts joined by separators; ``classes`` by code point.
 
     A pre-token is a contraction ending, or a run of letters, of numbers or of other signs with
     at most one blank before it, or a run of white space less the last sign where text follows.
     """
-    kinds = _classes()[points]
+    kinds = classes[points]
     n = len(points)
     before, after = np.empty_like(kinds), np.empty_like(kinds)
     before[0], before[1:], after[-1], after[:-1] = _BREAK, kinds[:-1], _BREAK, kinds[1:]
@@ -121,7 +121,7 @@ class _Block:
         self.places: list[np.ndarray] = []
         self.often: list[np.ndarray] = []
 
-    def add(self, ids: list, texts: list[str], special: list[str], hasher: SpanHasher) -> None:
+    def add(self, ids: list, texts: list[str], special: list[str], hasher: SpanHasher, classes: np.ndarray) -> None:
         parts, owner = [], []
         for i, text in enumerate(texts):
             pieces, found = [text], 0
@@ -139,7 +139,7 @@ class _Block:
         if not len(points):
             self.sizes.append(np.zeros(len(texts), dtype=np.int64))
             return
-        starts, ends = boundaries(points)
+        starts, ends = boundaries(points, classes)
         hashes = hasher(points, starts, ends)
         part = np.searchsorted(np.flatnonzero(points == _SEPARATOR), starts)
         document = np.asarray(owner, dtype=np.int64)[part]
@@ -186,16 +186,17 @@ class _Block:
         return pd.DataFrame(out)
 
 
-def _blocks(special: list[str], slices: int, block_chars: int):
+def _blocks(special: list[str], slices: int, block_chars: int, packed_classes: bytes):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number, block, hasher = TaskContext.get().partitionId(), 0, _Block(), SpanHasher()
+        classes = np.frombuffer(zlib.decompress(packed_classes), dtype=np.uint8)
         for batch in batches:
             ids, texts = batch["id"].tolist(), ["" if t is None else t for t in batch["text"]]
             begin = chars = 0
             for at, text in enumerate(texts):
                 chars += len(text)
                 if chars >= CHUNK_CHARS or at + 1 == len(texts):
-                    block.add(ids[begin : at + 1], texts[begin : at + 1], special, hasher)
+                    block.add(ids[begin : at + 1], texts[begin : at + 1], special, hasher, classes)
                     begin, chars = at + 1, 0
                     if block.chars >= block_chars:
                         yield block.rows(f"{task}-{number}", slices)
@@ -220,7 +221,7 @@ def _answers(tokenizer_json: str):
         for at in range(0, len(distinct), 4096):
             some = distinct[at : at + 4096]
             encoded = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            pieces.update(zip(some, (len(e.ids) for e in encoded), strict=True))
+            pieces.update(zip(some, map(len, encoded), strict=True))
         counts = [_planes(np.fromiter((pieces[w] for w in words), dtype=np.uint32)) for words in lists]
         return pd.DataFrame({"block": group["block"], "places": group["places"], "counts": counts})
 
@@ -268,7 +269,7 @@ def count_tokens(
     slices = max(1, -(-size // SLICE_BYTES))
     blocks = stored(
         texts.mapInPandas(
-            _blocks(special, slices, block_chars),
+            _blocks(special, slices, block_chars, zlib.compress(sign_classes().tobytes())),
             f"block string, slice int, words binary, ids array<{id_type}>, n_bytes array<bigint>, specials array<bigint>, "
             "sizes binary, places binary, often binary",
         ),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import besides, quoted, stored
+from tallyhouse.llm.common import packed, quoted, stored
 
 ADDED = ("host", "path", "rule", "verdict")
 RESULT = "host string, path string, rule string, verdict string"
@@ -114,14 +114,14 @@ def _host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, capitals, capitals.lower()), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _joined(packed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+def _joined(work: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same verdicts by joins, for rule tables of any size.
 
     Every distinct host meets the rule hosts among its domains once; every distinct url is then
     cut to the path lengths these rules have, and equal starts are joined.
     """
     host, path = _host_and_path(F.col("url"))
-    split = packed.select("row", host.alias("host"), path.alias("path"))
+    split = work.select("row", host.alias("host"), path.alias("path"))
     urls = split.select("host", "path").distinct()
     labels = F.split("host", "[.]")
     domains = F.transform(
@@ -174,13 +174,10 @@ def judge_urls(
     )
     rules = stored(rules, "url-rules")
     n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
-    kept = besides(frame, ADDED)
-    row = F.struct(*[F.col(quoted(c)) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
-    packed = frame.select(row.alias("row"), F.col(quoted(url_col)).cast("string").alias("url"))
+    work, kept = packed(frame, ADDED, url=F.col(quoted(url_col)).cast("string"))
     if n <= trie_rules and size <= trie_bytes:
         trie = spark.sparkContext.broadcast(build_trie(tuple(r) for r in rules.collect()))
-        found = packed.select("row", _judge(trie, default)("url").alias("found"))
+        found = work.select("row", _judge(trie, default)("url").alias("found"))
     else:
-        found = _joined(packed, rules, default)
-    columns = [F.col(f"row.{quoted(c)}") for c in kept] + [F.col(f"found.{c}") for c in ADDED]
-    return found.select(*columns)
+        found = _joined(work, rules, default)
+    return found.select(*kept, *[F.col(f"found.{c}") for c in ADDED])
