@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import language, minhash, mixing, packing, quality
-from tallyhouse.llm.common import stored, table, word_count
+from tallyhouse.llm.common import packed, stored, table, word_count
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,26 +31,27 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of rows that share a kept id one stays. Rows without id have no group and stay.
     """
     groups = minhash.near_duplicates(docs, "doc_id", "text", shingle=5, percent=80)
-    kept = stored(groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept-ids")
-    found = docs.join(kept, "doc_id")
-    once = found.filter("_rows = 1").select(*docs.columns)
-    more = found.filter("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = stored(groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-ids")
+    work, columns = packed(docs, (), doc_id=F.col("doc_id"))
+    found = work.join(kept, "doc_id")
+    once = found.filter("rows = 1").select(*columns)
+    more = found.filter("rows > 1").dropDuplicates(["doc_id"]).select(*columns)
     return once.union(more).union(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows alike in id, source and text share evenly."""
-    keys = ["_id", "_source", "_text"]
-    keyed = docs.withColumns(
-        {"_id": F.struct("doc_id"), "_source": F.struct("source"), "_text": F.struct(F.xxhash64("text"), F.crc32("text"))}
+    keys = ["id", "origin", "content"]
+    keyed, columns = packed(
+        docs, (), id=F.struct("doc_id"), origin=F.struct("source"), content=F.struct(F.xxhash64("text"), F.crc32("text")), text=F.col("text")
     )
-    sized = keyed.select("doc_id", "source", *keys, word_count("text").alias("size"))
+    sized = keyed.select(F.col("id.doc_id").alias("doc_id"), F.col("origin.source").alias("source"), *keys, word_count("text").alias("size"))
     times = (
         mixing.mix(sized, "doc_id", "source", "size").filter("size > 0").groupBy(*keys)
-        .agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("_times")).filter("_times > 0")
+        .agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("times")).filter("times > 0")
     )
-    taken = keyed.join(stored(times, "mix-times"), keys)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = keyed.drop("text").join(stored(times, "mix-times"), keys)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
