@@ -1,4 +1,9 @@
+import zlib
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
+import pytest
 
 from tallyhouse.llm import quality
 from tallyhouse.llm.queries import op8_cotraining_quality
@@ -69,3 +74,22 @@ def test_odd_rows_with_both_classes(spark, odd):
     rows = quality.score_quality(odd, quality.train_model(odd, labels)).collect()
     assert len(rows) == odd.count() and rows[0]["key"] == "x"
     assert len({r["quality_score"] for r in rows if r["doc_id"] == 2}) == 1
+
+
+def test_rounds_do_no_harm_on_held_out_labels():
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("test tables are not here")
+    docs = pd.read_parquet(folder / "documents.parquet").sort_values("doc_id")
+    labels = pd.read_parquet(folder / "labels.parquet").groupby("doc_id")["quality"].min()
+    docs = docs[docs["doc_id"].isin(labels.index) | (docs["doc_id"] % 4 == 0)]
+    text = np.stack([quality.text_features(t) for t in docs["text"]])
+    meta = np.stack([quality.meta_features(*r) for r in zip(docs["source"], docs["lang"], docs["n_chars"], strict=True)])
+    y = docs["doc_id"].map(labels).fillna(-1).to_numpy(dtype=np.int64)
+    drawn = np.array([zlib.crc32(f"held-{i}".encode()) for i in docs["doc_id"]])
+    held, aside = (drawn % 5 == 0) & (y >= 0), (drawn % 4 == 2) & (y >= 0)
+    wrong = {}
+    for rounds in (0, quality.ROUNDS):
+        model = quality.cotrain(text[~held], meta[~held], y[~held], aside[~held], rounds)
+        wrong[rounds] = int(((model.score(text[held], meta[held])[2] >= 0.5) != (y[held] == 1)).sum())
+    assert held.sum() > 500 and wrong[quality.ROUNDS] <= wrong[0] <= 0.01 * held.sum()
