@@ -33,6 +33,8 @@ from tallyhouse.llm.spans import SpanHasher, mixed
 # Labelled tokens a run must share with another page to count, and pages of a host that meet in a task.
 RUN_TOKENS = 4
 HOST_BLOCK_PAGES = 256
+# A part holds about so many bytes of pages at most; a page alone may be larger.
+PART_BYTES = 16 << 20
 # Open text is boilerplate as a whole block, or as a run that is too long for a phrase, on so many distinct texts.
 BLOCK_TOKENS, LONG_TOKENS = 4, 16
 LEAST_TEXTS = 3
@@ -42,14 +44,28 @@ MAIN, LABELLED, OPEN = 0, 1, 2
 _RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "head", "object", "canvas", "math")
 _LABELLED_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "header"}
 _LABELLED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "note"}
-_LABELLED_NAMES = re.compile(
-    r"^(?:(?:main|top|site|page|left|right|global|mobile|sub)[-_]?)?"
-    r"(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side[-_]?bar|aside|breadcrumbs?|cookies?|consent|gdpr|"
-    r"notices?|banner|popup|modal|alert|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|comments?|"
-    r"comment[-_]?list|responses?|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
-    r"search|widgets?|toolbar|pagination|pager)(?:[-_].*)?$"
+# Names of classes and ids that label, word by word: known ones, pairs that make one, and what may stand before and after.
+_KNOWN = set(
+    "nav navbar navigation menu header masthead footer sidebar aside breadcrumb breadcrumbs cookie cookies consent gdpr notice notices "
+    "banner popup modal alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments "
+    "commentlist response responses respond disqus share sharing social related recommended newsletter subscribe signup login search "
+    "widget widgets toolbar pagination pager teaser teasers readmore".split()
 )
-_COMMENT_NAMES = re.compile(r"comment|disqus|respon[sd]")
+_KNOWN_PAIRS = {
+    ("side", "bar"), ("nav", "bar"), ("tool", "bar"), ("bread", "crumb"), ("bread", "crumbs"), ("read", "more"), ("sign", "up"),
+    ("log", "in"), ("pop", "up"), ("news", "letter"),
+}
+_BEFORE = set("main top site page left right bottom global mobile desktop sub primary secondary inner outer".split())
+_AFTER = set(
+    "box bar wrap wrapper container holder list area section block panel item items link links button buttons icon icons form field "
+    "input toggle group row col column slot unit overlay message left right top bottom main primary secondary mobile "
+    "desktop inner outer posts articles stories topics".split()
+)
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "response", "responses"}
+_CASE_CHANGE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Inside main text an id, which is often made from a heading's words, labels these alone.
+_LABELLED_BY_ID = {"div", "aside", "nav", "ul", "ol", "form", "footer", "header", "table"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
@@ -70,21 +86,45 @@ _PIECE = re.compile(
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
+def name_words(name: str) -> list[str]:
+    """A class or id as lower-case words, split at dashes, underscores and changes of case; numbers at the end go."""
+    words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", _CASE_CHANGE.sub("-", name).lower())]
+    return [w for w in words if w]
+
+
+def is_label(words: list[str]) -> bool:
+    """True if the words are a known name, with nothing but the listed words before and after it."""
+    seen, at = False, 0
+    while at < len(words):
+        pair = tuple(words[at : at + 2]) in _KNOWN_PAIRS
+        if pair or words[at] in _KNOWN:
+            seen = True
+        elif words[at] not in (_AFTER if seen else _BEFORE):
+            return False
+        at += 1 + pair
+    return seen
+
+
 def _kind_of(tag: str, attributes: str, inside: int, in_comments: bool) -> tuple[int, bool]:
-    """Kind of an element's text given its parent's; True if it holds reader comments."""
-    names: list[str] = []
+    """Kind of an element's text given its parent's; True if it holds reader comments.
+
+    Names never label a heading inside main text, and an id only what it may be the frame of.
+    """
+    labels: list[list[str]] = []
     roles: set[str] = set()
     if attributes and "=" in attributes:
         for name, *values in _NAMED.findall(attributes):
-            words = html.unescape("".join(values)).lower().split()
-            if name.lower() in ("class", "id"):
-                names += words
-            else:
-                roles.update(words)
-    comments = in_comments or any(_COMMENT_NAMES.search(n) for n in names if _LABELLED_NAMES.match(n))
-    if comments:
+            names = html.unescape("".join(values)).split()
+            kind = name.lower()
+            if kind not in ("class", "id"):
+                roles.update(n.lower() for n in names)
+            elif not (tag in _HEADINGS and (kind == "id" or inside == MAIN)) and (kind == "class" or inside != MAIN or tag in _LABELLED_BY_ID):
+                found = [words for words in map(name_words, names) if is_label(words)]
+                # As the element does, a class "header" inside main text holds the article's heading.
+                labels += [words for words in found if inside != MAIN or _KNOWN & set(words) != {"header"}]
+    if in_comments or any(_COMMENTS & set(words) for words in labels):
         return LABELLED, True
-    if any(_LABELLED_NAMES.match(n) for n in names) or roles & _LABELLED_ROLES:
+    if labels or roles & _LABELLED_ROLES:
         # The heading of an article belongs to it.
         if inside == MAIN and tag == "header" and not roles & _LABELLED_ROLES:
             return inside, False
@@ -339,9 +379,8 @@ def extract(frame: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = frame.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    sizes = stored(
-        pages.groupBy("host").agg(F.ceil(F.count("*") / HOST_BLOCK_PAGES).cast("int").alias("parts")), "host-sizes"
-    )
+    parts = F.greatest(F.count("*") / HOST_BLOCK_PAGES, F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) / PART_BYTES, F.lit(1.0))
+    sizes = stored(pages.groupBy("host").agg(F.ceil(parts).cast("int").alias("parts")), "host-sizes")
     id_type = pages.schema["page_id"].dataType.simpleString()
     pages = pages.withColumn("pick", place(71, F.col("page_id"), F.col("url")))
     parsed = pages.mapInPandas(

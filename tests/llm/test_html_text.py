@@ -2,6 +2,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 
 from tallyhouse.llm import html_text
 from tallyhouse.llm.queries import op9_suffix_array_html
@@ -46,6 +47,27 @@ def test_odd_markup():
     assert main_text("<article><script>x") == ""
 
 
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<h2 id="search-algorithms">x</h2>', True), ('<section id="related-work"><p>x</section>', True), ('<p id="share-prices-fell">x', True),
+        ('<div class="header-image">x</div>', True), ('<h2 id="menu">x</h2>', True), ('<section id="comments-on-the-law">x</section>', True),
+        ('<p id="notice">x', True), ('<div class="advance">x</div>', True), ('<div class="navigation-satellites">x</div>', True),
+        ('<h3 class="banner">x</h3>', True), ('<div class="header"><h1>x</h1></div>', True), ('<div class="adapter shared">x</div>', True),
+        ('<div class="teaser">x</div>', False), ('<p class="read-more">x', False), ('<div class="advertBox">x</div>', False),
+        ('<div class="social_share-buttons">x</div>', False), ('<div id="comments">x</div>', False), ('<div id="ad3">x</div>', False),
+        ('<ul class="leftSideBar">x</ul>', False), ('<div class="post cookie-consent-banner">x</div>', False), ('<p class="ADS">x', False),
+    ],
+)
+def test_names_label_as_a_whole(inside, kept):
+    assert main_text(f"<article>a {inside}</article>") == ("a x" if kept else "a")
+
+
+def test_ids_of_headings_and_frames_outside_of_main_text():
+    found = html_text.blocks('<h2 id="menu">a</h2><section id="sidebar">b</section><div id="pageFooter">c</div><p class="main-content">d')
+    assert [k for k, _ in found] == [html_text.OPEN, html_text.LABELLED, html_text.LABELLED, html_text.OPEN]
+
+
 def brute_covered(tokens, pages, run):
     out = np.zeros(len(tokens), dtype=bool)
     for a in range(len(tokens) - run + 1):
@@ -111,6 +133,14 @@ def test_hot_host_is_cut_into_blocks(spark, monkeypatch):
     assert sum(r["boilerplate_tokens"] == 4 for r in rows) > 90
 
 
+def test_parts_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PART_BYTES", 2_000)
+    pages = [(i, f"http://big.example/{i}", f"<nav>the same old menu</nav><article>page {i} {'long ' * 200}</article>") for i in range(20)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = html_text.extract(frame).collect()
+    assert {r["page_id"]: len(r["text"]) for r in rows} == {i: len(f"page {i} {'long ' * 200}".strip()) for i in range(20)}
+
+
 def test_boilerplate_of_few_pages_of_a_hot_host_goes(spark, monkeypatch):
     monkeypatch.setattr(html_text, "HOST_BLOCK_PAGES", 5)
     legal = " ".join(f"legal{k}" for k in range(20))
