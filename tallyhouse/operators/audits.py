@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row: child rows, and child rows whose non-NULL key has no parent.
+def orphans(tables: Mapping[str, DataFrame], relations: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """Per relation (child, its key, parent, its key): child rows, and those whose non-NULL key has no parent.
 
-    Children are counted per key first, so the anti join moves each key once per partition.
+    Every table is read once: a row gives a tagged key for each part it plays, as a child or as a
+    parent. Keys are counted per tag before they move, and one exchange brings children and
+    parents together, so a key that holds a third of a table is one row per task.
     """
-    per_key = child.groupBy(F.col(child_key).alias("_key")).agg(F.count("*").alias("_n"))
-    known = parent.select(F.col(parent_key).alias("_parent")).withColumn("_found", F.lit(1))
-    marked = per_key.join(known.dropDuplicates(["_parent"]), F.col("_key") == F.col("_parent"), "left")
-    lost = F.when(F.col("_key").isNotNull() & F.col("_found").isNull(), F.col("_n")).otherwise(0)
-    return marked.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(lost), F.lit(0)).alias("n_orphans"),
-    )
+    domains = {parent: i for i, parent in enumerate(dict.fromkeys(r[2:] for r in relations))}
+    roles: dict[str, list] = {}
+    for i, (child, child_key, parent, parent_key) in enumerate(relations):
+        roles.setdefault(child, []).append((domains[parent, parent_key], child_key, i))
+    for (parent, parent_key), domain in domains.items():
+        roles.setdefault(parent, []).append((domain, parent_key, -1))
+    tagged = [
+        tables[name].select(F.inline(F.array(*[
+            F.struct(F.lit(domain).alias("domain"), F.col(key).cast("string").alias("key"), F.lit(role).alias("role"))
+            for domain, key, role in parts
+        ])))
+        for name, parts in roles.items()
+    ]
+    rows = [F.count_if(F.col("role") == i).alias(f"n_{i}") for i in range(len(relations))]
+    known = F.bool_or(F.col("role") == -1) | F.col("key").isNull()
+    per_key = reduce(DataFrame.unionAll, tagged).groupBy("domain", "key").agg(*rows, known.alias("known"))
+    report = F.array(*[
+        F.struct(
+            F.lit(f"{child}.{key}").alias("relationship"), F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum(F.when(~F.col("known"), F.col(f"n_{i}"))), F.lit(0)).alias("n_orphans"),
+        )
+        for i, (child, key, _, _) in enumerate(relations)
+    ])
+    return per_key.agg(report.alias("report")).select(F.inline("report"))
 
 
 def join_rows(left: DataFrame, left_key: str, right: DataFrame, right_key: str, name: str) -> DataFrame:

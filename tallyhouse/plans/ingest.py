@@ -218,13 +218,7 @@ def fk_orphan_audit(star: Star) -> DataFrame:
         "order_reviews": star.base("events").select((F.col("event_id") * 2).alias("order_id")),
         "product_category_translation": star.translation,
     }
-    audited = [
-        orphans(tables[child], child_key, tables[parent], parent_key).select(
-            F.lit(f"{child}.{child_key}").alias("relationship"), "n_rows", "n_orphans"
-        )
-        for child, child_key, parent, parent_key in SOFT_FOREIGN_KEYS
-    ]
-    return stacked(audited)
+    return orphans(tables, SOFT_FOREIGN_KEYS)
 
 
 def inner_join_drop_audit(star: Star) -> DataFrame:

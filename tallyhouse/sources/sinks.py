@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.schema import RESULT_COLUMNS
 from tallyhouse.sources.csv_files import as_it_is
+from tallyhouse.sources.tables import full_refresh
 
 SPLIT_DIMENSIONS = ["table", "time_frame", "filters", "aggregation", "join"]
 CASE_FIELDS = [
@@ -40,21 +41,45 @@ def write_case_split(results: DataFrame, path: str) -> str:
     return path
 
 
-def write_runs(results: DataFrame, runs: DataFrame, path: str) -> str:
-    """Each run as a header record under ``runs`` and its case records under ``cases``.
+# Characters of case records that make a file; the last of a run's may be smaller.
+FILE_CHARS = 128 << 20
 
-    The layout is the same however many cases a run has: headers hold ids, totals and the number of
-    case records; cases lie in folders by run and by ``passes`` or ``failures``. ``runs`` has
-    run_no, run_id, name, mode and the totals.
+
+def write_runs(results: DataFrame, runs: DataFrame, path: str, file_chars: int = FILE_CHARS) -> str:
+    """Each run as a header record under ``runs``, the case records of all under ``cases``.
+
+    Headers hold ids, totals and the number of case records. Cases are laid in files by weight:
+    runs, each with its passes and its failures, stand in a line, measured in characters, which
+    is cut every ``file_chars``. So small runs share a file and a large one has several, and there
+    are no more files than the cases fill. ``files`` tells which ones (``file`` from
+    ``first_file`` to ``last_file``) hold a run's passes or failures. ``runs`` has run_no, run_id,
+    name, mode and the totals.
     """
     ids = ["run_no", "run_id", "name", "mode"]
     totals = F.struct(*[c for c in runs.columns if c not in ids]).alias("totals")
     part = F.when(F.col("status") == "pass", "passes").otherwise("failures")
-    counted = results.groupBy("run_no").agg(
-        F.count_if(part == "passes").alias("n_passes"), F.count_if(part == "failures").alias("n_failures")
+    cases = results.select("run_no", part.alias("part"), case_document(results).alias("case"))
+    weighed = cases.groupBy("run_no", "part").agg(
+        F.count("*").alias("n"), F.sum(F.length(F.to_json("case"))).cast("bigint").alias("chars")
+    )
+    # A row per run and part.
+    line = Window.orderBy("run_no", "part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("chars").over(line), F.lit(0))
+    files = full_refresh(
+        weighed.withColumn("begin", begin).select(
+            "run_no", "part", "n", F.floor(F.col("begin") / file_chars).alias("first_file"),
+            F.floor((F.col("begin") + F.greatest("chars", F.lit(1)) - 1) / file_chars).alias("last_file"),
+        ),
+        f"{path}/files",
+    )
+    counted = files.groupBy("run_no").agg(
+        *[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(f"n_{p}") for p in ("passes", "failures")]
     )
     headers = runs.select(*ids, totals).join(counted, "run_no", "left").fillna(0, ["n_passes", "n_failures"])
     headers.write.mode("overwrite").json(f"{path}/runs")
-    cases = results.select("run_no", part.alias("part"), case_document(results).alias("case"))
-    cases.select("run_no", "part", "case.*").write.mode("overwrite").partitionBy("run_no", "part").json(f"{path}/cases")
+    span = F.col("last_file") - F.col("first_file") + 1
+    dealt = cases.join(files, ["run_no", "part"]).withColumn(
+        "file", F.col("first_file") + F.pmod(F.xxhash64("case.query_id"), span)
+    )
+    dealt.select("file", "run_no", "part", "case.*").repartition("file").write.mode("overwrite").partitionBy("file").json(f"{path}/cases")
     return path

@@ -67,7 +67,12 @@ def test_cap_tells_whether_rows_were_left_out(spark):
 def test_orphans_ignore_missing_keys(spark):
     child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
     parent = spark.createDataFrame([(1,), (1,)], "k int")
-    assert tuple(orphans(child, "k", parent, "k").first()) == (4, 1)
+    other = spark.createDataFrame([("1", 2), ("3", 2), ("3", 9)], "k string, id int")
+    tables = {"child": child, "parent": parent, "other": other, "none": child.limit(0)}
+    relations = [("child", "k", "parent", "k"), ("other", "k", "parent", "k"), ("parent", "k", "other", "id"), ("none", "k", "parent", "k")]
+    found = {r.relationship: (r.n_rows, r.n_orphans) for r in orphans(tables, relations[:3]).collect()}
+    assert found == {"child.k": (4, 1), "other.k": (3, 2), "parent.k": (2, 2)}
+    assert tuple(orphans(tables, relations[3:]).first()) == ("none.k", 0, 0)
     assert join_rows(child, "k", parent, "k", "n").first().n == 4
 
 
@@ -77,6 +82,21 @@ def test_full_refresh_replaces_everything(spark, tmp_path):
     assert sorted(r.id for r in full_refresh(spark.range(2), path).collect()) == [0, 1]
 
 
+def test_a_batch_counts_once_however_often_it_is_appended(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(f"e{i}", i % 2, "pass") for i in range(6)], "query_id string, ex int, status string")
+    ledger.append(rows, path, "first")
+    ledger.append(rows, path, "first")
+    # Cut off before its manifest was written.
+    ledger.write_attempt(rows, path, "second")
+    assert ledger.read_batches(spark, path).count() == 6
+    ledger.append(rows.limit(2), path, "second")
+    assert ledger.read_batches(spark, path).count() == 8
+    assert spark.read.schema(ledger.MANIFEST).json(f"{path}/manifest").count() == 3
+    with pytest.raises(ValueError):
+        ledger.append(rows, path, "no/such")
+
+
 def test_ledger_survives_broken_lines(spark, tmp_path):
     path = tmp_path / "run.jsonl"
     path.write_text(
@@ -144,6 +164,23 @@ def test_a_run_has_one_layout_at_every_size(spark, tmp_path, cases):
     assert stored.where("part = 'passes'").count() == passes
 
 
+def test_files_of_runs_are_bounded_in_number_and_size(spark, tmp_path):
+    grades = [F.lit("NA").alias(d) for d in ("table", "time_frame", "filters", "aggregation", "join")]
+    small = spark.range(400).select(F.col("id").alias("run_no"), F.col("id").alias("query_id"))
+    huge = spark.range(1000, 9000).select(F.lit(1000).cast("long").alias("run_no"), F.col("id").alias("query_id"))
+    results = small.union(huge).select("*", F.lit("pass").alias("status"), *grades)
+    runs = results.select("run_no").distinct().selectExpr("run_no", "'r' as run_id", "'r' as name", "'full' as mode", "1 as total")
+    path = write_runs(results, runs, str(tmp_path / "runs"), file_chars=100_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "runs" / "cases").rglob("*.json")]
+    assert sum(sizes) > 1_000_000 and max(sizes) < 200_000 and len(sizes) <= sum(sizes) / 50_000
+    files = spark.read.parquet(f"{path}/files").where("run_no = 1000").first()
+    assert files.last_file > files.first_file
+    cases = spark.read.schema("query_id bigint, run_no bigint, file int").json(f"{path}/cases")
+    assert cases.count() == 8400
+    held = cases.where(F.col("run_no") == 1000).agg(F.min("file"), F.max("file")).first()
+    assert tuple(held) == (files.first_file, files.last_file)
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
