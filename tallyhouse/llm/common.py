@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,22 @@ def word_count(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: 0 if t is None else len(t.encode().split())).astype("int64")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session has these settings for what runs inside the block, and what it had before afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def discard(frame: DataFrame) -> None:
     """Deletes the folders a frame reads, once what was made from them is written; for ``stored`` frames only."""
     spark = frame.sparkSession

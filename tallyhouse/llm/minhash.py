@@ -14,16 +14,15 @@
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import place, stored
+from tallyhouse.llm.common import place, settings, stored
 from tallyhouse.llm.components import components
 from tallyhouse.llm.spans import SpanHasher, mixed
 
@@ -264,20 +263,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-@contextlib.contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """The session has this setting inside the block, and what it had before afterwards."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: the id, n_shingles, component_id (least id reachable by links) and kept.
 
@@ -311,7 +296,7 @@ def near_duplicates(frame: DataFrame, id_col: str, text_col: str, shingle: int =
     # selective one and filter the texts by a Bloom filter of its ids before they move.
     wanted = suspects.withColumnRenamed("least", "id").filter("cid >= 0")
     # A class met twice, in tasks a hot id was split over, does no harm.
-    with _setting(frame.sparkSession, BLOOM_FROM, "64MB"):
+    with settings(frame.sparkSession, {BLOOM_FROM: "64MB"}):
         sets = stored(
             texts.join(wanted, "id").select("cid", "set_key", "text")
             .mapInPandas(_sets(shingle), "cid bigint, hashes array<bigint>, small binary"),

@@ -14,7 +14,9 @@ frequent pre-token comes once from each block.
 
 from __future__ import annotations
 
+import ctypes
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,12 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import stored
+from tallyhouse.llm.common import settings, stored
 from tallyhouse.llm.spans import SpanHasher
 
-BLOCK_CHARS = 16_000_000
-CHUNK_CHARS = 1_000_000
-SLICE_BYTES = 48_000_000
+BLOCK_CHARS = 8_000_000
+CHUNK_CHARS = 250_000
+SLICE_BYTES = 16_000_000
+
+# Whole texts go to the workers in batches of so many, or of so many bytes.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 # The code points Unicode calls white space, and the contraction endings that the
 # byte-level pre-tokenizer splits off.
@@ -107,6 +112,13 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _hand_back() -> None:
+    """Gives the system what memory is free: workers live on, and their executor needs it for other work."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class _Block:
     """Frequencies and distinct pre-tokens of some documents."""
 
@@ -201,14 +213,19 @@ def _blocks(special: list[str], slices: int, block_chars: int, packed_classes: b
                     if block.chars >= block_chars:
                         yield block.rows(f"{task}-{number}", slices)
                         number, block = number + 1, _Block()
+                        _hand_back()
         if block.ids:
             yield block.rows(f"{task}-{number}", slices)
+        del block
+        _hand_back()
 
     return cut
 
 
 def _answers(tokenizer_json: str):
     def encode(group: pd.DataFrame) -> pd.DataFrame:
+        # A task has one core; threads of the library's own would each hold on to memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -223,7 +240,10 @@ def _answers(tokenizer_json: str):
             encoded = tokenizer.encode_batch_fast(some, add_special_tokens=False)
             pieces.update(zip(some, map(len, encoded), strict=True))
         counts = [_planes(np.fromiter((pieces[w] for w in words), dtype=np.uint32)) for words in lists]
-        return pd.DataFrame({"block": group["block"], "places": group["places"], "counts": counts})
+        found = pd.DataFrame({"block": group["block"], "places": group["places"], "counts": counts})
+        del lists, distinct, pieces, tokenizer
+        _hand_back()
+        return found
 
     return encode
 
@@ -267,14 +287,15 @@ def count_tokens(
     id_type = texts.schema["id"].dataType.simpleString()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // SLICE_BYTES))
-    blocks = stored(
-        texts.mapInPandas(
-            _blocks(special, slices, block_chars, zlib.compress(sign_classes().tobytes())),
-            f"block string, slice int, words binary, ids array<{id_type}>, n_bytes array<bigint>, specials array<bigint>, "
-            "sizes binary, places binary, often binary",
-        ),
-        "token-blocks",
-    )
+    with settings(frame.sparkSession, SMALL_BATCHES):
+        blocks = stored(
+            texts.mapInPandas(
+                _blocks(special, slices, block_chars, zlib.compress(sign_classes().tobytes())),
+                f"block string, slice int, words binary, ids array<{id_type}>, n_bytes array<bigint>, specials array<bigint>, "
+                "sizes binary, places binary, often binary",
+            ),
+            "token-blocks",
+        )
     answers = (
         blocks.filter("slice >= 0")
         .select("block", "slice", "words", "places")
