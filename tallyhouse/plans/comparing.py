@@ -11,31 +11,36 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.compare import cells_of, compare_results, exact_difference
 from tallyhouse.plans.grain import line_value
 from tallyhouse.plans.star import Star
+from tallyhouse.sources.tables import ROWS_PER_TASK, dealt, stored
 
 EMPTY_CASES_FROM = 1_000_000
 
 
-def gold_answer(star: Star) -> DataFrame:
-    """Units, value and brand per seller and product; unclassified products have NULL."""
+def gold_answer(star: Star, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Units, value and brand per seller and product; unclassified products have NULL.
+
+    Stored, as both sides are made from it. Its rows widen into cells and are counted before
+    they move, so they are dealt to tasks by number.
+    """
     sold = star.items.groupBy("seller_id", "product_id").agg(
         F.count("*").alias("units"), F.sum(line_value()).alias("value")
     )
-    return sold.join(star.products, "product_id").select(
+    answer = sold.join(star.products, "product_id").select(
         F.col("seller_id").alias("case_id"), "product_id", "units", "value", "product_category_name"
     )
+    return dealt(stored(answer, "answers"), ["case_id", "product_id"], rows_per_task)
 
 
-def gold_rows(star: Star) -> DataFrame:
-    answer = gold_answer(star)
+def gold_rows(answer: DataFrame) -> DataFrame:
     cells = cells_of(answer, ["product_id", "units", "value", "product_category_name"])
     return answer.select("case_id", cells.alias("cells"))
 
 
-def predicted_rows(star: Star) -> DataFrame:
+def predicted_rows(answer: DataFrame) -> DataFrame:
     """By case number mod 7: same, 0.5 % off, 5 % off, rows missing, a column more, NULL filled, text changed."""
     fault = F.col("case_id") % 7
     first_products = F.col("product_id") % 100 < 2
-    answer = gold_answer(star).where((fault != 3) | ~first_products)
+    answer = answer.where((fault != 3) | ~first_products)
     value = (
         F.when(fault == 1, F.col("value").cast("double") * 1.005)
         .when((fault == 2) & first_products, F.col("value").cast("double") * 1.05)
@@ -61,16 +66,21 @@ def compared_cases(star: Star) -> DataFrame:
     return numbers.unionByName(empty)
 
 
+def both_sides(star: Star) -> tuple[DataFrame, DataFrame]:
+    answer = gold_answer(star)
+    return gold_rows(answer), predicted_rows(answer)
+
+
 def resultset_compare(star: Star) -> DataFrame:
-    return compare_results(compared_cases(star), gold_rows(star), predicted_rows(star))
+    return compare_results(compared_cases(star), *both_sides(star))
 
 
 def resultset_compare_trimmed(star: Star) -> DataFrame:
-    return compare_results(compared_cases(star), gold_rows(star), predicted_rows(star), trim=True)
+    return compare_results(compared_cases(star), *both_sides(star), trim=True)
 
 
 def resultset_exact_diff(star: Star) -> DataFrame:
-    return exact_difference(gold_rows(star), predicted_rows(star))
+    return exact_difference(*both_sides(star))
 
 
 def eval_reason_rollup(star: Star) -> DataFrame:

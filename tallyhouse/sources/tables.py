@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.session import scratch_dir
@@ -37,3 +39,15 @@ def full_refresh(rows: DataFrame, path: str) -> DataFrame:
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """The rows, written once to the folder all executors share; their size is known from then on."""
     return full_refresh(rows, scratch_dir(rows.sparkSession, purpose))
+
+
+# Rows that a task holds in memory comfortably, also if each grows to some hundred bytes.
+ROWS_PER_TASK = 500_000
+
+
+def dealt(rows: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Stored rows on as many tasks as their number asks for, whatever the session's partitions are.
+
+    The keys should name a row, or nearly so: rows of one key share a task.
+    """
+    return rows.repartition(-(-rows.count() // rows_per_task) or 1, *keys)

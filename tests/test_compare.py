@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.compare import compare_results, exact_difference
+from tallyhouse.plans import comparing
+from tallyhouse.plans.star import Star
+from tallyhouse.sources.tables import dealt
 
 CELL = "struct<kind: int, num: double, txt: string>"
 SCHEMA = f"case_id long, cells array<{CELL}>"
@@ -110,3 +113,13 @@ def test_exact_difference_counts_copies(spark):
     guess = frame(spark, {1: [[1], [2], [2], [3]], 2: [["a"]]})
     rows = exact_difference(gold, guess).collect()
     assert [(r.case_id, r.gold_only, r.predicted_only) for r in rows] == [(1, 1, 2)]
+
+
+def test_rows_are_dealt_to_tasks_by_their_number(spark, folder):
+    """Four shuffle partitions are set here: a task's share of the answers must not grow with the table."""
+    answer = comparing.gold_answer(Star(spark, folder), rows_per_task=100)
+    total = answer.count()
+    for side in (comparing.gold_rows(answer), comparing.predicted_rows(answer)):
+        per_task = [r["count"] for r in side.groupBy(F.spark_partition_id()).count().collect()]
+        assert total > 4 * 200 and max(per_task) < 200
+    assert dealt(spark.range(0), ["id"]).count() == 0
