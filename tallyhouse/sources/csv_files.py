@@ -24,7 +24,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], also: Sequence[str] = (
     """Header CSV in UTF-8 as text columns; a byte-order mark is dropped and ``""`` reads as a quote.
 
     Quoted cells may span lines in every table. A large file is read by many tasks; ``also`` may
-    name a record's place in order: ``_file``, ``_range`` of the file, ``_line`` of the range.
+    name a record's place in order: ``_file`` by number, ``_range`` of the file, ``_line`` of the range.
     Column names are those of the first file, and every file begins with a header.
     """
     names = spark.read.options(header=True, encoding="UTF-8", **CELL_OPTIONS).csv(path).columns

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.audits import join_rows, orphans
 from tallyhouse.operators.picking import capped, first_per_key, most_frequent
-from tallyhouse.sources import ledger
+from tallyhouse.sources import csv_records, ledger
 from tallyhouse.sources.csv_files import lenient_int, load_table, read_table, scan_csv, write_csv
 from tallyhouse.sources.sinks import write_results_csv, write_runs
-from tallyhouse.sources.tables import full_refresh
+from tallyhouse.sources.tables import full_refresh, stored
 
 
 def test_reviews_with_mark_quotes_and_line_breaks(spark, tmp_path):
@@ -242,3 +242,19 @@ def test_files_without_open_cells_need_no_exchange(spark, tmp_path):
     path.write_text('a,b\n1,"x, y"\n2,z\n')
     plan = scan_csv(spark, str(path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_lines_of_files_with_open_cells_are_exchanged_once(spark, tmp_path, monkeypatch):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.csv").write_text(f'k,v\n{name}1,"x\ny"\n{name}2,z\n')
+    plans = {}
+
+    def kept(rows, purpose):
+        plans[purpose] = rows._jdf.queryExecution().executedPlan().toString()
+        return stored(rows, purpose)
+
+    monkeypatch.setattr(csv_records, "stored", kept)
+    read = scan_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], ["_file"])
+    plans["records"] = read._jdf.queryExecution().executedPlan().toString()
+    assert {p for p, text in plans.items() if "FileScan text" in text} == {"csv-files", "csv-lines"}
+    assert sorted(map(tuple, read.collect())) == [("a1", "x\ny", 1), ("a2", "z", 1), ("b1", "x\ny", 2), ("b2", "z", 2)]
